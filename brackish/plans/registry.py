@@ -1,4 +1,15 @@
 """Importing this module registers every query."""
 
-from brackish.plans import aggregates, columns, joining, scalars, series, sources  # noqa: F401
+from brackish.plans import (  # noqa: F401
+    aggregates,
+    columns,
+    feeds,
+    joining,
+    mapping,
+    models,
+    scalars,
+    series,
+    sources,
+    studies,
+)
 from brackish.plans.catalog import ORACLES, QUERIES, Tables  # noqa: F401

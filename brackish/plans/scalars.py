@@ -233,11 +233,11 @@ def mixed_samples(t: Tables) -> DataFrame:
     "f11_mixing_correction",
     f"""
     WITH {SAMPLE_SQL}, {MIXING_SQL}
-    SELECT l_orderkey, l_partkey, l_suppkey, round(ta_mix, 6) AS ta_mix, round(dic_mix, 6) AS dic_mix FROM mixed
+    SELECT l_orderkey, l_partkey, l_suppkey, round(ta_mix, 4) AS ta_mix, round(dic_mix, 4) AS dic_mix FROM mixed
     """,
 )
 def f11_mixing_correction(t: Tables) -> DataFrame:
-    return mixed_samples(t).select(*KEY, F.round("ta_mix", 6).alias("ta_mix"), F.round("dic_mix", 6).alias("dic_mix"))
+    return mixed_samples(t).select(*KEY, F.round("ta_mix", 4).alias("ta_mix"), F.round("dic_mix", 4).alias("dic_mix"))
 
 
 # Stand-in reef lengths by site.
@@ -305,14 +305,14 @@ def metabolism(t: Tables) -> DataFrame:
     f"""
     WITH {SAMPLE_SQL}, {MIXING_SQL}, {METABOLISM_SQL}
     SELECT l_orderkey, l_partkey, l_suppkey,
-           round(((rho * depth * ta_diff) / nullif(2 * tau, 0)) / 1000, 6) AS nec,
-           round(((rho * depth * (dic_diff - ta_diff / 2)) / nullif(tau, 0)) / 1000, 6) AS nep,
-           round(ta_diff / 2, 6) AS nec_proxy, round(dic_diff - ta_diff / 2, 6) AS nep_proxy
+           round(((rho * depth * ta_diff) / nullif(2 * tau, 0)) / 1000, 4) AS nec,
+           round(((rho * depth * (dic_diff - ta_diff / 2)) / nullif(tau, 0)) / 1000, 4) AS nep,
+           round(ta_diff / 2, 4) AS nec_proxy, round(dic_diff - ta_diff / 2, 4) AS nep_proxy
     FROM rates
     """,
 )
 def f13_calcification_production(t: Tables) -> DataFrame:
-    return metabolism(t).select(*KEY, *[F.round(c, 6).alias(c) for c in ("nec", "nep", "nec_proxy", "nep_proxy")])
+    return metabolism(t).select(*KEY, *[F.round(c, 4).alias(c) for c in ("nec", "nep", "nec_proxy", "nep_proxy")])
 
 
 @query(

@@ -92,28 +92,28 @@ def w4_quantile_bins(t: Tables) -> DataFrame:
     """
     WITH s AS (SELECT avg(l_quantity) AS mq, stddev_samp(l_quantity) AS sq, avg(l_extendedprice) AS mp,
                       stddev_samp(l_extendedprice) AS sp FROM lineitem)
-    SELECT l_orderkey, l_partkey, l_suppkey, round((l_quantity - mq) / sq, 8) AS l_quantity_scaled,
-           round((l_extendedprice - mp) / sp, 8) AS l_extendedprice_scaled
+    SELECT l_orderkey, l_partkey, l_suppkey, round((l_quantity - mq) / sq, 6) AS l_quantity_scaled,
+           round((l_extendedprice - mp) / sp, 6) AS l_extendedprice_scaled
     FROM lineitem, s
     """,
 )
 def w5_zscore_table(t: Tables) -> DataFrame:
     columns = ["l_quantity", "l_extendedprice"]
     out = standardise(t.lineitem.select(*KEY, *columns), columns).drop(*columns)
-    return across(out, [f"{c}_scaled" for c in columns], lambda c: F.round(c, 8))
+    return across(out, [f"{c}_scaled" for c in columns], lambda c: F.round(c, 6))
 
 
 @query(
     "w6_zscore_in_group",
     """
     WITH s AS (SELECT l_linestatus, avg(l_quantity) AS m, stddev_samp(l_quantity) AS sd FROM lineitem GROUP BY 1)
-    SELECT l_orderkey, l_partkey, l_suppkey, l_linestatus, round((l_quantity - m) / sd, 8) AS l_quantity
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linestatus, round((l_quantity - m) / sd, 6) AS l_quantity
     FROM lineitem JOIN s USING (l_linestatus)
     """,
 )
 def w6_zscore_in_group(t: Tables) -> DataFrame:
     out = standardise(t.lineitem.select(*KEY, "l_linestatus", "l_quantity"), ["l_quantity"], ["l_linestatus"], suffix="")
-    return across(out, ["l_quantity"], lambda c: F.round(c, 8))
+    return across(out, ["l_quantity"], lambda c: F.round(c, 6))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -12,8 +12,17 @@ from brackish.functions.nulls import safe_divide
 from brackish.session import scratch_path
 
 
+def _event_time(feed: DataFrame, time: str, delay: str) -> DataFrame:
+    """Watermarks need zoned time; the session runs in UTC, so the wall clock is kept."""
+    return feed.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
+def _bounds() -> list[Column]:
+    return [F.col(f"window.{end}").cast("timestamp_ntz").alias(end) for end in ("start", "end")]
+
+
 def open_feed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", **options) -> DataFrame:
-    """A folder (or file pattern) of logger files as a stream."""
+    """A file pattern of logger files as a stream."""
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
@@ -22,10 +31,10 @@ def tumbling_mean(
 ) -> DataFrame:
     """Mean per key and window; a window is emitted once when the watermark has passed it."""
     return (
-        feed.withWatermark(time, delay)
+        _event_time(feed, time, delay)
         .groupBy(*keys, F.window(time, window))
         .agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
-        .select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "mean", "n")
+        .select(*keys, *_bounds(), "mean", "n")
     )
 
 
@@ -44,7 +53,7 @@ def sliding_mean(
     so a reading is not copied once per window it belongs to.
     """
     parts = (
-        feed.withWatermark(time, delay)
+        _event_time(feed, time, delay)
         .groupBy(*keys, F.window(time, slide).alias("_slide"))
         .agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     )
@@ -53,7 +62,7 @@ def sliding_mean(
         parts.select(*keys, at, "_s", "_n")
         .groupBy(*keys, F.window("_at", window, slide))
         .agg(safe_divide(F.sum("_s"), F.sum("_n")).alias("mean"), F.sum("_n").alias("n"))
-        .select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "mean", "n")
+        .select(*keys, *_bounds(), "mean", "n")
     )
 
 
