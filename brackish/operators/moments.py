@@ -8,39 +8,67 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brackish.operators.keys import attach
+
 
 def pairs(size: int) -> list[tuple[int, int]]:
     """Upper triangle of a symmetric matrix, row by row."""
     return [(i, j) for i in range(size) for j in range(i, size)]
 
 
-def cross_moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Per key: ``n``, ``mean`` and population ``cov`` (upper triangle) over complete rows.
+def cross_moments(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    weight: str | None = None,
+    centre: bool = True,
+    wanted: Sequence[tuple[int, int]] | None = None,
+) -> DataFrame:
+    """Per key: ``n``, ``mean`` and population ``cov`` over complete rows.
+
+    ``cov`` holds the `wanted` column pairs, by default the whole upper triangle.
 
-    All partial results combine map-side, so a hot key costs one small row per task.
-    With a `weight` the moments are weighted and ``n`` still counts rows.
+    The sums of products are taken around the table's own means (a scalar subquery), which
+    keeps them accurate when a column's mean is large against its spread; plain sums stay in
+    generated code, where covariance aggregates of many columns do not. Pass
+    ``centre=False`` for columns that are already scaled. All partial results combine
+    map-side, so a hot key costs one small row per task. With a `weight` the moments are
+    weighted and ``n`` still counts rows.
     """
+    wanted = pairs(len(columns)) if wanted is None else wanted
+    names = [f"`{c}`" for c in columns]
     full = df.dropna(subset=[*columns, *([weight] if weight else [])])
-    if weight is None:
-        mean = [F.avg(c) for c in columns]
-        cov = [F.covar_pop(columns[i], columns[j]) for i, j in pairs(len(columns))]
-        return full.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.array(*mean).alias("mean"), F.array(*cov).alias("cov")
-        )
-    w = F.col(weight)
-    mean = [F.sum(w * F.col(c)) / F.sum(w) for c in columns]
-    cov = [
-        F.sum(w * F.col(columns[i]) * F.col(columns[j])) / F.sum(w) - mean[i] * mean[j]
-        for i, j in pairs(len(columns))
-    ]
-    return full.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.array(*mean).alias("mean"), F.array(*cov).alias("cov")
+    if centre:
+        means = full.agg(*[F.avg(c).alias(f"_c{i}") for i, c in enumerate(columns)])
+        full = attach(full, means, [])
+        names = [f"(`{c}` - _c{i})" for i, c in enumerate(columns)]
+    times = f"`{weight}` * " if weight else ""
+    raw = full.groupBy(*keys).agg(
+        F.expr("count(1) AS n"),
+        F.expr(f"{f'sum(`{weight}`)' if weight else 'count(1)'} AS _w"),
+        F.expr(_array([f"max(_c{i})" if centre else "0D" for i in range(len(names))], "_o")),
+        F.expr(_array([f"sum({times}{c})" for c in names], "_s")),
+        F.expr(_array([f"sum({times}{names[i]} * {names[j]})" for i, j in wanted], "_p")),
+    )
+    return raw.select(
+        *keys,
+        "n",
+        F.expr("transform(_o, (o, i) -> o + _s[i] / _w) AS mean"),
+        F.expr(
+            _array(
+                [f"_p[{k}] / _w - (_s[{i}] / _w) * (_s[{j}] / _w)" for k, (i, j) in enumerate(wanted)], "cov"
+            )
+        ),
     )
 
 
-def square(upper: Sequence[float], size: int) -> np.ndarray:
-    """Full symmetric matrix from its upper triangle."""
-    out = np.zeros((size, size))
-    for value, (i, j) in zip(upper, pairs(size)):
+def _array(items: Sequence[str], name: str) -> str:
+    return f"array({', '.join(items)}) AS {name}"
+
+
+def square(values: Sequence[float], size: int, at: Sequence[tuple[int, int]] | None = None) -> np.ndarray:
+    """Full symmetric matrix from its listed entries."""
+    out = np.full((size, size), np.nan)
+    for value, (i, j) in zip(values, pairs(size) if at is None else at):
         out[i, j] = out[j, i] = value
     return out

@@ -267,10 +267,12 @@ def fit_models(
     models: Sequence[Model],
     factors: Factors | None = None,
     weight: str | None = None,
+    centre: bool = True,
 ) -> DataFrame:
     """Fit every model in every group from one aggregation: ``keys, n, fits``.
 
-    Rows with a NULL in any variable of any model are left out of all of them.
+    Rows with a NULL in any variable of any model are left out of all of them. Pass
+    ``centre=False`` for z-scores: it saves the pass that finds the columns' means.
     """
     factors = factors or {}
     design: dict[str, Column] = {}
@@ -291,13 +293,14 @@ def fit_models(
     ]
     internal = [f"_d{i}" for i in range(len(names))]
     rows = df.select(*keys, *([weight] if weight else []), *[c.alias(i) for i, c in zip(internal, design.values())])
-    moments = cross_moments(rows, keys, internal, weight)
+    wanted = sorted({tuple(sorted(pair)) for eq in plan for pair in itertools.product((*eq.at, eq.at_response), repeat=2)})
+    moments = cross_moments(rows, keys, internal, weight, centre, wanted)
     size, key_list = len(names), list(keys)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fits = [
-                [_solve(eq, n, np.array(mean), square(cov, size)) for eq in plan] if n else []
+                [_solve(eq, n, np.array(mean), square(cov, size, wanted)) for eq in plan] if n else []
                 for n, mean, cov in zip(*(batch.column(c).to_pylist() for c in ("n", "mean", "cov")))
             ]
             yield pa.RecordBatch.from_arrays(

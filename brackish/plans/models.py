@@ -429,7 +429,7 @@ def g16_path_model_first_equation(t: Tables) -> DataFrame:
 
 
 def _path_coefficients(t: Tables) -> DataFrame:
-    return coefficients(fit_models(path_data(t), ["location", "season"], PATH_MODELS, {"day_night": ["Day", "Night"]}))
+    return coefficients(fit_models(path_data(t), ["location", "season"], PATH_MODELS, {"day_night": ["Day", "Night"]}, centre=False))
 
 
 @query("g16_path_model")

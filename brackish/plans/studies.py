@@ -18,6 +18,8 @@ from brackish.operators.scaling import standardise
 from brackish.plans.catalog import Tables, query
 from brackish.plans.scalars import KEY, MIXING_SQL, METABOLISM_SQL, SAMPLE_SQL, metabolism
 from brackish.plans.series import EVENT_TYPES
+from brackish.session import scratch_path
+from brackish.sources.tables import through_table
 
 HOURLY_SQL = """
     hourly AS (
@@ -78,7 +80,8 @@ def e1_hourly_with_weather(t: Tables) -> DataFrame:
 def e2_chemistry_to_paths(t: Tables) -> DataFrame:
     """Bad rows out, carbonate system, end members, offshore difference, scaling, path model.
 
-    The bad rows are named by key once; everything up to the model is one lazy plan.
+    The bad rows are named by key once. The carbonate columns and the model rows are each
+    read several times, so both are written out once as a stage boundary.
     """
     c = F.col
     rows = t.lineitem.select(
@@ -98,6 +101,7 @@ def e2_chemistry_to_paths(t: Tables) -> DataFrame:
     bad = rows.where((c("ta") > 2405) & (c("day_night") == "Night"))
     clean = drop_listed(rows, bad, KEY)
     system = with_carbonate_system(clean, "ph", "ta", "salinity", "temperature").select(*rows.columns, "DIC")
+    system = through_table(system, scratch_path(t.spark, "carbonate"))
     ends = system.groupBy("location").agg(
         (F.max("silicate") + 97.3).alias("si_end"), F.max("ta").alias("ta_end"), F.max("DIC").alias("dic_end")
     )
@@ -112,7 +116,8 @@ def e2_chemistry_to_paths(t: Tables) -> DataFrame:
         calcification_proxy(d_ta).alias("nec"),
         production_proxy(d_dic, d_ta).alias("nep"),
     )
-    scaled = standardise(model_rows, ["temperature", "ph", "humics", "prot", "si", "nn", "nec", "nep"], suffix="")
+    stored = through_table(model_rows, scratch_path(t.spark, "path-rows"))
+    scaled = standardise(stored, ["temperature", "ph", "humics", "prot", "si", "nn", "nec", "nep"], suffix="")
     models = [
         Model("nn", ("si",)),
         Model("nep", ("day_night", "nn", "temperature", "day_night:nn")),
@@ -121,7 +126,7 @@ def e2_chemistry_to_paths(t: Tables) -> DataFrame:
         Model("humics", ("day_night", "nep", "si", "day_night:nep")),
         Model("prot", ("nec", "si")),
     ]
-    return coefficients(fit_models(scaled, ["location", "season"], models, {"day_night": ["Day", "Night"]}))
+    return coefficients(fit_models(scaled, ["location", "season"], models, {"day_night": ["Day", "Night"]}, centre=False))
 
 
 @query(
@@ -143,6 +148,6 @@ def e3_slopes_per_tag(t: Tables) -> DataFrame:
     tags = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     fitted = metabolism(t).groupBy(*keys).agg(
         F.round(F.regr_slope("nec", "nep"), 8).alias("slope"),
-        *[F.round(F.max(c) - F.min(c), 6).cast("double").alias(c) for c in ("silicate", "temperature")],
+        *[F.round(F.max(c) - F.min(c), 6).alias(c) for c in ("silicate", "temperature")],
     )
     return join_on(fitted, tags, ["l_suppkey"], "left")
