@@ -6,6 +6,8 @@ Everything is a column expression: no iteration and no Python worker.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,19 @@ LUEKER_TEMPERATURE = (2.0, 35.0)
 LUEKER_SALINITY = (19.0, 43.0)
 
 
+class Water(NamedTuple):
+    """Salinity and absolute temperature with the two functions of them every constant needs."""
+
+    s: Column
+    t: Column
+    log_t: Column
+    root_s: Column
+
+
+def water(salinity: Column, kelvin: Column) -> Water:
+    return Water(salinity, kelvin, F.ln(kelvin), F.sqrt(salinity))
+
+
 def _ionic_strength(s: Column) -> Column:
     return 19.924 * s / (1000 - 1.005 * s)
 
@@ -35,95 +50,109 @@ def total_calcium(s: Column) -> Column:
     return s * (0.02127 / 40.078 / 1.80655)
 
 
-def k_sulfate(s: Column, t: Column) -> Column:
+def k_sulfate(w: Water) -> Column:
     """Dickson (1990), free scale."""
+    s, t = w.s, w.t
     i = _ionic_strength(s)
     return F.exp(
-        -4276.1 / t + 141.328 - 23.093 * F.ln(t)
-        + (-13856 / t + 324.57 - 47.986 * F.ln(t)) * F.sqrt(i)
-        + (35474 / t - 771.54 + 114.723 * F.ln(t)) * i
+        -4276.1 / t + 141.328 - 23.093 * w.log_t
+        + (-13856 / t + 324.57 - 47.986 * w.log_t) * F.sqrt(i)
+        + (35474 / t - 771.54 + 114.723 * w.log_t) * i
         - 2698 / t * i * F.sqrt(i)
         + 1776 / t * i * i
         + F.ln(1 - 0.001005 * s)
     )
 
 
-def k_fluoride(s: Column, t: Column) -> Column:
+def k_fluoride(w: Water) -> Column:
     """Dickson & Riley (1979) as in Dickson & Goyet (1994), free scale."""
+    s, t = w.s, w.t
     return F.exp(1590.2 / t - 12.641 + 1.525 * F.sqrt(_ionic_strength(s)) + F.ln(1 - 0.001005 * s))
 
 
-def k_boric(s: Column, t: Column) -> Column:
+def k_boric(w: Water) -> Column:
     """Dickson (1990), total scale."""
-    r = F.sqrt(s)
+    s, t = w.s, w.t
+    r = w.root_s
     return F.exp(
         (-8966.90 - 2890.53 * r - 77.942 * s + 1.728 * s * r - 0.0996 * s * s) / t
         + 148.0248 + 137.1942 * r + 1.62142 * s
-        - (24.4344 + 25.085 * r + 0.2474 * s) * F.ln(t)
+        - (24.4344 + 25.085 * r + 0.2474 * s) * w.log_t
         + 0.053105 * r * t
     )
 
 
-def k_water(s: Column, t: Column) -> Column:
+def k_water(w: Water) -> Column:
     """Millero (1995), total scale."""
+    s, t = w.s, w.t
     return F.exp(
-        148.9652 - 13847.26 / t - 23.6521 * F.ln(t)
-        + (118.67 / t - 5.977 + 1.0495 * F.ln(t)) * F.sqrt(s)
+        148.9652 - 13847.26 / t - 23.6521 * w.log_t
+        + (118.67 / t - 5.977 + 1.0495 * w.log_t) * w.root_s
         - 0.01615 * s
     )
 
 
-def k_henry(s: Column, t: Column) -> Column:
+def k_henry(w: Water) -> Column:
     """Weiss (1974), mol/kg/atm."""
+    s, t = w.s, w.t
     h = t / 100
     return F.exp(
         93.4517 / h - 60.2409 + 23.3585 * F.ln(h) + s * (0.023517 - 0.023656 * h + 0.0047036 * h * h)
     )
 
 
-def _carbonic_lueker(s: Column, t: Column) -> tuple[Column, Column]:
+def _carbonic_lueker(w: Water) -> tuple[Column, Column]:
     """Lueker et al. (2000), total scale."""
-    pk1 = 3633.86 / t - 61.2172 + 9.6777 * F.ln(t) - 0.011555 * s + 0.0001152 * s * s
-    pk2 = 471.78 / t + 25.929 - 3.16967 * F.ln(t) - 0.01781 * s + 0.0001122 * s * s
+    s, t = w.s, w.t
+    pk1 = 3633.86 / t - 61.2172 + 9.6777 * w.log_t - 0.011555 * s + 0.0001152 * s * s
+    pk2 = 471.78 / t + 25.929 - 3.16967 * w.log_t - 0.01781 * s + 0.0001122 * s * s
     return F.pow(F.lit(10.0), -pk1), F.pow(F.lit(10.0), -pk2)
 
 
-def _carbonic_waters(s: Column, t: Column) -> tuple[Column, Column]:
-    """Waters, Millero & Woosley (2014), seawater scale turned to total scale."""
-    r = F.sqrt(s)
+def _carbonic_waters(w: Water) -> tuple[Column, Column]:
+    """Waters, Millero & Woosley (2014), seawater scale."""
+    s, t = w.s, w.t
+    r = w.root_s
     pk1 = (
-        -126.34048 + 6320.813 / t + 19.568224 * F.ln(t)
+        -126.34048 + 6320.813 / t + 19.568224 * w.log_t
         + 13.409160 * r + 0.031646 * s - 5.1895e-5 * s * s
         + (-531.3642 * r - 5.713 * s) / t
-        - 2.0669166 * r * F.ln(t)
+        - 2.0669166 * r * w.log_t
     )
     pk2 = (
-        -90.18333 + 5143.692 / t + 14.613358 * F.ln(t)
+        -90.18333 + 5143.692 / t + 14.613358 * w.log_t
         + 21.225890 * r + 0.12450870 * s - 3.7243e-4 * s * s
         + (-779.3444 * r - 19.91739 * s) / t
-        - 3.3534679 * r * F.ln(t)
+        - 3.3534679 * r * w.log_t
     )
-    sulfate = total_sulfate(s) / k_sulfate(s, t)
-    to_total = (1 + sulfate) / (1 + sulfate + total_fluoride(s) / k_fluoride(s, t))
-    return F.pow(F.lit(10.0), -pk1) * to_total, F.pow(F.lit(10.0), -pk2) * to_total
+    return F.pow(F.lit(10.0), -pk1), F.pow(F.lit(10.0), -pk2)
 
 
-def k_carbonic(s: Column, t: Column, source: str = "w14") -> tuple[Column, Column]:
+def seawater_to_total(w: Water) -> Column:
+    """Factor from the seawater pH scale to the total scale."""
+    sulfate = total_sulfate(w.s) / k_sulfate(w)
+    return (1 + sulfate) / (1 + sulfate + total_fluoride(w.s) / k_fluoride(w))
+
+
+def k_carbonic(w: Water, source: str = "w14", to_total: Column | None = None) -> tuple[Column, Column]:
     """First and second constants; ``"l"``, ``"w14"``, or ``"x"`` = the former inside its range."""
     if source == "l":
-        return _carbonic_lueker(s, t)
-    waters = _carbonic_waters(s, t)
+        return _carbonic_lueker(w)
+    if source not in ("w14", "x"):
+        raise ValueError(f"unknown constants {source!r}")
+    factor = seawater_to_total(w) if to_total is None else to_total
+    waters = tuple(k * factor for k in _carbonic_waters(w))
     if source == "w14":
         return waters
-    if source != "x":
-        raise ValueError(f"unknown constants {source!r}")
-    inside = (t - 273.15).between(*LUEKER_TEMPERATURE) & s.between(*LUEKER_SALINITY)
-    return tuple(F.when(inside, a).otherwise(b) for a, b in zip(_carbonic_lueker(s, t), waters))
+    # A 0/1 weight instead of a branch: branches keep shared terms from being reused.
+    inside = ((w.t - 273.15).between(*LUEKER_TEMPERATURE) & w.s.between(*LUEKER_SALINITY)).cast("double")
+    return tuple(inside * a + (1 - inside) * b for a, b in zip(_carbonic_lueker(w), waters))
 
 
-def k_aragonite(s: Column, t: Column) -> Column:
+def k_aragonite(w: Water) -> Column:
     """Mucci (1983)."""
-    r = F.sqrt(s)
+    s, t = w.s, w.t
+    r = w.root_s
     return F.pow(
         F.lit(10.0),
         -171.945 - 0.077993 * t + 2903.293 / t + 71.595 * F.log10(t)
@@ -131,9 +160,10 @@ def k_aragonite(s: Column, t: Column) -> Column:
     )
 
 
-def k_calcite(s: Column, t: Column) -> Column:
+def k_calcite(w: Water) -> Column:
     """Mucci (1983)."""
-    r = F.sqrt(s)
+    s, t = w.s, w.t
+    r = w.root_s
     return F.pow(
         F.lit(10.0),
         -171.9065 - 0.077993 * t + 2839.319 / t + 71.595 * F.log10(t)
@@ -152,23 +182,26 @@ def with_carbonate_system(
 ) -> DataFrame:
     """Add CO2, HCO3, CO3, DIC (umol/kg), fCO2, pCO2 (uatm) and both saturation states.
 
-    `ta` in umol/kg, `temperature` in Celsius. Constants are computed once per row in a
-    first projection, so the second one reads them instead of repeating the exponentials.
+    `ta` in umol/kg, `temperature` in Celsius. The work is laid out as a chain of
+    projections, each reusing columns of the one before, so that no single generated method
+    grows past what the JVM compiles.
     """
-    s, t = F.col(salinity), F.col(temperature) + 273.15
-    k1, k2 = k_carbonic(s, t, constants)
-    names = [f"_{n}" for n in ("h", "k1", "k2", "kb", "kw", "ks", "kf", "k0")]
-    constants_row = dict(
-        zip(
-            names,
-            (
-                F.pow(F.lit(10.0), -F.col(ph)), k1, k2, k_boric(s, t), k_water(s, t),
-                k_sulfate(s, t), k_fluoride(s, t), k_henry(s, t),
-            ),
+    w = Water(F.col(salinity), F.col("_t"), F.col("_log_t"), F.col("_root_s"))
+    s, t = w.s, w.t
+    scale = F.col("_scale")
+    base = df.withColumn("_t", F.col(temperature) + 273.15).withColumns(
+        {"_log_t": F.ln("_t"), "_root_s": F.sqrt(s), "_h": F.pow(F.lit(10.0), -F.col(ph))}
+    )
+    h, k1, k2, kb, kw, ks, kf, k0 = (F.col(f"_{n}") for n in ("h", "k1", "k2", "kb", "kw", "ks", "kf", "k0"))
+    first, second = k_carbonic(w, constants, scale)
+    ready = (
+        base.withColumns(
+            {"_scale": seawater_to_total(w), "_ks": k_sulfate(w), "_kf": k_fluoride(w)}
         )
+        .withColumns({"_k1": first, "_k2": second})
+        .withColumns({"_kb": k_boric(w), "_kw": k_water(w), "_k0": k_henry(w), "_free": h / (1 + total_sulfate(s) / ks)})
     )
-    h, k1, k2, kb, kw, ks, kf, k0 = (F.col(n) for n in names)
-    free = h / (1 + total_sulfate(s) / ks)
+    free = F.col("_free")
     carbonate_alkalinity = (
         F.col(ta) / 1e6
         - total_boron(s) / (1 + h / kb)
@@ -178,7 +211,7 @@ def with_carbonate_system(
         + total_fluoride(s) / (1 + kf / free)
     )
     out = (
-        df.withColumns(constants_row)
+        ready
         .withColumn("_ca", carbonate_alkalinity)
         .withColumn("_dic", F.col("_ca") * (h * h + k1 * h + k1 * k2) / (k1 * h + 2 * k1 * k2))
         .withColumns(
@@ -188,17 +221,18 @@ def with_carbonate_system(
             }
         )
     )
-    calcium = total_calcium(s)
-    fco2 = F.col("_co2") / k0 * 1e6
+    out = out.withColumns({"_fco2": F.col("_co2") / k0 * 1e6, "_product": F.col("_co3") * total_calcium(s)})
     return out.withColumns(
         {
             "CO2": F.col("_co2") * 1e6,
             "HCO3": (F.col("_dic") - F.col("_co2") - F.col("_co3")) * 1e6,
             "CO3": F.col("_co3") * 1e6,
             "DIC": F.col("_dic") * 1e6,
-            "fCO2": fco2,
-            "pCO2": fco2 / fugacity_factor(t),
-            "OmegaAragonite": F.col("_co3") * calcium / k_aragonite(s, t),
-            "OmegaCalcite": F.col("_co3") * calcium / k_calcite(s, t),
+            "fCO2": F.col("_fco2"),
+            "pCO2": F.col("_fco2") / fugacity_factor(t),
+            "OmegaAragonite": F.col("_product") / k_aragonite(w),
+            "OmegaCalcite": F.col("_product") / k_calcite(w),
         }
-    ).drop(*names, "_ca", "_dic", "_co2", "_co3")
+    ).select(
+        *df.columns, "CO2", "HCO3", "CO3", "DIC", "fCO2", "pCO2", "OmegaAragonite", "OmegaCalcite"
+    )

@@ -5,6 +5,7 @@ Results are wall-clock times without zone (``timestamp_ntz``); the session runs
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -25,9 +26,28 @@ TIME_FORMATS = (
 SERIAL_DAY_OF_EPOCH = 719529
 
 
+# What each run of pattern letters looks like in the text.
+_SHAPES = {
+    "yyyy": r"\d{4}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}",
+    "HH": r"\d{2}", "H": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", "X": r"(?:Z|[+-]\d{2}(?::?\d{2})?)",
+}
+
+
+def _shape(fmt: str) -> str:
+    """Regular expression of the texts a layout can parse."""
+    tokens = re.finditer(r"'([^']*)'|(([A-Za-z])\3*)|(.)", fmt)
+    return "^" + "".join(_SHAPES[t[2]] if t[2] else re.escape(t[1] or t[4]) for t in tokens) + "$"
+
+
 def parse_time(col: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
-    """First layout that fits wins; NULL if none does."""
-    return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    """Parse by the first layout whose shape the text has; NULL if none fits.
+
+    The shape decides before parsing: a failed parse attempt costs far more than a match.
+    """
+    out = F.lit(None).cast("timestamp")
+    for fmt in reversed(formats):
+        out = F.when(col.rlike(_shape(fmt)), F.try_to_timestamp(col, F.lit(fmt))).otherwise(out)
+    return out.cast("timestamp_ntz")
 
 
 def floor_time(col: Column, unit: str) -> Column:

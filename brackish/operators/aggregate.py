@@ -15,6 +15,7 @@ from brackish.functions.summary import range_label
 from brackish.functions.times import floor_time
 from brackish.operators.keys import attach, join_on
 from brackish.operators.ordered import quantiles_of_indexed, with_row_index
+from brackish.session import settle
 
 Aggregate = Callable[[Column], Column]
 
@@ -89,7 +90,7 @@ def at_latest(df: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFrame:
     if not keys:
         return df.where(F.col(time) == df.select(F.max(time)).scalar())
     newest = df.groupBy(*keys).agg(F.max(time).alias(time))
-    return join_on(df, newest, [*keys, time], "left_semi")
+    return join_on(df, settle(newest), [*keys, time], "left_semi")
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str, whisker: float = 1.5) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brackish.functions.times import epoch_micros
 from brackish.operators.keys import attach, join_on, shared_columns
+from brackish.session import settle
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
@@ -40,7 +41,7 @@ def align_outer(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 def drop_listed(df: DataFrame, bad: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Anti join on a key, NULLs matching; rows of `bad` are reduced to their keys first."""
-    return join_on(df, bad.select(*keys).distinct(), keys, "left_anti")
+    return join_on(df, settle(bad.select(*keys).distinct()), keys, "left_anti")
 
 
 def keep_matches(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brackish.session import settle
+
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
     """Columns both sides have, in the left side's order."""
@@ -19,8 +21,8 @@ def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join in which NULL keys match each other; one copy of each key is kept.
 
-    No side is broadcast by hint: adaptive execution broadcasts a side whose measured
-    size is under the session's threshold and otherwise sorts, splitting hot keys.
+    No side is broadcast by hint: the planner broadcasts a side whose known size is under
+    the session's threshold and otherwise sorts, splitting hot keys at run time.
     """
     keys = list(keys)
     if not keys:
@@ -43,10 +45,11 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bring one-row-per-group statistics back to the detail rows.
 
-    Without keys `stats` has one row, read as a scalar subquery instead of a join.
+    The statistics are settled first, so their size is known when the join is planned. Without
+    keys `stats` has one row, read as a scalar subquery instead of a join.
     """
     if keys:
-        return join_on(df, stats, keys, "left")
+        return join_on(df, settle(stats), keys, "left")
     names = stats.columns
     one = stats.select(F.struct(*names).alias("_s")).scalar()
     return df.withColumn("_s", one).select(*df.columns, *[F.col("_s")[n].alias(n) for n in names])

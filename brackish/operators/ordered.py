@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from brackish.operators.keys import attach, join_on
-from brackish.session import cut_lineage
+from brackish.session import cut_lineage, settle
 
 CHUNK_ROWS = 100_000
 
@@ -43,7 +43,7 @@ def with_row_index(
         .drop("_rows")
     )
     return (
-        join_on(placed, splits, [*keys, "_split"], "inner")
+        join_on(placed, settle(splits), [*keys, "_split"], "inner")
         .withColumn(name, F.col("_before") + F.col("_pos") - F.col("_first"))
         .drop("_split", "_pos", "_first", "_before")
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add, mul
@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brackish.functions.tails import f_upper, t_two_sided, z_p_value
-from brackish.operators.keys import attach, join_on
+from brackish.functions.tails import f_upper, t_p_value, t_two_sided, z_p_value
+from brackish.operators.keys import attach
 from brackish.operators.moments import cross_moments, square
+from brackish.session import settle
 
 # A column whose unexplained share falls below this is a combination of earlier ones.
 ALIAS_TOLERANCE = 1e-10
@@ -379,6 +380,30 @@ def predict(df: DataFrame, fitted: DataFrame, keys: Sequence[str], model: Model,
     return attach(df, mine, keys).withColumn(name, reduce(add, parts, F.col("_b")[0])).drop("_b")
 
 
+def _reweighted(
+    rows: DataFrame,
+    keys: Sequence[str],
+    start: DataFrame,
+    model: Model,
+    factors: Factors,
+    passes: int,
+    score: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Refit with weights from the last fit, a fixed number of times, all groups at once.
+
+    Each pass aggregates the stored rows once and leaves a small coefficient table, which is
+    written out so that the plan does not grow. `score` gets the rows with ``_fit``,
+    ``_sigma`` and returns the columns to fit with the weight ``_w``.
+    """
+    fitted = settle(start)
+    for _ in range(passes):
+        share = F.sqrt(F.try_divide(F.col("df_residual"), F.col("n")))
+        sigma = _fits(fitted).select(*keys, (F.col("sigma") * share).alias("_sigma"))
+        scored = score(attach(predict(rows, fitted, keys, model, factors, "_fit"), sigma, keys))
+        fitted = settle(fit_models(scored, keys, [model], factors, weight="_w"))
+    return fitted
+
+
 def fit_student(
     df: DataFrame,
     keys: Sequence[str],
@@ -387,29 +412,39 @@ def fit_student(
     nu: float = 4.0,
     passes: int = 8,
 ) -> DataFrame:
-    """Regression with Student-t residuals by a fixed number of reweighting passes.
+    """Regression with Student-t residuals (`nu` degrees of freedom) by reweighting."""
+    factors = factors or {}
+    used = [model.response, *dict.fromkeys(v for t in model.terms for v in t.split(":"))]
+    rows = df.select(*keys, *used).dropna(subset=used)
+    rows = settle(rows, "student")
+
+    def score(fitted: DataFrame) -> DataFrame:
+        ratio = F.try_divide(F.col(model.response) - F.col("_fit"), F.col("_sigma"))
+        return fitted.withColumn("_w", (nu + 1) / (nu + F.coalesce(ratio * ratio, F.lit(0.0))))
+
+    return _reweighted(rows, keys, fit_models(rows, keys, [model], factors), model, factors, passes, score)
+
+
+def fit_log_link(
+    df: DataFrame, keys: Sequence[str], model: Model, factors: Factors | None = None, passes: int = 8
+) -> DataFrame:
+    """Gaussian model with a log link, ``log(E[y]) = terms``, by reweighted least squares.
 
-    Each pass is one aggregation of the rows and leaves a small coefficient table, which
-    is written out so that the plan does not grow.
+    Starts from the regression of log y, so y must be positive. Coefficients are those of the
+    last pass.
     """
-    from brackish.session import cut_lineage
-
     factors = factors or {}
     used = [model.response, *dict.fromkeys(v for t in model.terms for v in t.split(":"))]
-    rows = df.select(*keys, *used).dropna(subset=used)
-    fitted = cut_lineage(fit_models(rows, keys, [model], factors))
-    for _ in range(passes):
-        residual = F.col(model.response) - F.col("_fit")
-        scored = predict(rows, fitted, keys, model, factors, "_fit")
-        spread = _fits(fitted).select(*keys, F.col("sigma").alias("_sigma"))
-        if "_scale" in fitted.columns:
-            spread = fitted.select(*keys, F.col("_scale").alias("_sigma"))
-        ratio = F.try_divide(residual, F.col("_sigma"))
-        weighted = attach(scored, spread, keys).withColumn("_w", (nu + 1) / (nu + F.coalesce(ratio * ratio, F.lit(0.0))))
-        scale = weighted.groupBy(*keys).agg(F.sqrt(F.avg(F.col("_w") * residual * residual)).alias("_scale"))
-        refit = fit_models(weighted, keys, [model], factors, weight="_w")
-        fitted = cut_lineage(attach(refit, scale, keys))
-    return fitted.drop("_scale")
+    rows = df.select(*keys, *used).dropna(subset=used).where(F.col(model.response) > 0)
+    rows = settle(rows.withColumn("_y", F.col(model.response).cast("double")), "glm")
+    start = rows.withColumn(model.response, F.ln("_y"))
+
+    def score(fitted: DataFrame) -> DataFrame:
+        mu = F.exp("_fit")
+        return fitted.withColumns({model.response: F.col("_fit") + (F.col("_y") - mu) / mu, "_w": mu * mu})
+
+    first = fit_models(start, keys, [model], factors)
+    return _reweighted(rows, keys, first, model, factors, passes, score)
 
 
 # --- correlation ---------------------------------------------------------------------
@@ -420,8 +455,6 @@ def correlations(df: DataFrame, keys: Sequence[str], columns: Sequence[str], aga
 
     Aggregated wide, reshaped after: the data is not unpivoted.
     """
-    from brackish.functions.tails import t_p_value
-
     a = F.col(against)
     wide = df.groupBy(*keys).agg(
         *[

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -86,23 +85,20 @@ def variogram(
         .groupBy(*keys, F.floor(F.col(x) / size).alias("cx"), F.floor(F.col(y) / size).alias("cy"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(z).alias("s"), F.sum(F.col(z) * F.col(z)).alias("q"))
     )
-    reach = range(-cells_per_cutoff, cells_per_cutoff + 1)
-    offsets = [
-        (i, j, math.hypot(i, j) * size)
-        for i in reach
-        for j in reach
-        if (i, j) > (0, 0) and i * i + j * j <= cells_per_cutoff * cells_per_cutoff
-    ]
-    steps = F.array(
-        *[
-            F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(d).alias("distance"))
-            for i, j, d in offsets
-        ]
+    reach = F.sequence(F.lit(-cells_per_cutoff), F.lit(cells_per_cutoff))
+    d2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    ahead = (F.col("dx") > 0) | ((F.col("dx") == 0) & (F.col("dy") > 0))
+    probes = (
+        cells.select(
+            *keys, F.col("cx").alias("_x"), F.col("cy").alias("_y"),
+            *[F.col(c).alias(f"{c}1") for c in ("n", "s", "q")], F.explode(reach).alias("dx"),
+        )
+        .withColumn("dy", F.explode(reach))
+        .where(ahead & (d2 <= cells_per_cutoff * cells_per_cutoff))
+        .withColumns(
+            {"cx": F.col("_x") + F.col("dx"), "cy": F.col("_y") + F.col("dy"), "distance": F.sqrt(d2) * size}
+        )
     )
-    probes = cells.select(
-        *keys, F.col("cx").alias("_x"), F.col("cy").alias("_y"),
-        *[F.col(c).alias(f"{c}1") for c in ("n", "s", "q")], F.inline(steps),
-    ).withColumns({"cx": F.col("_x") + F.col("dx"), "cy": F.col("_y") + F.col("dy")})
     met = join_on(probes, cells, [*keys, "cx", "cy"], "inner").select(
         *keys,
         "distance",

@@ -18,6 +18,7 @@ from brackish.operators.regression import (
     apply_line,
     coefficients,
     correlations,
+    fit_log_link,
     fit_models,
     fit_student,
     fit_summary,
@@ -213,10 +214,8 @@ def g7_quadratic_fit(t: Tables) -> DataFrame:
 
 @query("g8_log_link_glm")
 def g8_log_link_glm(t: Tables) -> DataFrame:
-    from brackish.operators.glm import log_link_fit
-
     rows = t.lineitem.withColumn("y", F.col("l_extendedprice") / 1e4)
-    return log_link_fit(rows, "l_returnflag", ["A", "N", "R"], "y", ["l_quantity"])
+    return coefficients(fit_log_link(rows, ["l_returnflag"], Model("y", ("l_quantity",)), passes=5))
 
 
 @query(

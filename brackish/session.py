@@ -48,3 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the checkpoint folder so that later passes read stable rows."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write a derived table to the shared scratch area and read it back.
+
+    The planner then knows its real size: a small one is broadcast by the session's own
+    threshold, so the large side of the join is not shuffled; a large one is sorted. The
+    table is also computed once, however often it is used.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
