@@ -192,14 +192,14 @@ def with_carbonate_system(
     base = df.withColumn("_t", F.col(temperature) + 273.15).withColumns(
         {"_log_t": F.ln("_t"), "_root_s": F.sqrt(s), "_h": F.pow(F.lit(10.0), -F.col(ph))}
     )
-    h, k1, k2, kb, kw, ks, kf, k0 = (F.col(f"_{n}") for n in ("h", "k1", "k2", "kb", "kw", "ks", "kf", "k0"))
+    h, k1, k2, kb, kw, ks, kf = (F.col(f"_{n}") for n in ("h", "k1", "k2", "kb", "kw", "ks", "kf"))
     first, second = k_carbonic(w, constants, scale)
     ready = (
         base.withColumns(
             {"_scale": seawater_to_total(w), "_ks": k_sulfate(w), "_kf": k_fluoride(w)}
         )
         .withColumns({"_k1": first, "_k2": second})
-        .withColumns({"_kb": k_boric(w), "_kw": k_water(w), "_k0": k_henry(w), "_free": h / (1 + total_sulfate(s) / ks)})
+        .withColumns({"_kb": k_boric(w), "_kw": k_water(w), "_free": h / (1 + total_sulfate(s) / ks)})
     )
     free = F.col("_free")
     carbonate_alkalinity = (
@@ -221,7 +221,7 @@ def with_carbonate_system(
             }
         )
     )
-    out = out.withColumns({"_fco2": F.col("_co2") / k0 * 1e6, "_product": F.col("_co3") * total_calcium(s)})
+    out = out.withColumns({"_fco2": F.col("_co2") / k_henry(w) * 1e6, "_product": F.col("_co3") * total_calcium(s)})
     return out.withColumns(
         {
             "CO2": F.col("_co2") * 1e6,

@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brackish.session import prepare
+
 
 class Tables:
     """The supplied tables of one folder, opened on first use."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.folder = folder.rstrip("/")
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"

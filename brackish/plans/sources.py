@@ -235,7 +235,7 @@ def s10_write_partitioned(t: Tables) -> DataFrame:
     WITH hourly AS (
         SELECT event_type, date_trunc('hour', ts) AS date, avg(value) AS mean FROM events GROUP BY 1, 2
     )
-    SELECT event_type, date_trunc('day', date) AS date, round(avg(mean), 6) AS mean, count(*) AS hours
+    SELECT event_type, date_trunc('day', date) AS date, round(avg(mean), 9) AS mean, count(*) AS hours
     FROM hourly GROUP BY 1, 2
     """,
 )
@@ -243,7 +243,7 @@ def s11_chained_tables(t: Tables) -> DataFrame:
     hourly = t.events.groupBy("event_type", floor_time(F.col("ts"), "hour").alias("date")).agg(F.avg("value").alias("mean"))
     stored = through_table(hourly, scratch_path(t.spark, "hourly"))
     return stored.groupBy("event_type", floor_time(F.col("date"), "day").alias("date")).agg(
-        F.round(F.avg("mean"), 6).alias("mean"), F.count(F.lit(1)).alias("hours")
+        F.round(F.avg("mean"), 9).alias("mean"), F.count(F.lit(1)).alias("hours")
     )
 
 

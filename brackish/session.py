@@ -9,10 +9,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings every query relies on. The method limit is the size up to which the JVM compiles a
+# method: wider generated code would run interpreted, so Spark should split it instead.
+QUERY_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the settings the operators rely on to a session made elsewhere."""
+    for key, value in QUERY_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "brackish", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; `conf` wins over the defaults."""
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **QUERY_SETTINGS,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
