@@ -372,12 +372,17 @@ def marginal_effects(fitted: DataFrame, model: Model, variable: str, factors: Fa
     )
 
 
+def _fitted_value(model: Model, factors: Factors) -> Column:
+    """Fitted value from the coefficient array ``_b``; aliased coefficients count as zero."""
+    columns = [c for t in model.terms for c in term_columns(t, factors).values()]
+    parts = [F.coalesce(F.col("_b")[i + 1], F.lit(0.0)) * c for i, c in enumerate(columns)]
+    return reduce(add, parts, F.col("_b")[0])
+
+
 def predict(df: DataFrame, fitted: DataFrame, keys: Sequence[str], model: Model, factors: Factors, name: str) -> DataFrame:
     """Fitted value of each row; coefficients dropped as aliased count as zero."""
-    columns = [c for t in model.terms for c in term_columns(t, factors).values()]
     mine = _fits(fitted).where(F.col("dependent") == model.response).select(*keys, F.col("terms.estimate").alias("_b"))
-    parts = [F.coalesce(F.col("_b")[i + 1], F.lit(0.0)) * c for i, c in enumerate(columns)]
-    return attach(df, mine, keys).withColumn(name, reduce(add, parts, F.col("_b")[0])).drop("_b")
+    return attach(df, mine, keys).withColumn(name, _fitted_value(model, factors)).drop("_b")
 
 
 def _reweighted(
@@ -398,8 +403,10 @@ def _reweighted(
     fitted = settle(start)
     for _ in range(passes):
         share = F.sqrt(F.try_divide(F.col("df_residual"), F.col("n")))
-        sigma = _fits(fitted).select(*keys, (F.col("sigma") * share).alias("_sigma"))
-        scored = score(attach(predict(rows, fitted, keys, model, factors, "_fit"), sigma, keys))
+        last = _fits(fitted).select(
+            *keys, F.col("terms.estimate").alias("_b"), (F.col("sigma") * share).alias("_sigma")
+        )
+        scored = score(attach(rows, last, keys).withColumn("_fit", _fitted_value(model, factors)))
         fitted = settle(fit_models(scored, keys, [model], factors, weight="_w"))
     return fitted
 
