@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from brackish.functions.nulls import clamp_below, log_offset, null_if, to_number
 from brackish.functions.times import flag_at, season_by_cut, season_by_month
-from brackish.operators.ordered import exact_quantiles
-from brackish.operators.keys import attach
+from brackish.operators.ordered import exact_quantiles, with_row_index
 from brackish.operators.project import across, add_suffix, bin_by_edges, column_range, relocate
 from brackish.operators.reshape import rank_levels, relabel
 from brackish.plans.catalog import Tables, query
@@ -138,9 +137,9 @@ def p9_ordered_category(t: Tables) -> DataFrame:
 )
 def p9_category_by_median(t: Tables) -> DataFrame:
     medians = exact_quantiles(t.events, ["event_type"], "value", {"median": 0.5})
-    ordered = medians.agg(F.array_sort(F.collect_list(F.struct("median", "event_type"))).alias("levels"))
-    position = F.array_position(F.col("levels"), F.struct("median", "event_type")).cast("int")
-    return attach(medians, ordered, []).select("event_type", F.round("median", 6).alias("median"), position.alias("level"))
+    ranked = with_row_index(medians, [], ["median", "event_type"], "_i")
+    level = (F.col("_i") + 1).cast("int")
+    return ranked.select("event_type", F.round("median", 6).alias("median"), level.alias("level"))
 
 
 @query(
