@@ -103,7 +103,28 @@ def x3_kriging_surface(t: Tables) -> DataFrame:
     return kriging_surface(_weights(t), ["season"], RING, pixels=100)
 
 
-@query("x4_group_status")
+@query(
+    "x4_group_status",
+    f"""
+    WITH {POINT_SQL}, s AS (
+        SELECT vec_id, CASE WHEN vec_id < 2 THEN 9 ELSE season END AS season, x, y, z,
+               floor(x / (0.3 / 12)) AS cx, floor(y / (0.3 / 12)) AS cy FROM points
+    ), pairs AS (
+        SELECT a.season, (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 AS d2, (a.z - b.z) ** 2 AS sq
+        FROM s a JOIN s b ON a.season = b.season AND a.vec_id < b.vec_id
+        WHERE (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= 144
+    ), lags AS (
+        SELECT season, least(floor(sqrt(d2) * 3 / 12), 2) AS lag, avg(sqrt(d2)) AS distance, avg(sq) / 2 AS gamma
+        FROM pairs GROUP BY 1, 2
+    ), fit AS (SELECT season, regr_slope(gamma, distance) AS b FROM lags GROUP BY 1),
+    cells AS (SELECT season, count(DISTINCT (floor(x / 0.05), floor(y / 0.05))) AS n FROM s GROUP BY 1),
+    done AS (
+        SELECT season, n, CASE WHEN n < 3 THEN 'too few points' WHEN b IS NULL OR b <= 0 THEN 'no spatial structure' ELSE 'ok' END AS status
+        FROM cells LEFT JOIN fit USING (season)
+    )
+    SELECT season, status, CAST(CASE WHEN status = 'ok' THEN n ELSE 0 END AS INTEGER) AS points FROM done
+    """,
+)
 def x4_group_status(t: Tables) -> DataFrame:
     """One group has two points only: it reports so instead of failing the job."""
     rows = points(t).withColumn("season", F.when(F.col("vec_id") < 2, 9).otherwise(F.col("season")))

@@ -97,10 +97,33 @@ def g3_factor_interaction(t: Tables) -> DataFrame:
     return coefficients(fitted).select("l_returnflag", "term", F.round("estimate", 6).alias("estimate"))
 
 
-@query("g3_three_way_interaction")
+def _three_way_sql() -> str:
+    """Differences of the six separate lines give the coefficients of the fully crossed model."""
+    cells = ", ".join(
+        f"max({v}) FILTER (f = '{f}' AND r = '{r}') AS {v}{f}{r}" for v in "ab" for f in "FO" for r in "ANR"
+    )
+    rows = []
+    for v, name in (("a", "(Intercept)"), ("b", "l_quantity")):
+        prefix = "" if v == "a" else "l_quantity:"
+        rows.append((name, f"{v}FA"))
+        rows.append((f"{prefix}l_linestatusO", f"{v}OA - {v}FA"))
+        for r in "NR":
+            rows.append((f"{prefix}l_returnflag{r}", f"{v}F{r} - {v}FA"))
+            rows.append((f"{prefix}l_linestatusO:l_returnflag{r}", f"({v}O{r} - {v}F{r}) - ({v}OA - {v}FA)"))
+    body = " UNION ALL ".join(f"SELECT '{t}' AS term, round({e}, 5) AS estimate FROM wide" for t, e in rows)
+    return f"""
+        WITH lines AS (
+            SELECT l_linestatus AS f, l_returnflag AS r, regr_intercept(l_extendedprice, l_quantity) AS a,
+                   regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem GROUP BY 1, 2
+        ), wide AS (SELECT {cells} FROM lines) {body}
+    """
+
+
+@query("g3_three_way_interaction", _three_way_sql())
 def g3_three_way_interaction(t: Tables) -> DataFrame:
     model = Model.crossed("l_extendedprice", "l_quantity", "l_linestatus", "l_returnflag")
-    return coefficients(fit_models(t.lineitem, [], [model], FACTORS))
+    table = coefficients(fit_models(t.lineitem, [], [model], FACTORS))
+    return table.select("term", F.round("estimate", 5).alias("estimate"))
 
 
 @query(
