@@ -377,30 +377,49 @@ def f17_density(t: Tables) -> DataFrame:
     return samples(t).select(*KEY, F.round(density(F.col("salinity"), F.col("temperature")), 6).alias("rho"))
 
 
-@query(
-    "f18_carbonate_system",
-    f"""
+LUEKER_SQL = (
+    "10 ** -(3633.86 / t - 61.2172 + 9.6777 * ln(t) - 0.011555 * s + 0.0001152 * s ** 2)",
+    "10 ** -(471.78 / t + 25.929 - 3.16967 * ln(t) - 0.01781 * s + 0.0001122 * s ** 2)",
+)
+WATERS_SQL = (
+    "10 ** -(-126.34048 + 6320.813 / t + 19.568224 * ln(t) + 13.409160 * sqrt(s) + 0.031646 * s - 5.1895e-5 * s ** 2"
+    " + (-531.3642 * sqrt(s) - 5.713 * s) / t - 2.0669166 * sqrt(s) * ln(t)) * (1 + st / ks) / (1 + st / ks + ft / kf)",
+    "10 ** -(-90.18333 + 5143.692 / t + 14.613358 * ln(t) + 21.225890 * sqrt(s) + 0.12450870 * s - 3.7243e-4 * s ** 2"
+    " + (-779.3444 * sqrt(s) - 19.91739 * s) / t - 3.3534679 * sqrt(s) * ln(t)) * (1 + st / ks) / (1 + st / ks + ft / kf)",
+)
+
+
+def _carbonate_sql(k1: str, k2: str) -> str:
+    return f"""
     WITH {SAMPLE_SQL}, p AS (
         SELECT *, salinity AS s, temperature + 273.15 AS t, 10 ** (-(7.7 + l_suppkey % 5 / 10.0)) AS h FROM sample
-    ), k AS (
-        SELECT *, 10 ** -(3633.86 / t - 61.2172 + 9.6777 * ln(t) - 0.011555 * s + 0.0001152 * s ** 2) AS k1,
-            10 ** -(471.78 / t + 25.929 - 3.16967 * ln(t) - 0.01781 * s + 0.0001122 * s ** 2) AS k2,
-            exp((-8966.90 - 2890.53 * sqrt(s) - 77.942 * s + 1.728 * s ** 1.5 - 0.0996 * s ** 2) / t + 148.0248
-                + 137.1942 * sqrt(s) + 1.62142 * s - (24.4344 + 25.085 * sqrt(s) + 0.2474 * s) * ln(t) + 0.053105 * sqrt(s) * t) AS kb,
-            exp(148.9652 - 13847.26 / t - 23.6521 * ln(t) + (118.67 / t - 5.977 + 1.0495 * ln(t)) * sqrt(s) - 0.01615 * s) AS kw,
-            exp(93.4517 * 100 / t - 60.2409 + 23.3585 * ln(t / 100) + s * (0.023517 - 0.023656 * t / 100 + 0.0047036 * (t / 100) ** 2)) AS k0,
-            19.924 * s / (1000 - 1.005 * s) AS i, s * 0.14 / 96.062 / 1.80655 AS st, s * 0.000067 / 18.998 / 1.80655 AS ft,
+    ), b AS (
+        SELECT *, 19.924 * s / (1000 - 1.005 * s) AS i, s * 0.14 / 96.062 / 1.80655 AS st, s * 0.000067 / 18.998 / 1.80655 AS ft,
             s * 0.000232 / 10.811 / 1.80655 AS bt, s * 0.02127 / 40.078 / 1.80655 AS ca
         FROM p
     ), q AS (
         SELECT *, exp(-4276.1 / t + 141.328 - 23.093 * ln(t) + (-13856 / t + 324.57 - 47.986 * ln(t)) * sqrt(i)
                 + (35474 / t - 771.54 + 114.723 * ln(t)) * i - 2698 / t * i ** 1.5 + 1776 / t * i ** 2 + ln(1 - 0.001005 * s)) AS ks,
             exp(1590.2 / t - 12.641 + 1.525 * sqrt(i) + ln(1 - 0.001005 * s)) AS kf
-        FROM k
-    ), f AS (SELECT *, h / (1 + st / ks) AS hf FROM q
+        FROM b
+    ), k AS (
+        SELECT *, {k1} AS k1, {k2} AS k2,
+            exp((-8966.90 - 2890.53 * sqrt(s) - 77.942 * s + 1.728 * s ** 1.5 - 0.0996 * s ** 2) / t + 148.0248
+                + 137.1942 * sqrt(s) + 1.62142 * s - (24.4344 + 25.085 * sqrt(s) + 0.2474 * s) * ln(t) + 0.053105 * sqrt(s) * t) AS kb,
+            exp(148.9652 - 13847.26 / t - 23.6521 * ln(t) + (118.67 / t - 5.977 + 1.0495 * ln(t)) * sqrt(s) - 0.01615 * s) AS kw,
+            exp(93.4517 * 100 / t - 60.2409 + 23.3585 * ln(t / 100) + s * (0.023517 - 0.023656 * t / 100 + 0.0047036 * (t / 100) ** 2)) AS k0
+        FROM q
+    ), f AS (SELECT *, h / (1 + st / ks) AS hf FROM k
     ), a AS (SELECT *, ta / 1e6 - bt / (1 + h / kb) - kw / h + hf + st / (1 + ks / hf) + ft / (1 + kf / hf) AS ac FROM f
     ), d AS (SELECT *, ac * (h * h + k1 * h + k1 * k2) / (k1 * h + 2 * k1 * k2) AS dic0 FROM a
     ), e AS (SELECT *, dic0 / (1 + k1 / h + k1 * k2 / (h * h)) AS co2, dic0 / (1 + h / k2 + h * h / (k1 * k2)) AS co3 FROM d)
+    """
+
+
+@query(
+    "f18_carbonate_system",
+    f"""
+    {_carbonate_sql(*LUEKER_SQL)}
     SELECT l_orderkey, l_partkey, l_suppkey, round(co2 * 1e6, 6) AS CO2, round((dic0 - co2 - co3) * 1e6, 6) AS HCO3,
         round(co3 * 1e6, 6) AS CO3, round(dic0 * 1e6, 6) AS DIC, round(co2 / k0 * 1e6, 6) AS fCO2,
         round(co2 / k0 * 1e6 / exp((-1636.75 + 12.0408 * t - 0.0327957 * t ** 2 + 3.16528e-5 * t ** 3 + 2 * (57.7 - 0.118 * t)) / (82.05736 * t)), 6) AS pCO2,
@@ -418,7 +437,16 @@ def f18_carbonate_system(t: Tables) -> DataFrame:
     return out.select(*KEY, *[F.round(c, 6).alias(c) for c in names])
 
 
-@query("f18_carbonate_constants_w14")
+@query(
+    "f18_carbonate_constants_w14",
+    f"""
+    {_carbonate_sql(*WATERS_SQL)}
+    SELECT location, season, round(avg(dic0 * 1e6), 6) AS dic,
+           round(avg(co2 / k0 * 1e6 / exp((-1636.75 + 12.0408 * t - 0.0327957 * t ** 2 + 3.16528e-5 * t ** 3
+                                           + 2 * (57.7 - 0.118 * t)) / (82.05736 * t))), 6) AS pco2
+    FROM e GROUP BY 1, 2
+    """,
+)
 def f18_carbonate_constants_w14(t: Tables) -> DataFrame:
     rows = samples(t).select("location", "season", "salinity", "temperature", "ta", (7.7 + F.col("l_suppkey") % 5 / 10.0).alias("ph"))
     out = with_carbonate_system(rows, "ph", "ta", "salinity", "temperature", constants="w14")
