@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -45,18 +45,36 @@ def build_session(app: str = "brackish", master: str | None = None, **conf: str)
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a laptop) gets a fresh folder.
+    Only a session on one machine (tests, a laptop) that names none gets a fresh folder. On a
+    cluster each executor would write such a folder to its own disk, so that is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and context.getCheckpointDir() is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="brackish-"))
     return root or context.getCheckpointDir()
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's derived tables, under the checkpoint folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/brackish-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own for one run, under the checkpoint folder."""
-    return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
+    """A path of its own for one derived table."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the derived tables this application has written.
+
+    Call it when the results that were built from them have been written: a DataFrame that
+    still reads one of them fails afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
