@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from brackish.llm.chat import CLOSE, OPEN, render_conversations
+from brackish.llm.decontaminate import find_contamination
 from brackish.llm.exact_dedup import duplicate_groups
+from brackish.llm.license_scan import BASE, TEMPLATES, scan_licenses, template_regex
 from brackish.llm.line_dedup import drop_common_lines
+from brackish.llm.quality import score_quality
+from brackish.llm.sentencepiece import encode_texts
 from brackish.llm.text import read
+from brackish.llm.token_counts import count_tokens
+from brackish.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +38,39 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query(
+    "op3_decontamination",
+    rf"""
+    WITH docs AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+    items AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+    windows AS (
+        SELECT item_id, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2),
+                                              lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS passage,
+               least(len(w), 13) AS n
+        FROM items WHERE len(w) > 0
+    ), sizes AS (SELECT DISTINCT n FROM windows),
+    passages AS (
+        SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos,
+               unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS passage
+        FROM docs, sizes WHERE len(w) >= n
+    ), hits AS (
+        SELECT doc_id, item_id, pos, n FROM passages JOIN windows USING (passage, n)
+    ), found AS (
+        SELECT doc_id, count(DISTINCT p) AS n_hit, count(DISTINCT item_id) AS n_items,
+               array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS ids
+        FROM (SELECT doc_id, item_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM docs LEFT JOIN found USING (doc_id)
+    """,
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"), with_text=False)
+    return found.drop("longest_match")
+
+
 @query(
     "op4_exact_dedup",
     r"""
@@ -72,3 +114,95 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return drop_common_lines(read(spark, folder, "documents"), with_text=False)
+
+
+def _license_sql() -> str:
+    """Base places word by word; the templates as regular expressions over the joined words."""
+    places, labels = [], []
+    for phrase, label in BASE.items():
+        parts = phrase.split()
+        same = " AND ".join(f"w[i + {k}] = '{part}'" for k, part in enumerate(parts))
+        places.append(f"list_filter(range(1, len(w) + 1), lambda i: coalesce({same}, false))")
+        labels.append(f"CASE WHEN len({places[-1]}) > 0 THEN '{label}' END")
+    wording = [f"CASE WHEN regexp_matches(line, '{template_regex(t)}') THEN '{label}' END" for label, t in TEMPLATES.items()]
+    listed = "list_sort(list_distinct(list_filter([{}], lambda x: x IS NOT NULL)))"
+    return f"""
+    WITH split AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+    found AS (
+        SELECT doc_id, w, list_sort(flatten([{", ".join(places)}])) AS starts,
+               {listed.format(", ".join(labels))} AS base, {listed.format(", ".join(wording))} AS accepted
+        FROM (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line FROM split)
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base,
+           starts[1] - 1 AS first_word, starts[-1] - 1 AS last_word, array_to_string(base, ',') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_concat(base, accepted))), ',') AS labels,
+           CASE WHEN len(accepted) > 0 THEN 1.0 WHEN len(starts) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+    FROM found
+    """
+
+
+@query("op8_license_scan", _license_sql())
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(read(spark, folder, "documents")).drop("accepted")
+
+
+@query(
+    "op9_warc",
+    """
+    WITH hashed AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+    ), first AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM hashed)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to
+    FROM first
+    """,
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_pages(read(spark, folder, "pages"))
+
+
+@query(
+    "op10_chat",
+    f"""
+    WITH turns AS (
+        SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    ), ordered AS (
+        SELECT *, md5(length(role) || ':' || role || text) AS digest FROM turns
+    ), talks AS (
+        SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS digests,
+               string_agg('{OPEN}' || replace(role, '<|im_', '<| im_') || chr(10) || replace(text, '<|im_', '<| im_')
+                          || '{CLOSE}' || chr(10), '' ORDER BY turn NULLS FIRST, digest) AS rendered
+        FROM ordered GROUP BY conv_id
+    ), inner_parts AS (
+        SELECT DISTINCT unnest(list_transform(range(1, len(digests)), lambda n: array_to_string(digests[1:n], ','))) AS part FROM talks
+    ), equal_talks AS (
+        SELECT array_to_string(digests, ',') AS part, min(conv_id) AS conv_id, max(len(digests)) AS n_turns, count(*) AS copies
+        FROM talks GROUP BY ALL
+    )
+    SELECT conv_id, n_turns, copies, CAST(length(rendered) AS BIGINT) AS n_chars, sha256(rendered) AS rendered_sha256
+    FROM equal_talks JOIN talks USING (conv_id)
+    WHERE part NOT IN (SELECT part FROM inner_parts)
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    rendered = render_conversations(read(spark, folder, "conversations"))
+    return rendered.select(
+        "conv_id", "n_turns", "copies", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256")
+    )
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = encode_texts(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return encoded.select("doc_id", "n_pieces", F.col("scores")[0].alias("score"), F.array_min("scores").alias("last_score"), "ids_sha256", "n_best_sha256", "round_trip")
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(read(spark, folder, "documents"))
