@@ -237,7 +237,7 @@ def score_quality(
     total = sum(counts.values())
     part = min(1.0, sample / max(1, total))
     # a share of the hash's range, not of the rows: equal texts are in or out together
-    chosen = texts.select("text").where(F.shiftrightunsigned(F.xxhash64("text"), 1) <= F.lit(int(part * (2**63 - 1))))
+    chosen = texts.select("text").where(F.shiftrightunsigned(F.xxhash64("text"), 1) <= F.lit(min(int(part * 2**63), 2**63 - 1)))
     fitted = chosen.repartition(1).mapInArrow(partial(_train, posterior=posterior, weights=weights), "weights binary").first()
     shared = docs.sparkSession.sparkContext.broadcast(bytes(fitted.weights))
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, score double, good boolean"
