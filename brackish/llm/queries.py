@@ -13,6 +13,7 @@ from brackish.llm.decontaminate import find_contamination
 from brackish.llm.exact_dedup import duplicate_groups
 from brackish.llm.license_scan import BASE, TEMPLATES, scan_licenses, template_regex
 from brackish.llm.line_dedup import drop_common_lines
+from brackish.llm.near_dedup import near_duplicate_groups
 from brackish.llm.quality import score_quality
 from brackish.llm.sentencepiece import encode_texts
 from brackish.llm.text import read
@@ -206,3 +207,31 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(read(spark, folder, "documents"))
+
+
+@query(
+    "op5_near_dedup",
+    rf"""
+    WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+    shingles AS (
+        SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                              ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+        FROM docs WHERE len(w) > 0
+    ), bags AS (SELECT doc_id, s, count(*) AS n FROM shingles GROUP BY ALL),
+    totals AS (SELECT doc_id, sum(n) AS total FROM bags GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS least
+        FROM bags a JOIN bags b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+    ), links AS (
+        SELECT x, y FROM common JOIN totals a ON a.doc_id = x JOIN totals b ON b.doc_id = y
+        WHERE 5 * least >= 4 * (a.total + b.total - least)
+    ), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION SELECT reach.doc_id, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.other
+    ), classes AS (SELECT doc_id, min(other) AS class_id, count(*) AS class_size FROM reach GROUP BY doc_id)
+    SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM classes
+    """,
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_groups(read(spark, folder, "documents"))

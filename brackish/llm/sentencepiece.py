@@ -311,7 +311,9 @@ def _as_list(ids: bytes) -> list[int]:
     return np.frombuffer(ids, np.int32).tolist()
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, best: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _encode(
+    batches: Iterator[pa.RecordBatch], path: str, best: int, with_ids: bool, with_n_best: bool
+) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(Model(path), best)
     for batch in rows(batches, 64):
         raw = batch.column("text").to_pylist()
@@ -328,6 +330,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, best: int, with_ids: b
             trips.append(encoder.model.decode(listed) == text)
             if with_ids:
                 ids_out.append(listed)
+            if with_n_best:
                 best_out.append([_as_list(w) for _, w in ways])
         arrays = [
             batch.column("doc_id"),
@@ -339,21 +342,27 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, best: int, with_ids: b
         ]
         names = ["doc_id", "n_pieces", "scores", "ids_sha256", "n_best_sha256", "round_trip"]
         if with_ids:
-            arrays += [pa.array(ids_out, _LIST), pa.array(best_out, pa.list_(_LIST))]
-            names += ["ids", "n_best"]
+            arrays, names = [*arrays, pa.array(ids_out, _LIST)], [*names, "ids"]
+        if with_n_best:
+            arrays, names = [*arrays, pa.array(best_out, pa.list_(_LIST))], [*names, "n_best"]
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
 def encode_texts(
-    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", best: int = BEST, with_ids: bool = True
+    docs: DataFrame,
+    path: str,
+    key: str = "doc_id",
+    text: str = "text",
+    best: int = BEST,
+    with_ids: bool = True,
+    with_n_best: bool = False,
 ) -> DataFrame:
     """Per document: doc_id, n_pieces, scores of the N best, digests of the best ids and of all N
     best, round_trip (decoding the ids gives the text), and if asked for ids and n_best."""
     texts = documents(docs, key, text)
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_pieces long, scores array<double>, ids_sha256 string, n_best_sha256 string, round_trip boolean"
-    if with_ids:
-        schema += ", ids array<int>, n_best array<array<int>>"
-    return texts.mapInArrow(partial(_encode, path=path, best=best, with_ids=with_ids), schema)
+    schema += ", ids array<int>" * with_ids + ", n_best array<array<int>>" * with_n_best
+    return texts.mapInArrow(partial(_encode, path=path, best=best, with_ids=with_ids, with_n_best=with_n_best), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
