@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # Validity of the Lueker et al. (2000) constants.
 LUEKER_TEMPERATURE = (2.0, 35.0)
 LUEKER_SALINITY = (19.0, 43.0)
+# Validity of the Perez & Fraga (1987) constant.
+PEREZ_TEMPERATURE = (9.0, 33.0)
+PEREZ_SALINITY = (10.0, 40.0)
 
 
 class Water(NamedTuple):
@@ -70,6 +73,33 @@ def k_fluoride(w: Water) -> Column:
     return F.exp(1590.2 / t - 12.641 + 1.525 * F.sqrt(_ionic_strength(s)) + F.ln(1 - 0.001005 * s))
 
 
+def k_fluoride_total(w: Water) -> Column:
+    """Perez & Fraga (1987), total scale."""
+    return F.exp(874 / w.t - 9.68 + 0.111 * w.root_s)
+
+
+def k_phosphoric(w: Water) -> tuple[Column, Column, Column]:
+    """Dickson, Sabine & Christian (2007), total scale."""
+    s, t, r = w.s, w.t, w.root_s
+    return (
+        F.exp(-4576.752 / t + 115.525 - 18.453 * w.log_t + (-106.736 / t + 0.69171) * r + (-0.65643 / t - 0.01844) * s),
+        F.exp(-8814.715 / t + 172.0883 - 27.927 * w.log_t + (-160.340 / t + 1.3566) * r + (0.37335 / t - 0.05778) * s),
+        F.exp(-3070.75 / t - 18.141 + (17.27039 / t + 2.81197) * r + (-44.99486 / t - 0.09984) * s),
+    )
+
+
+def k_silicic(w: Water) -> Column:
+    """Dickson, Sabine & Christian (2007), total scale."""
+    t, i = w.t, _ionic_strength(w.s)
+    return F.exp(
+        -8904.2 / t + 117.385 - 19.334 * w.log_t
+        + (-458.79 / t + 3.5913) * F.sqrt(i)
+        + (188.74 / t - 1.5998) * i
+        + (-12.1652 / t + 0.07871) * i * i
+        + F.ln(1 - 0.001005 * w.s)
+    )
+
+
 def k_boric(w: Water) -> Column:
     """Dickson (1990), total scale."""
     s, t = w.s, w.t
@@ -178,11 +208,21 @@ def fugacity_factor(t: Column) -> Column:
 
 
 def with_carbonate_system(
-    df: DataFrame, ph: str, ta: str, salinity: str, temperature: str, constants: str = "w14"
+    df: DataFrame,
+    ph: str,
+    ta: str,
+    salinity: str,
+    temperature: str,
+    constants: str = "w14",
+    phosphate: str | None = None,
+    silicate: str | None = None,
+    fluoride: str = "dg",
 ) -> DataFrame:
     """Add CO2, HCO3, CO3, DIC (umol/kg), fCO2, pCO2 (uatm) and both saturation states.
 
-    `ta` in umol/kg, `temperature` in Celsius. The work is laid out as a chain of
+    `ta`, `phosphate` and `silicate` in umol/kg (a NULL nutrient counts as none), `temperature` in
+    Celsius. `fluoride` is ``"dg"`` (Dickson & Goyet), ``"pf"`` (Perez & Fraga) or ``"x"``, the
+    latter inside its range. The work is laid out as a chain of
     projections, each reusing columns of the one before, so that no single generated method
     grows past what the JVM compiles.
     """
@@ -202,14 +242,36 @@ def with_carbonate_system(
         .withColumns({"_kb": k_boric(w), "_kw": k_water(w), "_free": h / (1 + total_sulfate(s) / ks)})
     )
     free = F.col("_free")
+    if fluoride not in ("dg", "pf", "x"):
+        raise ValueError(f"unknown fluoride constant {fluoride!r}")
+    by_total = F.lit(float(fluoride == "pf"))
+    if fluoride == "x":
+        warm = F.col(temperature).between(*PEREZ_TEMPERATURE) & s.between(*PEREZ_SALINITY)
+        by_total = warm.cast("double")
+    nutrients = {}
+    if phosphate or silicate:
+        p1, p2, p3 = k_phosphoric(w)
+        amounts = {"_pt": phosphate, "_sit": silicate}
+        ready = ready.withColumns(
+            {n: F.coalesce(F.col(c), F.lit(0.0)) / 1e6 if c else F.lit(0.0) for n, c in amounts.items()}
+            | {"_p1": p1, "_p2": p2, "_p3": p3, "_ksi": k_silicic(w)}
+        )
+        p1, p2, p3 = (F.col(n) for n in ("_p1", "_p2", "_p3"))
+        charged = p1 * p2 * h + 2 * p1 * p2 * p3 - h * h * h
+        whole = h * h * h + p1 * h * h + p1 * p2 * h + p1 * p2 * p3
+        nutrients = {"_na": F.col("_pt") * charged / whole + F.col("_sit") / (1 + h / F.col("_ksi"))}
+        ready = ready.withColumns(nutrients)
+    bound = (1 - by_total) * kf / free + by_total * k_fluoride_total(w) / h
     carbonate_alkalinity = (
         F.col(ta) / 1e6
         - total_boron(s) / (1 + h / kb)
         - kw / h
         + free
         + total_sulfate(s) / (1 + ks / free)
-        + total_fluoride(s) / (1 + kf / free)
+        + total_fluoride(s) / (1 + (kf / free if fluoride == "dg" else bound))
     )
+    if nutrients:
+        carbonate_alkalinity = carbonate_alkalinity - F.col("_na")
     out = (
         ready
         .withColumn("_ca", carbonate_alkalinity)

@@ -1,58 +1,91 @@
-"""Tail probabilities of t, F and normal statistics, for small result tables."""
+"""Tail probabilities of t, F and normal statistics, over arrays."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Above this first parameter the gamma limit of the beta function is exact to rounding.
+_LARGE = 1e6
+_TINY = 1e-300
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    out = d
-    for m in range(1, 10_000):
+
+    def away(v: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(v) > _TINY, v, _TINY)
+
+    c, d = np.ones_like(x), 1.0 / away(1.0 - (a + b) * x / (a + 1.0))
+    out = d.copy()
+    for m in range(1, 20_000):
         for step in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
         ):
-            d = 1.0 + step * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + step / c
-            c = c if abs(c) > tiny else tiny
-            out *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    return out
+            d, c = 1.0 / away(1.0 + step * d), away(1.0 + step / c)
+            out = out * c * d
+        if not np.any(np.abs(c * d - 1.0) >= 1e-15):
+            return out
+    raise ArithmeticError("the continued fraction of the beta function has not settled")
+
 
+def upper_gamma(s: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Regularised upper incomplete gamma function for half-integer s: recurrence from s or s + 1."""
+    s, y = np.broadcast_arrays(np.asarray(s, float), np.asarray(y, float))
+    half = s % 1 != 0
+    out = np.where(half, _erfc(np.sqrt(y)), np.exp(-y))
+    at = np.where(half, 0.5, 1.0)
+    with np.errstate(divide="ignore"):
+        log_y = np.log(y)
+    while np.any(at < s):
+        grown = np.exp(np.where(y > 0, at * log_y, -np.inf) - y - _lgamma(at + 1.0))
+        out, at = np.where(at < s, out + grown, out), np.where(at < s, at + 1.0, at)
+    return np.minimum(out, 1.0)
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _beta_fraction(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
+
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function; for large `a` (then `b` a multiple of 1/2) its gamma limit."""
+    a, b, x = (np.array(v, float, ndmin=1) for v in np.broadcast_arrays(a, b, x))
+    out = np.where(x >= 1.0, 1.0, np.where(x <= 0.0, 0.0, np.nan))
+    inner = (x > 0.0) & (x < 1.0)
+    large = inner & (a > _LARGE)
+    out[large] = upper_gamma(b[large], -(a[large] + (b[large] - 1.0) / 2.0) * np.log(x[large]))
+    inner &= ~large
+    low = inner & (x < (a + 1.0) / (a + b + 2.0))
+    for rows, flip in ((low, False), (inner & ~low, True)):
+        p, q, v = a[rows], b[rows], x[rows]
+        front = np.exp(_lgamma(p + q) - _lgamma(p) - _lgamma(q) + p * np.log(v) + q * np.log1p(-v)) if len(v) else v
+        if not len(v):
+            continue
+        out[rows] = 1.0 - front * _beta_fraction(q, p, 1.0 - v) / q if flip else front * _beta_fraction(p, q, v) / p
+    return out
 
 
-def t_two_sided(t: float, df: float) -> float:
+def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    t, df = np.asarray(t, float), np.asarray(df, float)
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
-def f_upper(f: float, df1: float, df2: float) -> float:
-    return incomplete_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f)) if f > 0 else 1.0
+def f_upper(f: np.ndarray, df1: np.ndarray, df2: np.ndarray) -> np.ndarray:
+    f, df1, df2 = (np.asarray(v, float) for v in (f, df1, df2))
+    return incomplete_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * np.maximum(f, 0.0)))
 
 
 @F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if pd.isna(a) or pd.isna(b) or b <= 0 else t_two_sided(a, b) for a, b in zip(t, df)], dtype="float64"
-    )
+    known = t.notna() & df.notna() & (df > 0)
+    out = pd.Series(np.nan, index=t.index)
+    if known.any():
+        out[known] = t_two_sided(t[known].to_numpy(), df[known].to_numpy())
+    return out.where(known, None)
 
 
 @F.pandas_udf(DoubleType())

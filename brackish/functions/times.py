@@ -14,10 +14,20 @@ from pyspark.sql import functions as F
 # The layouts logger and laboratory files use.
 TIME_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ssX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd",
     "M/d/yyyy H:mm:ss",
     "M/d/yyyy H:mm",
     "M/d/yyyy",
+    "M/d/yy H:mm:ss",
+    "M/d/yy H:mm",
+    "M/d/yy",
     "dd.MM.yyyy HH'h'",
     "yyyy/MM/dd HH:mm",
     "yyyyMMdd",
@@ -28,7 +38,7 @@ SERIAL_DAY_OF_EPOCH = 719529
 
 # What each run of pattern letters looks like in the text.
 _SHAPES = {
-    "yyyy": r"\d{4}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}",
+    "yyyy": r"\d{4}", "yy": r"\d{2}", "SSSSSS": r"\d{1,6}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}",
     "HH": r"\d{2}", "H": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", "X": r"(?:Z|[+-]\d{2}(?::?\d{2})?)",
 }
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brackish.operators.keys import attach
 from brackish.operators.ordered import exact_quantiles
+from brackish.session import settle
 
 _NORMAL = 0.3989422804014327  # 1 / sqrt(2 pi)
 
@@ -24,16 +25,23 @@ def rule_of_thumb_bandwidth(df: DataFrame, keys: Sequence[str], value: str) -> D
     return joined.select(*keys, (0.9 * width * F.pow(F.col("_n"), F.lit(-0.2))).alias("bandwidth"))
 
 
-def _bin_linear(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, points: int) -> DataFrame:
-    """Weight of each grid cell, every value shared between its two neighbours."""
-    position = (F.col(value) - low) / ((high - low) / (points - 1))
+#: Beyond so many bandwidths the kernel is zero in double precision.
+_REACH = 40.0
+
+
+def _bin_linear(df: DataFrame, keys: Sequence[str], value: str, low: float, step: float) -> DataFrame:
+    """Weight of each grid cell, every value shared between its two neighbours.
+
+    Cells go on below and above the grid, so that rows outside of it count as well.
+    """
+    position = (F.col(value) - low) / step
     cell, share = F.floor(position), position - F.floor(position)
     halves = F.array(
         F.struct(cell.alias("cell"), (1 - share).alias("weight")),
         F.struct((cell + 1).alias("cell"), share.alias("weight")),
     )
     return (
-        df.where(F.col(value).between(low, high))
+        df.where(F.col(value).isNotNull())
         .select(*keys, F.inline(halves))
         .where(F.col("weight") > 0)
         .groupBy(*keys, "cell")
@@ -41,28 +49,39 @@ def _bin_linear(df: DataFrame, keys: Sequence[str], value: str, low: float, high
     )
 
 
+def _window(df: DataFrame, value: str, low: float | None, high: float | None) -> tuple[float, float]:
+    """The given window, completed by the column's own smallest and largest value."""
+    if low is None or high is None:
+        least, most = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+        low, high = (least or 0.0) if low is None else low, (most or 0.0) if high is None else high
+    return float(low), float(high) if high > low else float(low) + 1.0
+
+
 def density_curve(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     bandwidth: float | DataFrame,
-    low: float,
-    high: float,
+    low: float | None = None,
+    high: float | None = None,
     points: int = 512,
 ) -> DataFrame:
-    """Density of `value` at `points` grid positions per key, over rows inside [low, high].
+    """Density of `value` at `points` grid positions from `low` to `high`, by default its range.
 
-    Rows are first summed into grid cells map-side, so what spreads over the grid is at most
-    `points` cells per key, whatever the data's size.
+    All rows count, whether or not they lie between the ends. Rows are first summed into grid
+    cells map-side; a cell spreads over the grid only where its kernel is not zero.
     """
-    cells = _bin_linear(df, keys, value, low, high, points)
+    low, high = _window(df, value, low, high)
+    step = (high - low) / (points - 1)
+    cells = settle(_bin_linear(df, keys, value, low, step), "cells")
     total = cells.groupBy(*keys).agg(F.sum("weight").alias("_n"))
     cells = attach(cells, total, keys)
     if isinstance(bandwidth, DataFrame):
         cells = attach(cells, bandwidth, keys)
     else:
         cells = cells.withColumn("bandwidth", F.lit(float(bandwidth)))
-    step = (high - low) / (points - 1)
+    reach = _REACH * F.col("bandwidth") / step + 1
+    cells = cells.where(F.col("cell").between(-reach, points + reach))
     z = (F.col("point") - F.col("cell")) * step / F.col("bandwidth")
     return (
         cells.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
@@ -100,18 +119,21 @@ def density_surface(
     y_range: tuple[float, float],
     points: int = 25,
 ) -> DataFrame:
-    """Two-dimensional density with a product kernel, over rows inside the window.
+    """Two-dimensional density with a product kernel, at the window's grid but over all rows.
 
     Cells are summed first; the kernel is applied along x, then along y.
     """
-    inside = df.where(F.col(x).between(*x_range) & F.col(y).between(*y_range))
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     steps = {x: (x_range[1] - x_range[0]) / (points - 1), y: (y_range[1] - y_range[0]) / (points - 1)}
-    cells = inside.groupBy(
+    cells = known.groupBy(
         *keys,
-        F.round((F.col(x) - x_range[0]) / steps[x]).cast("int").alias("_cx"),
-        F.round((F.col(y) - y_range[0]) / steps[y]).cast("int").alias("_cy"),
+        F.round((F.col(x) - x_range[0]) / steps[x]).alias("_cx"),
+        F.round((F.col(y) - y_range[0]) / steps[y]).alias("_cy"),
     ).agg(F.count(F.lit(1)).alias("_w"))
+    cells = settle(cells, "cells")
     total = cells.groupBy(*keys).agg(F.sum("_w").alias("_n"))
+    for cell, step, h in (("_cx", steps[x], bandwidth[0]), ("_cy", steps[y], bandwidth[1])):
+        cells = cells.where(F.col(cell).between(-_REACH * h / step - 1, points + _REACH * h / step + 1))
     spread = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
 
     def kernel(point: str, cell: str, step: float, h: float):

@@ -4,39 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brackish.operators.keys import attach, join_on
-from brackish.operators.ordered import exact_quantiles, quantiles_of_indexed, with_row_index
+from brackish.operators.keys import attach
+from brackish.operators.ordered import CHUNK_ROWS, exact_quantiles, quantiles_of_counts, value_counts
 from brackish.operators.scaling import unstandardise
+from brackish.session import settle
 
 
 def shortest_interval(df: DataFrame, keys: Sequence[str], value: str, mass: float = 0.95) -> DataFrame:
     """Median and the narrowest interval holding `mass` of the draws, per key.
 
-    Sorted draws are numbered; each candidate pairs draw i with draw i + floor(n * mass),
-    so the search is one equi-join on position. ``sig`` says whether both ends share a sign.
+    Candidates pair sorted draw i with draw i + floor(n * mass). Of equal draws only the first
+    can begin the narrowest interval, so there is one candidate per distinct value; its partner is
+    looked up by position, in chunks of positions. ``sig`` says whether both ends share a sign.
     """
-    filled = df.select(*keys, value).where(F.col(value).isNotNull())
-    indexed = with_row_index(filled, keys, [value], "_i")
-    sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    ranked = attach(indexed, sizes, keys).withColumn("_k", F.floor(F.col("n") * F.lit(mass)))
-    i, k, n = F.col("_i"), F.col("_k"), F.col("n")
-    lower = ranked.where(i + k < n).select(*keys, (i + k).alias("_i"), F.col(value).alias("lower"))
-    upper = ranked.where(i >= k).select(*keys, "_i", F.col(value).alias("upper"))
-    best = (
-        join_on(lower, upper, [*keys, "_i"], "inner")
-        .groupBy(*keys)
-        .agg(
-            F.min_by(
-                F.struct("lower", "upper"), F.struct(F.col("upper") - F.col("lower"), F.col("_i"))
-            ).alias("_best")
-        )
-        .select(*keys, "_best.*")
+    counts = settle(value_counts(df, keys, value), "counts")
+    sizes = settle(counts.groupBy(*keys).agg(F.sum("count").alias("n")))
+    ranked = attach(counts, sizes, keys).withColumn("_k", F.floor(F.col("n") * F.lit(mass)))
+    first, target = F.col("before"), F.col("before") + F.col("_k")
+    # a value stands at its first position in every chunk that its draws reach
+    homes = F.sequence(F.floor(first / CHUNK_ROWS), F.floor((first + F.col("count") - 1) / CHUNK_ROWS))
+    stands = ranked.select(*keys, value, "before", F.explode(homes).alias("_chunk")).select(
+        *keys, "_chunk", F.greatest("before", F.col("_chunk") * CHUNK_ROWS).alias("_at"), F.col(value).alias("upper"), F.lit(None).cast(df.schema[value].dataType).alias("lower")
+    )
+    sought = ranked.where(target < F.col("n")).select(
+        *keys, F.floor(target / CHUNK_ROWS).alias("_chunk"), target.alias("_at"), F.lit(None).cast(df.schema[value].dataType).alias("upper"), F.col(value).alias("lower")
+    )
+    # at equal positions the value comes before the candidates that look for it
+    order = Window.partitionBy(*keys, "_chunk").orderBy("_at", F.col("upper").isNull())
+    met = stands.unionByName(sought).withColumn("upper", F.last("upper", ignorenulls=True).over(order)).where("lower IS NOT NULL")
+    best = met.groupBy(*keys).agg(
+        F.min_by(F.struct("lower", "upper"), F.struct(F.col("upper") - F.col("lower"), F.col("lower"))).alias("_best")
     )
-    median = quantiles_of_indexed(indexed, keys, value, "_i", {"median": 0.5})
-    out = attach(attach(sizes, median, keys), best, keys)
+    median = quantiles_of_counts(counts, keys, value, {"median": 0.5})
+    out = attach(attach(sizes, median, keys), best.select(*keys, "_best.*"), keys)
     same = F.signum("lower") == F.signum("upper")
     return out.withColumn("sig", F.when(same, "yes").when(same.isNotNull(), "no"))
 

@@ -1,4 +1,4 @@
-"""Means and covariances of many columns per group, in one pass."""
+"""Means and covariances of many columns per group."""
 
 from __future__ import annotations
 
@@ -21,54 +21,48 @@ def cross_moments(
     keys: Sequence[str],
     columns: Sequence[str],
     weight: str | None = None,
-    centre: bool = True,
     wanted: Sequence[tuple[int, int]] | None = None,
 ) -> DataFrame:
-    """Per key: ``n``, ``mean`` and population ``cov`` over complete rows.
+    """Per key: ``n``, ``total`` (weights, or n), ``mean`` and population ``cov`` over complete rows.
 
     ``cov`` holds the `wanted` column pairs, by default the whole upper triangle.
 
-    The sums of products are taken around the table's own means (a scalar subquery), which
-    keeps them accurate when a column's mean is large against its spread; plain sums stay in
-    generated code, where covariance aggregates of many columns do not. Pass
-    ``centre=False`` for columns that are already scaled. All partial results combine
-    map-side, so a hot key costs one small row per task. With a `weight` the moments are
-    weighted and ``n`` still counts rows.
+    Without weights this is one pass of central moments, which merge exactly however far groups
+    lie from each other or from zero; a hot key costs one small row per task. With a `weight` the
+    sums are taken around each group's own plain means, which is a second pass over the rows.
     """
     wanted = pairs(len(columns)) if wanted is None else wanted
-    names = [f"`{c}`" for c in columns]
     full = df.dropna(subset=[*columns, *([weight] if weight else [])])
-    if centre:
-        means = full.agg(*[F.avg(c).alias(f"_c{i}") for i, c in enumerate(columns)])
-        full = attach(full, means, [])
-        names = [f"(`{c}` - _c{i})" for i, c in enumerate(columns)]
-    times = f"`{weight}` * " if weight else ""
+    if weight is None:
+        return full.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count(F.lit(1)).cast("double").alias("total"),
+            F.array(*[F.avg(c) for c in columns]).alias("mean"),
+            F.array(*[F.covar_pop(columns[i], columns[j]) for i, j in wanted]).alias("cov"),
+        )
+    centres = full.groupBy(*keys).agg(F.array(*[F.avg(c) for c in columns]).alias("_c"))
+    full = attach(full, centres, keys)
+    away = [f"(`{c}` - _c[{i}])" for i, c in enumerate(columns)]
     raw = full.groupBy(*keys).agg(
         F.expr("count(1) AS n"),
-        F.expr(f"{f'sum(`{weight}`)' if weight else 'count(1)'} AS _w"),
-        F.expr(_array([f"max(_c{i})" if centre else "0D" for i in range(len(names))], "_o")),
-        F.expr(_array([f"sum({times}{c})" for c in names], "_s")),
-        F.expr(_array([f"sum({times}{names[i]} * {names[j]})" for i, j in wanted], "_p")),
-    )
-    return raw.select(
-        *keys,
-        "n",
-        F.expr("transform(_o, (o, i) -> o + _s[i] / _w) AS mean"),
-        F.expr(
-            _array(
-                [f"_p[{k}] / _w - (_s[{i}] / _w) * (_s[{j}] / _w)" for k, (i, j) in enumerate(wanted)], "cov"
-            )
-        ),
+        F.expr(f"sum(`{weight}`) AS total"),
+        F.expr("max(_c) AS _o"),
+        F.expr(_array([f"sum(`{weight}` * {c})" for c in away], "_s")),
+        F.expr(_array([f"sum(`{weight}` * {away[i]} * {away[j]})" for i, j in wanted], "_p")),
     )
+    cov = [f"_p[{k}] / total - (_s[{i}] / total) * (_s[{j}] / total)" for k, (i, j) in enumerate(wanted)]
+    return raw.select(*keys, "n", "total", F.expr("transform(_o, (o, i) -> o + _s[i] / total) AS mean"), F.expr(_array(cov, "cov")))
 
 
 def _array(items: Sequence[str], name: str) -> str:
     return f"array({', '.join(items)}) AS {name}"
 
 
-def square(values: Sequence[float], size: int, at: Sequence[tuple[int, int]] | None = None) -> np.ndarray:
-    """Full symmetric matrix from its listed entries."""
-    out = np.full((size, size), np.nan)
-    for value, (i, j) in zip(values, pairs(size) if at is None else at):
-        out[i, j] = out[j, i] = value
+def squares(values: Sequence[Sequence[float]], size: int, at: Sequence[tuple[int, int]] | None = None) -> np.ndarray:
+    """Full symmetric matrices from their listed entries, one per row of `values`."""
+    out = np.full((len(values), size, size), np.nan)
+    if len(values):
+        table = np.array(values, dtype=float)
+        for k, (i, j) in enumerate(pairs(size) if at is None else at):
+            out[:, i, j] = out[:, j, i] = table[:, k]
     return out

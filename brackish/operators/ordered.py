@@ -133,27 +133,53 @@ def quantile_bin(
     return binned.drop("_i", "_n").unionByName(empty)
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values per key in order: ``count`` rows hold it, ``before`` rows hold a smaller one.
+
+    Equal values are combined map-side before anything is sorted, so one value that most rows
+    share is one row here, and the sort is spread evenly over tasks.
+    """
+    keys = list(keys)
+    known = df.select(*keys, value).where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("count"))
+    placed = settle(
+        counts.repartitionByRange(*keys, value)
+        .withColumn("_split", F.spark_partition_id())
+        .withColumn("_within", F.sum("count").over(Window.partitionBy(*keys, "_split").orderBy(value)) - F.col("count")),
+        "counts",
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        placed.groupBy(*keys, "_split")
+        .agg(F.sum("count").alias("_rows"))
+        .withColumn("_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .drop("_rows")
+    )
+    joined = join_on(placed, settle(splits), [*keys, "_split"], "inner")
+    return joined.select(*keys, value, "count", (F.col("_first") + F.col("_within")).alias("before"))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per key, without holding a group in memory."""
-    filled = df.select(*keys, value).where(F.col(value).isNotNull())
-    return quantiles_of_indexed(with_row_index(filled, keys, [value], "_i"), keys, value, "_i", probabilities)
+    return quantiles_of_counts(settle(value_counts(df, keys, value)), keys, value, probabilities)
 
 
-def quantiles_of_indexed(
-    indexed: DataFrame, keys: Sequence[str], value: str, index: str, probabilities: Mapping[str, float]
-) -> DataFrame:
-    """`exact_quantiles` on rows that already carry their sorted position."""
-    sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = attach(indexed, sizes, keys)
-    i, v = F.col(index), F.col(value)
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
+    """`exact_quantiles` from a settled `value_counts` table."""
+    sizes = counts.groupBy(*keys).agg(F.sum("count").alias("_n"))
+    ranked = attach(counts, sizes, keys)
+    v, first, end = F.col(value), F.col("before"), F.col("before") + F.col("count")
 
     def rank(p: float) -> Column:
         return (F.col("_n") - 1) * F.lit(float(p))
 
-    low = {f"_lo_{n}": F.max(F.when(i == F.floor(rank(p)), v)) for n, p in probabilities.items()}
-    high = {f"_hi_{n}": F.max(F.when(i == F.ceil(rank(p)), v)) for n, p in probabilities.items()}
+    def at(position: Column) -> Column:
+        return F.max(F.when((first <= position) & (position < end), v))
+
+    low = {f"_lo_{n}": at(F.floor(rank(p))) for n, p in probabilities.items()}
+    high = {f"_hi_{n}": at(F.ceil(rank(p))) for n, p in probabilities.items()}
     picked = ranked.groupBy(*keys).agg(
         F.max("_n").alias("_n"), *[c.alias(n) for n, c in {**low, **high}.items()]
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brackish.operators.keys import attach
-from brackish.operators.moments import cross_moments, square
+from brackish.operators.moments import cross_moments, squares
 from brackish.operators.reshape import relabel
 
 _PCA_DDL = "n bigint, center array<double>, scale array<double>, sdev array<double>, rotation array<array<double>>"
@@ -28,28 +28,26 @@ def fit_pca(df: DataFrame, keys: Sequence[str], columns: Sequence[str], scaled:
     moments = cross_moments(rows, keys, internal).where(F.col("n") > 1)
     key_list, size = list(keys), len(columns)
 
-    def one(n: int, mean: list[float], cov: list[float]) -> list:
-        matrix = square(cov, size) * (n / (n - 1.0))
-        sd = np.sqrt(np.diag(matrix))
-        scale = np.where(sd > 0, sd, 1.0) if scaled else np.ones(size)
-        values, vectors = np.linalg.eigh(matrix / np.outer(scale, scale))
-        components = vectors.T[::-1]
-        largest = np.abs(components).round(9).argmax(axis=1)
-        components = components * np.sign(components[np.arange(size), largest])[:, None]
-        sdev = np.sqrt(np.maximum(values[::-1], 0.0))
-        return [mean, scale.tolist(), sdev.tolist(), components.tolist()]
-
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector = pa.list_(pa.float64())
         for batch in batches:
-            done = [one(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("n", "mean", "cov")))]
-            parts = list(zip(*done)) or [[], [], [], []]
+            n = np.array(batch.column("n").to_pylist(), dtype=float)
+            matrix = squares(batch.column("cov").to_pylist(), size) * (n / (n - 1.0))[:, None, None]
+            sd = np.sqrt(matrix[:, range(size), range(size)])
+            scale = np.where(sd > 0, sd, 1.0) if scaled else np.ones_like(sd)
+            values, vectors = np.linalg.eigh(matrix / (scale[:, :, None] * scale[:, None, :]))
+            components = vectors.transpose(0, 2, 1)[:, ::-1]
+            largest = np.abs(components).round(9).argmax(axis=2)
+            signs = np.sign(np.take_along_axis(components, largest[:, :, None], axis=2))
+            sdev = np.sqrt(np.maximum(values[:, ::-1], 0.0))
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(k) for k in key_list],
                     batch.column("n"),
-                    *[pa.array(parts[i], vector) for i in range(3)],
-                    pa.array(parts[3], pa.list_(vector)),
+                    batch.column("mean"),
+                    pa.array(scale.tolist(), vector),
+                    pa.array(sdev.tolist(), vector),
+                    pa.array((components * signs).tolist(), pa.list_(vector)),
                 ],
                 names=[*key_list, "n", "center", "scale", "sdev", "rotation"],
             )

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackish.functions.tails import f_upper, t_p_value, t_two_sided, z_p_value
-from brackish.operators.keys import attach
-from brackish.operators.moments import cross_moments, square
+from brackish.operators.keys import attach, join_on
+from brackish.operators.moments import cross_moments, squares
 from brackish.session import settle
 
 # A column whose unexplained share falls below this is a combination of earlier ones.
@@ -31,17 +31,24 @@ INTERCEPT = "(Intercept)"
 # --- straight lines -----------------------------------------------------------------
 
 
-def line_fit(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
-    """Intercept, slope, r2, sigma and standard errors of ``y ~ x`` per key, JVM only."""
+def line_fit(df: DataFrame, keys: Sequence[str], y: str, x: str, **measures: Column) -> DataFrame:
+    """Intercept, slope, r2, sigma and standard errors of ``y ~ x`` per key, JVM only.
+
+    Further aggregates of the group, over all its rows, come from the same pass as `measures`.
+    """
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    sums = df.where(both).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(x).alias("_mx"),
-        F.avg(y).alias("_my"),
-        F.regr_sxx(y, x).alias("_sxx"),
-        F.regr_sxy(y, x).alias("_sxy"),
-        F.regr_syy(y, x).alias("_syy"),
+    own_x, own_y = F.when(both, F.col(x)), F.when(both, F.col(y))
+    sums = df.groupBy(*keys).agg(
+        F.count(own_x).alias("n"),
+        F.avg(own_x).alias("_mx"),
+        F.avg(own_y).alias("_my"),
+        F.regr_sxx(own_y, own_x).alias("_sxx"),
+        F.regr_sxy(own_y, own_x).alias("_sxy"),
+        F.regr_syy(own_y, own_x).alias("_syy"),
+        *[c.alias(name) for name, c in measures.items()],
     )
+    if not measures:
+        sums = sums.where("n > 0")
     sxx, sxy, syy, n = (F.col(c) for c in ("_sxx", "_sxy", "_syy", "n"))
     rss = F.greatest(syy - F.try_divide(sxy * sxy, sxx), F.lit(0.0))
     return (
@@ -59,7 +66,7 @@ def line_fit(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
                 "intercept_se": F.col("sigma") * F.sqrt(1 / n + F.try_divide(F.col("_mx") * F.col("_mx"), sxx)),
             }
         )
-        .select(*keys, "n", "intercept", "slope", "r2", "sigma", "intercept_se", "slope_se")
+        .select(*keys, "n", "intercept", "slope", "r2", "sigma", "intercept_se", "slope_se", *measures)
     )
 
 
@@ -152,11 +159,6 @@ def term_columns(term: str, factors: Factors) -> dict[str, Column]:
     }
 
 
-def factor_levels(df: DataFrame, column: str) -> list[str]:
-    """Sorted levels of a factor (a small job; name the levels yourself where they are known)."""
-    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().sort(column).collect()]
-
-
 @dataclass(frozen=True)
 class _Equation:
     response: str
@@ -193,89 +195,109 @@ _FIT_DDL = (
 )
 
 
-def _ratio(a: float, b: float) -> float | None:
-    return a / b if b and math.isfinite(a / b) else None
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Quotients, NaN where they are not finite."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = a / b
+    return np.where(np.isfinite(out), out, np.nan)
+
+
+def _p_values(function: Callable[..., np.ndarray], statistic: np.ndarray, *df: np.ndarray) -> np.ndarray:
+    out = np.full(statistic.shape, np.nan)
+    known = np.isfinite(statistic) & (df[-1] > 0)
+    if known.any():
+        out[known] = function(statistic[known], *[np.broadcast_to(d, statistic.shape)[known] for d in df])
+    return out
 
 
-def _solve(eq: _Equation, n: int, mean: np.ndarray, cov: np.ndarray) -> dict:
-    """One group's coefficients, their covariance and sequential sums of squares."""
+def _solve(eq: _Equation, n: np.ndarray, total: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> list[dict]:
+    """Coefficients, their covariance and sequential sums of squares, for a batch of groups.
+
+    `total` is the sum of the weights; it equals `n` where rows are not weighted.
+    """
     at = [*eq.at, eq.at_response]
-    cross, centre, p = cov[np.ix_(at, at)] * n, mean[at], len(eq.at)
+    cross, centre, p = cov[:, at][:, :, at] * total[:, None, None], mean[:, at], len(eq.at)
     left = cross.copy()
-    kept, sequential = [], np.zeros(p)
+    kept, sequential = np.zeros((len(n), p), bool), np.zeros((len(n), p))
     for j in range(p):
-        if left[j, j] > ALIAS_TOLERANCE * cross[j, j] > 0:
-            sequential[j] = left[j, p] ** 2 / left[j, j]
-            left = left - np.outer(left[:, j], left[j]) / left[j, j]
-            kept.append(j)
-    total = cross[p, p]
-    rss = max(left[p, p], 0.0)
-    df_residual = n - len(kept) - 1
-    sigma2 = rss / df_residual if df_residual > 0 else math.nan
-
-    scale = np.sqrt(np.diag(cross)[kept])
-    inverse = np.linalg.inv(cross[np.ix_(kept, kept)] / np.outer(scale, scale)) / np.outer(scale, scale)
-    slopes = inverse @ cross[kept, p]
-    beta, vcov = np.full(p + 1, math.nan), np.full((p + 1, p + 1), math.nan)
-    where = [0, *[j + 1 for j in kept]]
-    beta[where] = [centre[p] - centre[kept] @ slopes, *slopes]
-    with_mean = inverse @ centre[kept]
-    corner = np.block([[np.array([[1.0 / n + centre[kept] @ with_mean]]), -with_mean[None, :]], [-with_mean[:, None], inverse]])
-    vcov[np.ix_(where, where)] = corner * sigma2
+        pivot = left[:, j, j].copy()
+        keep = (pivot > ALIAS_TOLERANCE * cross[:, j, j]) & (cross[:, j, j] > 0)
+        safe = np.where(keep, pivot, 1.0)
+        sequential[:, j] = np.where(keep, left[:, j, p] ** 2 / safe, 0.0)
+        step = left[:, :, j, None] * left[:, j, None, :] / safe[:, None, None]
+        left = np.where(keep[:, None, None], left - step, left)
+        kept[:, j] = keep
+    explained = cross[:, p, p]
+    rss = np.maximum(left[:, p, p], 0.0)
+    df_residual = n - kept.sum(1) - 1
+    sigma2 = np.where(df_residual > 0, rss / np.maximum(df_residual, 1), np.nan)
+
+    # an aliased column gets a unit row, so that all groups are inverted at once
+    both = kept[:, :, None] & kept[:, None, :]
+    scale = np.where(kept, np.sqrt(np.where(kept, cross[:, range(p), range(p)], 1.0)), 1.0)
+    unit = scale[:, :, None] * scale[:, None, :]
+    inverse = np.linalg.inv(np.where(both, cross[:, :p, :p] / unit, np.eye(p))) / unit
+    inverse = np.where(both, inverse, 0.0)
+    slopes = np.einsum("gij,gj->gi", inverse, np.where(kept, cross[:, :p, p], 0.0))
+    where = np.concatenate([np.ones((len(n), 1), bool), kept], axis=1)
+    beta = np.concatenate([(centre[:, p] - (centre[:, :p] * slopes).sum(1))[:, None], slopes], axis=1)
+    with_mean = np.einsum("gij,gj->gi", inverse, centre[:, :p])
+    vcov = np.zeros((len(n), p + 1, p + 1))
+    vcov[:, 0, 0] = 1.0 / total + (centre[:, :p] * with_mean).sum(1)
+    vcov[:, 0, 1:] = vcov[:, 1:, 0] = -with_mean
+    vcov[:, 1:, 1:] = inverse
+    vcov = np.where(where[:, :, None] & where[:, None, :], vcov * sigma2[:, None, None], np.nan)
+    beta = np.where(where, beta, np.nan)
+
+    variance = vcov[:, range(p + 1), range(p + 1)]
+    se = np.where(variance >= 0, np.sqrt(np.where(variance >= 0, variance, 0.0)), np.nan)
+    statistic = _ratio(beta, se)
+    p_value = _p_values(t_two_sided, statistic, df_residual[:, None])
+    names = list(dict.fromkeys(eq.terms))
+    columns = [[j for j in range(p) if eq.terms[j] == t] for t in names]
+    df = np.array([kept[:, c].sum(1) for c in columns]).reshape(len(names), len(n)).T
+    ss = np.array([sequential[:, c].sum(1) for c in columns]).reshape(len(names), len(n)).T
+    ms = _ratio(ss, df)
+    f = _ratio(ms, sigma2[:, None])
+    f_p = _p_values(f_upper, f, df, df_residual[:, None])
+    r2 = _ratio(explained - rss, explained)
 
     def number(v: float) -> float | None:
         return float(v) if math.isfinite(v) else None
 
-    terms = []
-    for label, b, var in zip((INTERCEPT, *eq.labels), beta, np.diag(vcov)):
-        se = math.sqrt(var) if var >= 0 else math.nan
-        t = _ratio(b, se)
-        terms.append(
+    out = []
+    for g in range(len(n)):
+        terms = [
+            dict(zip(("term", "estimate", "std_error", "statistic", "p_value"), (label, *map(number, row))))
+            for label, *row in zip((INTERCEPT, *eq.labels), beta[g], se[g], statistic[g], p_value[g])
+        ]
+        anova = [
+            dict(zip(("term", "df", "sumsq", "meansq", "statistic", "p_value"), (t, int(d), *map(number, row))))
+            for t, d, *row in zip(names, df[g], ss[g], ms[g], f[g], f_p[g])
+            if d
+        ]
+        anova.append(
             {
-                "term": label, "estimate": number(b), "std_error": number(se), "statistic": t,
-                "p_value": None if t is None else t_two_sided(t, df_residual),
+                "term": "Residuals", "df": int(df_residual[g]), "sumsq": float(rss[g]), "meansq": number(sigma2[g]),
+                "statistic": None, "p_value": None,
             }
         )
-    anova = []
-    for term in dict.fromkeys(eq.terms):
-        mine = [j for j in kept if eq.terms[j] == term]
-        if mine:
-            ss = float(sequential[mine].sum())
-            f = _ratio(ss / len(mine), sigma2)
-            anova.append(
-                {
-                    "term": term, "df": len(mine), "sumsq": ss, "meansq": ss / len(mine), "statistic": f,
-                    "p_value": None if f is None else f_upper(f, len(mine), df_residual),
-                }
-            )
-    anova.append(
-        {"term": "Residuals", "df": df_residual, "sumsq": rss, "meansq": number(sigma2), "statistic": None, "p_value": None}
-    )
-    return {
-        "dependent": eq.response,
-        "df_residual": df_residual,
-        "sigma": number(math.sqrt(sigma2)) if sigma2 >= 0 else None,
-        "r2": _ratio(total - rss, total),
-        "terms": terms,
-        "vcov": [number(v) for v in vcov.ravel()],
-        "anova": anova,
-    }
-
+        out.append(
+            {
+                "dependent": eq.response,
+                "df_residual": int(df_residual[g]),
+                "sigma": number(np.sqrt(sigma2[g])),
+                "r2": number(r2[g]),
+                "terms": terms,
+                "vcov": [number(v) for v in vcov[g].ravel()],
+                "anova": anova,
+            }
+        )
+    return out
 
-def fit_models(
-    df: DataFrame,
-    keys: Sequence[str],
-    models: Sequence[Model],
-    factors: Factors | None = None,
-    weight: str | None = None,
-    centre: bool = True,
-) -> DataFrame:
-    """Fit every model in every group from one aggregation: ``keys, n, fits``.
 
-    Rows with a NULL in any variable of any model are left out of all of them. Pass
-    ``centre=False`` for z-scores: it saves the pass that finds the columns' means.
-    """
-    factors = factors or {}
+def _design(models: Sequence[Model], factors: Factors) -> tuple[list[Column], list[_Equation]]:
+    """The distinct columns of all models, and where each model finds its own."""
     design: dict[str, Column] = {}
     equations = []
     for m in models:
@@ -292,20 +314,36 @@ def fit_models(
         _Equation(y, names.index(y), tuple(t), tuple(ls), tuple(names.index(label) for label in ls))
         for y, t, ls in equations
     ]
-    internal = [f"_d{i}" for i in range(len(names))]
-    rows = df.select(*keys, *([weight] if weight else []), *[c.alias(i) for i, c in zip(internal, design.values())])
-    wanted = sorted({tuple(sorted(pair)) for eq in plan for pair in itertools.product((*eq.at, eq.at_response), repeat=2)})
-    moments = cross_moments(rows, keys, internal, weight, centre, wanted)
-    size, key_list = len(names), list(keys)
+    return list(design.values()), plan
+
+
+def _wanted(plan: Sequence[_Equation]) -> list[tuple[int, int]]:
+    """The column pairs whose covariances the equations need."""
+    return sorted({tuple(sorted(pair)) for eq in plan for pair in itertools.product((*eq.at, eq.at_response), repeat=2)})
+
+
+def _solved(
+    moments: DataFrame, keys: Sequence[str], size: int, sets: Sequence[tuple[str, Sequence[_Equation], list[tuple[int, int]]]]
+) -> DataFrame:
+    """``keys, n, fits`` from moment columns; each set names the suffix of its columns, its
+    equations and the pairs its ``cov`` lists. ``n`` is that of the first set."""
+    key_list = list(keys)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits = [
-                [_solve(eq, n, np.array(mean), square(cov, size, wanted)) for eq in plan] if n else []
-                for n, mean, cov in zip(*(batch.column(c).to_pylist() for c in ("n", "mean", "cov")))
-            ]
+            fits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for suffix, plan, wanted in sets:
+                count = np.array(batch.column(f"n{suffix}").to_pylist(), dtype=np.int64)
+                some = np.flatnonzero(count)
+                picked = batch.take(pa.array(some))
+                mean = np.array(picked.column(f"mean{suffix}").to_pylist(), dtype=float).reshape(len(some), size)
+                cov = squares(picked.column(f"cov{suffix}").to_pylist(), size, wanted)
+                total = np.array(picked.column(f"total{suffix}").to_pylist(), dtype=float)
+                for eq in plan if len(some) else ():
+                    for g, fit in zip(some, _solve(eq, count[some], total, mean, cov)):
+                        fits[g].append(fit)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in key_list], batch.column("n"), pa.array(fits, pa.list_(_FIT))],
+                [*[batch.column(k) for k in key_list], batch.column(f"n{sets[0][0]}"), pa.array(fits, pa.list_(_FIT))],
                 names=[*key_list, "n", "fits"],
             )
 
@@ -313,15 +351,32 @@ def fit_models(
     return moments.mapInArrow(solve, ddl)
 
 
+def fit_models(
+    df: DataFrame, keys: Sequence[str], models: Sequence[Model], factors: Factors | None = None, weight: str | None = None
+) -> DataFrame:
+    """Fit every model in every group from one aggregation: ``keys, n, fits``.
+
+    Rows with a NULL in any variable of any model are left out of all of them.
+    """
+    columns, plan = _design(models, factors or {})
+    internal = [f"_d{i}" for i in range(len(columns))]
+    rows = df.select(*keys, *([weight] if weight else []), *[c.alias(i) for i, c in zip(internal, columns)])
+    wanted = _wanted(plan)
+    return _solved(cross_moments(rows, keys, internal, weight, wanted), keys, len(columns), [("", plan, wanted)])
+
+
 def _fits(fitted: DataFrame) -> DataFrame:
     keys = fitted.columns[: fitted.columns.index("n")]
-    return fitted.select(*keys, "n", F.inline("fits"))
+    told = [c for c in fitted.columns if c == "converged"]
+    return fitted.select(*keys, "n", *told, F.inline("fits"))
 
 
 def coefficients(fitted: DataFrame) -> DataFrame:
-    """``keys, dependent, term, estimate, std_error, statistic, p_value``."""
+    """``keys, dependent, term, estimate, std_error, statistic, p_value``, and ``converged`` of
+    fits that were iterated."""
     keys = fitted.columns[: fitted.columns.index("n")]
-    return _fits(fitted).select(*keys, "dependent", F.inline("terms"))
+    told = [c for c in fitted.columns if c == "converged"]
+    return _fits(fitted).select(*keys, "dependent", *told, F.inline("terms"))
 
 
 def anova_table(fitted: DataFrame) -> DataFrame:
@@ -385,73 +440,123 @@ def predict(df: DataFrame, fitted: DataFrame, keys: Sequence[str], model: Model,
     return attach(df, mine, keys).withColumn(name, _fitted_value(model, factors)).drop("_b")
 
 
+Score = Callable[[Column, Column, Column], tuple[Column, Column]]
+
+
+def _beside(df: DataFrame, settled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`attach` for a table that is settled already."""
+    return join_on(df, settled, keys, "left") if keys else attach(df, settled, [])
+
+
 def _reweighted(
-    rows: DataFrame,
-    keys: Sequence[str],
-    start: DataFrame,
-    model: Model,
-    factors: Factors,
-    passes: int,
-    score: Callable[[DataFrame], DataFrame],
+    df: DataFrame, keys: Sequence[str], models: Sequence[Model], factors: Factors, tolerance: float, most: int, start: Score, score: Score
 ) -> DataFrame:
-    """Refit with weights from the last fit, a fixed number of times, all groups at once.
+    """Fits that are repeated, with weights from the last fit, until no coefficient moves.
 
-    Each pass aggregates the stored rows once and leaves a small coefficient table, which is
-    written out so that the plan does not grow. `score` gets the rows with ``_fit``,
-    ``_sigma`` and returns the columns to fit with the weight ``_w``.
+    ``score(observed, fitted, sigma)`` gives the response and the weight of the next pass. The
+    design columns, less their group's means, are written once; a pass joins the small table of
+    the last fits and is one aggregation for all models and groups. A row counts for the models
+    whose variables it has. The result has a column ``converged``: whether the coefficients moved
+    by less than `tolerance` times their size (at least one) in the last pass.
     """
-    fitted = settle(start)
-    for _ in range(passes):
-        share = F.sqrt(F.try_divide(F.col("df_residual"), F.col("n")))
-        last = _fits(fitted).select(
-            *keys, F.col("terms.estimate").alias("_b"), (F.col("sigma") * share).alias("_sigma")
-        )
-        scored = score(attach(rows, last, keys).withColumn("_fit", _fitted_value(model, factors)))
-        fitted = settle(fit_models(scored, keys, [model], factors, weight="_w"))
-    return fitted
+    columns, plan = _design(models, factors)
+    size, span = len(columns), range(len(columns))
+    base = df.select(*keys, *[c.alias(f"_d{i}") for i, c in enumerate(columns)])
+    centres = settle(base.groupBy(*keys).agg(F.array(*[F.coalesce(F.avg(f"_d{i}"), F.lit(0.0)) for i in span]).alias("_c")))
+    rows = _beside(base, centres, keys).select(*keys, *[(F.col(f"_d{i}") - F.col("_c")[i]).alias(f"_d{i}") for i in span])
+    rows = settle(rows, "design")
+    pairs_of = [_wanted([eq]) for eq in plan]
+
+    def refit(last: DataFrame, rule: Score) -> DataFrame:
+        given = _beside(rows, last, keys)
+        weighed, sums, out = {}, [], []
+        for k, (eq, wanted) in enumerate(zip(plan, pairs_of)):
+            whole = reduce(lambda x, y: x & y, [F.col(f"_d{i}").isNotNull() for i in (*eq.at, eq.at_response)])
+            b, centre = F.col("_b")[k], F.col("_c")[eq.at_response]
+            fit = reduce(add, [F.coalesce(b[j + 1], F.lit(0.0)) * (F.col(f"_d{i}") + F.col("_c")[i]) for j, i in enumerate(eq.at)], b[0])
+            response, weight = rule(F.col(f"_d{eq.at_response}") + centre, fit, F.col("_sigma")[k])
+            weighed |= {f"_y{k}": response - centre, f"_w{k}": F.when(whole, weight)}
+            x = {i: f"_d{i}" for i in eq.at} | {eq.at_response: f"_y{k}"}
+            sums += [
+                F.expr(f"count(_w{k}) AS n{k}"),
+                F.expr(f"sum(_w{k}) AS total{k}"),
+                F.expr(f"array({', '.join(f'sum(_w{k} * {x[i]})' if i in x else '0D' for i in span)}) AS _s{k}"),
+                F.expr(f"array({', '.join(f'sum(_w{k} * {x[i]} * {x[j]})' for i, j in wanted)}) AS _p{k}"),
+            ]
+            cov = ", ".join(f"_p{k}[{at}] / total{k} - (_s{k}[{i}] / total{k}) * (_s{k}[{j}] / total{k})" for at, (i, j) in enumerate(wanted))
+            out += [
+                f"n{k}", f"total{k}", F.expr(f"zip_with(_s{k}, _c, (s, c) -> c + s / total{k}) AS mean{k}"), F.expr(f"array({cov}) AS cov{k}")
+            ]
+        moments = _beside(given.withColumns(weighed).groupBy(*keys).agg(*sums), centres, keys).select(*keys, *out)
+        return settle(_solved(moments, keys, size, [(str(k), [eq], w) for k, (eq, w) in enumerate(zip(plan, pairs_of))]))
+
+    def table(fitted: DataFrame) -> DataFrame:
+        fits = F.transform("fits", lambda f: f["terms"]["estimate"])
+        # the weights' own spread: their sum stands for the number of rows
+        sigma = F.transform("fits", lambda f: f["sigma"] * F.sqrt(f["df_residual"] / F.col("n")))
+        return settle(_beside(fitted.select(*keys, fits.alias("_b"), sigma.alias("_sigma")), centres, keys))
+
+    none = F.array(*[F.array(*[F.lit(0.0)] * (len(eq.at) + 1)) for eq in plan])
+    begin = settle(centres.withColumns({"_b": none, "_sigma": F.array(*[F.lit(1.0)] * len(plan))}))
+    fitted = refit(begin, start)
+    last, told = table(fitted), None
+    step = F.expr(
+        "aggregate(zip_with(flatten(_b), flatten(_p), (x, y) -> abs(x - y) / greatest(1D, abs(y))), 0D, (m, d) -> greatest(m, coalesce(d, 0D)))"
+    )
+    for _ in range(most):
+        fitted = refit(last, score)
+        now = table(fitted)
+        told = settle(_beside(now, last.select(*keys, F.col("_b").alias("_p")), keys).select(*keys, (step < tolerance).alias("converged")))
+        last = now
+        if told.where("NOT converged").isEmpty():
+            break
+    return _beside(fitted, told, keys)
+
+
+def _plain(observed: Column, fitted: Column, sigma: Column) -> tuple[Column, Column]:
+    return observed, F.lit(1.0)
 
 
 def fit_student(
     df: DataFrame,
     keys: Sequence[str],
-    model: Model,
+    models: Model | Sequence[Model],
     factors: Factors | None = None,
     nu: float = 4.0,
-    passes: int = 8,
+    tolerance: float = 1e-8,
+    most: int = 200,
 ) -> DataFrame:
-    """Regression with Student-t residuals (`nu` degrees of freedom) by reweighting."""
-    factors = factors or {}
-    used = [model.response, *dict.fromkeys(v for t in model.terms for v in t.split(":"))]
-    rows = df.select(*keys, *used).dropna(subset=used)
-    rows = settle(rows, "student")
+    """Regressions with Student-t residuals (`nu` degrees of freedom), each with its own weights."""
+    models = [models] if isinstance(models, Model) else list(models)
 
-    def score(fitted: DataFrame) -> DataFrame:
-        ratio = F.try_divide(F.col(model.response) - F.col("_fit"), F.col("_sigma"))
-        return fitted.withColumn("_w", (nu + 1) / (nu + F.coalesce(ratio * ratio, F.lit(0.0))))
+    def score(observed: Column, fitted: Column, sigma: Column) -> tuple[Column, Column]:
+        ratio = F.try_divide(observed - fitted, sigma)
+        return observed, (nu + 1) / (nu + F.coalesce(ratio * ratio, F.lit(0.0)))
 
-    return _reweighted(rows, keys, fit_models(rows, keys, [model], factors), model, factors, passes, score)
+    return _reweighted(df, keys, models, factors or {}, tolerance, most, _plain, score)
 
 
 def fit_log_link(
-    df: DataFrame, keys: Sequence[str], model: Model, factors: Factors | None = None, passes: int = 8
+    df: DataFrame,
+    keys: Sequence[str],
+    model: Model,
+    factors: Factors | None = None,
+    tolerance: float = 1e-10,
+    most: int = 100,
 ) -> DataFrame:
     """Gaussian model with a log link, ``log(E[y]) = terms``, by reweighted least squares.
 
-    Starts from the regression of log y, so y must be positive. Coefficients are those of the
-    last pass.
+    Starts from the regression of log y, so y must be positive.
     """
-    factors = factors or {}
-    used = [model.response, *dict.fromkeys(v for t in model.terms for v in t.split(":"))]
-    rows = df.select(*keys, *used).dropna(subset=used).where(F.col(model.response) > 0)
-    rows = settle(rows.withColumn("_y", F.col(model.response).cast("double")), "glm")
-    start = rows.withColumn(model.response, F.ln("_y"))
-
-    def score(fitted: DataFrame) -> DataFrame:
-        mu = F.exp("_fit")
-        return fitted.withColumns({model.response: F.col("_fit") + (F.col("_y") - mu) / mu, "_w": mu * mu})
-
-    first = fit_models(start, keys, [model], factors)
-    return _reweighted(rows, keys, first, model, factors, passes, score)
+
+    def start(observed: Column, fitted: Column, sigma: Column) -> tuple[Column, Column]:
+        return F.ln(observed), F.lit(1.0)
+
+    def score(observed: Column, fitted: Column, sigma: Column) -> tuple[Column, Column]:
+        return fitted + (observed - F.exp(fitted)) / F.exp(fitted), F.exp(2 * fitted)
+
+    rows = df.where(F.col(model.response) > 0)
+    return _reweighted(rows, keys, [model], factors or {}, tolerance, most, start, score)
 
 
 # --- correlation ---------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brackish.functions.times import floor_time
 from brackish.operators.project import across
 from brackish.plans.catalog import Tables, query
-from brackish.streaming.feeds import enrich, open_feed, run_to_table, sliding_mean, tumbling_mean
+from brackish.streaming.feeds import enrich, open_feed, run_to_table, sliding_mean, tumbling_mean, with_open_windows
 
 
 def feed(t: Tables) -> DataFrame:
@@ -20,12 +20,16 @@ def feed(t: Tables) -> DataFrame:
     """
     WITH h AS (SELECT event_type, date_trunc('hour', ts) AS start, avg(value) AS mean, count(*) AS n FROM events GROUP BY 1, 2)
     SELECT event_type, start, round(mean, 6) AS mean, n FROM h
-    WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)
     """,
 )
 def t1_tumbling_mean(t: Tables) -> DataFrame:
-    """Windows the watermark has closed; the last open ones wait for more data."""
-    means = run_to_table(tumbling_mean(feed(t), ["event_type"], "ts", "value"), "tumbling")
+    """All windows: those the watermark has closed, and at the feed's end the open ones."""
+
+    def build(rows: DataFrame) -> DataFrame:
+        return tumbling_mean(rows, ["event_type"], "ts", "value")
+
+    means = run_to_table(build(feed(t)), "tumbling")
+    means = with_open_windows(means, t.events, ["event_type"], "ts", "2 HOURS", build)
     return means.select("event_type", "start", F.round("mean", 6).alias("mean"), "n")
 
 
@@ -36,11 +40,14 @@ def t1_tumbling_mean(t: Tables) -> DataFrame:
     w AS (SELECT event_type, minute - to_minutes(CAST(k AS INTEGER)) AS start, sum(s) / sum(n) AS mean, CAST(sum(n) AS BIGINT) AS n
           FROM m, range(60) r(k) GROUP BY 1, 2)
     SELECT event_type, start, round(mean, 6) AS mean, n FROM w
-    WHERE start + INTERVAL 60 MINUTES <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)
     """,
 )
 def t2_sliding_mean(t: Tables) -> DataFrame:
-    means = run_to_table(sliding_mean(feed(t), ["event_type"], "ts", "value"), "sliding")
+    def build(rows: DataFrame) -> DataFrame:
+        return sliding_mean(rows, ["event_type"], "ts", "value")
+
+    means = run_to_table(build(feed(t)), "sliding")
+    means = with_open_windows(means, t.events, ["event_type"], "ts", "122 MINUTES", build)
     return across(means.select("event_type", "start", "mean", "n"), ["mean"], lambda c: F.round(c, 6))
 
 

@@ -26,14 +26,16 @@ from brackish.operators.keys import attach, join_on
 from brackish.operators.project import across
 from brackish.operators.regression import line_fit
 from brackish.plans.catalog import Tables, query
+from brackish.session import settle
 
-SENSORS = ("click", "view", "purchase", "error")
+SENSORS = ("click", "view", "purchase", "error", "signup")
 SENSOR_SQL = """
     base AS (SELECT nullif(user_id, 7) AS site, date_trunc('day', ts) AS date, event_type, value FROM events),
     click AS (SELECT site, date, avg(value) AS click FROM base WHERE event_type = 'click' GROUP BY 1, 2),
     "view" AS (SELECT site, date, avg(value) AS "view" FROM base WHERE event_type = 'view' GROUP BY 1, 2),
     purchase AS (SELECT site, date, avg(value) AS purchase FROM base WHERE event_type = 'purchase' GROUP BY 1, 2),
-    error AS (SELECT site, date, avg(value) AS error FROM base WHERE event_type = 'error' GROUP BY 1, 2)
+    error AS (SELECT site, date, avg(value) AS error FROM base WHERE event_type = 'error' GROUP BY 1, 2),
+    signup AS (SELECT site, date, avg(value) AS signup FROM base WHERE event_type = 'signup' GROUP BY 1, 2)
 """
 
 
@@ -41,9 +43,15 @@ def sensors(t: Tables) -> list[DataFrame]:
     base = t.events.select(
         null_if(F.col("user_id"), 7).alias("site"), floor_time(F.col("ts"), "day").alias("date"), "event_type", "value"
     )
-    return [
-        base.where(F.col("event_type") == s).groupBy("site", "date").agg(F.avg("value").alias(s)) for s in SENSORS
-    ]
+    # one scan and one aggregation make the daily means of all sensors
+    kind = F.col("event_type")
+    daily = settle(
+        base.groupBy("site", "date").agg(
+            *[F.avg(F.when(kind == s, F.col("value"))).alias(s) for s in SENSORS],
+            *[F.max(kind == s).alias(f"_has_{s}") for s in SENSORS],
+        )
+    )
+    return [daily.where(F.col(f"_has_{s}")).select("site", "date", s) for s in SENSORS]
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -55,11 +63,12 @@ def _rounded(df: DataFrame) -> DataFrame:
     f"""
     WITH {SENSOR_SQL}
     SELECT c.site, c.date, round(click, 6) AS click, round("view", 6) AS "view",
-           round(purchase, 6) AS purchase, round(error, 6) AS error
+           round(purchase, 6) AS purchase, round(error, 6) AS error, round(signup, 6) AS signup
     FROM click c
     LEFT JOIN "view" v ON c.site IS NOT DISTINCT FROM v.site AND c.date IS NOT DISTINCT FROM v.date
     LEFT JOIN purchase p ON c.site IS NOT DISTINCT FROM p.site AND c.date IS NOT DISTINCT FROM p.date
     LEFT JOIN error e ON c.site IS NOT DISTINCT FROM e.site AND c.date IS NOT DISTINCT FROM e.date
+    LEFT JOIN signup u ON c.site IS NOT DISTINCT FROM u.site AND c.date IS NOT DISTINCT FROM u.date
     """,
 )
 def j1_natural_left_chain(t: Tables) -> DataFrame:
@@ -69,15 +78,16 @@ def j1_natural_left_chain(t: Tables) -> DataFrame:
 FULL_SQL = f"""
     WITH {SENSOR_SQL}, stacked AS (
         SELECT site, date FROM click UNION SELECT site, date FROM "view"
-        UNION SELECT site, date FROM purchase UNION SELECT site, date FROM error
+        UNION SELECT site, date FROM purchase UNION SELECT site, date FROM error UNION SELECT site, date FROM signup
     )
     SELECT s.site, s.date, round(click, 6) AS click, round("view", 6) AS "view",
-           round(purchase, 6) AS purchase, round(error, 6) AS error
+           round(purchase, 6) AS purchase, round(error, 6) AS error, round(signup, 6) AS signup
     FROM stacked s
     LEFT JOIN click c ON s.site IS NOT DISTINCT FROM c.site AND s.date IS NOT DISTINCT FROM c.date
     LEFT JOIN "view" v ON s.site IS NOT DISTINCT FROM v.site AND s.date IS NOT DISTINCT FROM v.date
     LEFT JOIN purchase p ON s.site IS NOT DISTINCT FROM p.site AND s.date IS NOT DISTINCT FROM p.date
     LEFT JOIN error e ON s.site IS NOT DISTINCT FROM e.site AND s.date IS NOT DISTINCT FROM e.date
+    LEFT JOIN signup u ON s.site IS NOT DISTINCT FROM u.site AND s.date IS NOT DISTINCT FROM u.date
 """
 
 

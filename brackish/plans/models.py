@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +29,12 @@ from brackish.operators.regression import (
     nested_slopes,
     predict,
     shared_slope,
+    term_columns,
 )
 from brackish.operators.scaling import scale_stats, standardise
 from brackish.plans.catalog import Tables, query
 from brackish.plans.scalars import KEY, SAMPLE_SQL, metabolism, samples
+from brackish.session import settle
 
 FACTORS = {"l_linestatus": ["F", "O"], "l_returnflag": ["A", "N", "R"], "season": ["F", "O"], "location": ["A", "N", "R"]}
 
@@ -65,9 +69,9 @@ def g1_simple_regression(t: Tables) -> DataFrame:
 )
 def g2_regression_per_group(t: Tables) -> DataFrame:
     keys = ["l_suppkey", "l_linestatus"]
-    lines = line_fit(t.lineitem, keys, "l_tax", "l_quantity").drop("sigma", "intercept_se")
-    ranges = t.lineitem.groupBy(*keys).agg(F.round(F.max("l_discount") - F.min("l_discount"), 6).alias("discount_range"))
-    return _round(_round(attach(lines, ranges, keys), 6, "intercept"), 8, "slope", "r2", "slope_se")
+    spread = F.max("l_discount") - F.min("l_discount")
+    lines = line_fit(t.lineitem, keys, "l_tax", "l_quantity", discount_range=spread).drop("sigma", "intercept_se")
+    return _round(_round(lines, 6, "intercept", "discount_range"), 8, "slope", "r2", "slope_se")
 
 
 # Two separate lines give the coefficients of a crossed two-level model.
@@ -238,7 +242,26 @@ def g7_quadratic_fit(t: Tables) -> DataFrame:
 @query("g8_log_link_glm")
 def g8_log_link_glm(t: Tables) -> DataFrame:
     rows = t.lineitem.withColumn("y", F.col("l_extendedprice") / 1e4)
-    return coefficients(fit_log_link(rows, ["l_returnflag"], Model("y", ("l_quantity",)), passes=5))
+    return coefficients(fit_log_link(rows, ["l_returnflag"], Model("y", ("l_quantity",))))
+
+
+@query(
+    "g8_log_link_optimum",
+    "SELECT DISTINCT l_returnflag, 0.0::DOUBLE AS constant, 0.0::DOUBLE AS slope, TRUE AS converged FROM lineitem",
+)
+def g8_log_link_optimum(t: Tables) -> DataFrame:
+    """At the least squares optimum the residuals, times the curve's slopes, sum to zero."""
+    keys = ["l_returnflag"]
+    rows = t.lineitem.select(*keys, "l_quantity", (F.col("l_extendedprice") / 1e4).alias("y"))
+    fitted = fit_log_link(rows, keys, Model("y", ("l_quantity",)))
+    given = attach(rows, fitted.select(*keys, F.col("fits")[0]["terms"]["estimate"].alias("b"), "converged"), keys)
+    mu = F.exp(F.col("b")[0] + F.col("b")[1] * F.col("l_quantity"))
+    pull = (F.col("y") - mu) * mu
+    return given.groupBy(*keys).agg(
+        F.round(F.abs(F.avg(pull)), 6).alias("constant"),
+        F.round(F.abs(F.avg(pull * F.col("l_quantity"))), 5).alias("slope"),
+        F.bool_and("converged").alias("converged"),
+    )
 
 
 @query(
@@ -277,23 +300,41 @@ def g10_correlations(t: Tables) -> DataFrame:
     return out.select(*keys, "name", "n", F.round("r", 8).alias("r"), F.round("statistic", 6).alias("statistic"))
 
 
-@query("g10_correlation_flags")
+@query(
+    "g10_correlation_flags",
+    # two-sided p by Simpson's rule over the angle whose tangent is t / sqrt(df)
+    """
+    WITH r AS (
+        SELECT l_suppkey, 'l_quantity' AS name, count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1
+        UNION ALL SELECT l_suppkey, 'l_tax', count(*), corr(l_tax, l_extendedprice) FROM lineitem GROUP BY 1
+    ), s AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, atan(abs(r * sqrt(1 / (1 - r * r)))) AS low FROM r),
+    p AS (
+        SELECT l_suppkey, name, any_value(n) AS n, any_value(r) AS r, any_value(t) AS t,
+               2 * exp(lgamma((any_value(n) - 1) / 2.0) - lgamma((any_value(n) - 2) / 2.0)) / sqrt(pi()) * (pi() / 2 - any_value(low)) / 6000
+               * sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                     * greatest(cos(low + (pi() / 2 - low) * i / 2000), 0) ** (n - 3)) AS p
+        FROM s, range(2001) q(i) GROUP BY 1, 2
+    )
+    SELECT l_suppkey, name, n, round(r, 8) AS r, round(t, 6) AS statistic, round(p, 6) AS p_value, CAST(p < 0.05 AS INTEGER) AS sig FROM p
+    """,
+)
 def g10_correlation_flags(t: Tables) -> DataFrame:
-    return correlations(t.lineitem, ["l_suppkey"], ["l_quantity", "l_tax"], "l_extendedprice", alpha=0.05)
+    out = correlations(t.lineitem, ["l_suppkey"], ["l_quantity", "l_tax"], "l_extendedprice", alpha=0.05)
+    return _round(_round(out, 8, "r"), 6, "statistic", "p_value")
 
 
 @query(
     "g11_calibration_line",
     """
     WITH fit AS (SELECT l_shipdate, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a
-                 FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+                 FROM lineitem GROUP BY 1)
     SELECT o_orderkey, round(a + b * (o_totalprice / 20000), 3) AS mv_tris
     FROM orders LEFT JOIN fit ON l_shipdate = o_orderdate
     """,
 )
 def g11_calibration_line(t: Tables) -> DataFrame:
     lines = line_fit(
-        t.lineitem.where(F.col("l_linestatus") == "F"), ["l_shipdate"], "l_extendedprice", "l_quantity"
+        t.lineitem, ["l_shipdate"], "l_extendedprice", "l_quantity"
     ).withColumnRenamed("l_shipdate", "o_orderdate")
     rows = t.orders.select("o_orderkey", "o_orderdate", (F.col("o_totalprice") / 20000).alias("lab"))
     return apply_line(rows, lines, ["o_orderdate"], "lab", "mv_tris").select("o_orderkey", F.round("mv_tris", 3).alias("mv_tris"))
@@ -451,7 +492,7 @@ def g16_path_model_first_equation(t: Tables) -> DataFrame:
 
 
 def _path_coefficients(t: Tables) -> DataFrame:
-    return coefficients(fit_models(path_data(t), ["location", "season"], PATH_MODELS, {"day_night": ["Day", "Night"]}, centre=False))
+    return coefficients(fit_models(path_data(t), ["location", "season"], PATH_MODELS, {"day_night": ["Day", "Night"]}))
 
 
 @query("g16_path_model")
@@ -461,10 +502,49 @@ def g16_path_model(t: Tables) -> DataFrame:
 
 @query("g16_student_residuals")
 def g16_student_residuals(t: Tables) -> DataFrame:
-    fitted = fit_student(path_data(t), ["location", "season"], Model("nec", ("ph", "temperature")), passes=3)
+    rows = settle(path_data(t), "paths")
+    fitted = fit_student(rows, ["location", "season"], PATH_MODELS, {"day_night": ["Day", "Night"]})
     return coefficients(fitted)
 
 
+def _worst_pull(rows: DataFrame, fitted: DataFrame, keys: list[str], factors: dict, nu: float | None = None) -> DataFrame:
+    """Per group and equation: the largest mean product of (weighted) residuals and a design column."""
+    parts = []
+    for m in PATH_MODELS:
+        mine = fit_summary(fitted).where(F.col("dependent") == m.response)
+        spread = F.col("sigma") * F.sqrt(F.col("df_residual") / F.col("n"))
+        given = predict(attach(rows, mine.select(*keys, spread.alias("_s")), keys), fitted, keys, m, factors, "_fit")
+        rest = F.col(m.response) - F.col("_fit")
+        if nu is not None:
+            rest = rest * (nu + 1) / (nu + (rest / F.col("_s")) ** 2)
+        columns = [F.lit(1.0), *[c for term in m.terms for c in term_columns(term, factors).values()]]
+        pulls = [F.abs(F.avg(rest * c)) for c in columns]
+        parts.append(given.groupBy(*keys).agg(F.lit(m.response).alias("dependent"), F.round(F.greatest(*pulls), 6).alias("pull")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_NO_PULL_SQL = """
+    SELECT DISTINCT l_returnflag AS location, l_linestatus AS season, dependent, 0.0::DOUBLE AS pull
+    FROM lineitem, (VALUES ('nn'), ('nep'), ('ph'), ('nec'), ('humics'), ('prot')) v(dependent)
+"""
+
+
+@query("g16_path_model_optimum", _NO_PULL_SQL)
+def g16_path_model_optimum(t: Tables) -> DataFrame:
+    """All six equations: residuals are orthogonal to every design column."""
+    keys, factors = ["location", "season"], {"day_night": ["Day", "Night"]}
+    rows = path_data(t)
+    return _worst_pull(rows, settle(fit_models(rows, keys, PATH_MODELS, factors)), keys, factors)
+
+
+@query("g16_student_optimum", _NO_PULL_SQL)
+def g16_student_optimum(t: Tables) -> DataFrame:
+    """As for the plain fit, with the residuals' Student weights."""
+    keys, factors = ["location", "season"], {"day_night": ["Day", "Night"]}
+    rows = settle(path_data(t), "paths")
+    return _worst_pull(rows, settle(fit_student(rows, keys, PATH_MODELS, factors, tolerance=1e-9)), keys, factors, 4.0)
+
+
 @query(
     "g17_shortest_interval",
     """
@@ -548,7 +628,7 @@ DENSITY_SQL = """
         SELECT event_type, CAST(floor(value / (300.0 / 63)) AS INTEGER) + k AS cell,
                CASE WHEN k = 0 THEN 1 - (value / (300.0 / 63) - floor(value / (300.0 / 63)))
                     ELSE value / (300.0 / 63) - floor(value / (300.0 / 63)) END AS weight
-        FROM events, range(2) r(k) WHERE value BETWEEN 0 AND 300
+        FROM events, range(2) r(k)
     ), cells AS (SELECT event_type, cell, sum(weight) AS weight FROM halves GROUP BY 1, 2),
     total AS (SELECT event_type, sum(weight) AS n FROM cells GROUP BY 1),
     curve AS (

@@ -389,7 +389,7 @@ WATERS_SQL = (
 )
 
 
-def _carbonate_sql(k1: str, k2: str) -> str:
+def _carbonate_sql(k1: str, k2: str, fluoride: str = "kf / hf", nutrients: str = "") -> str:
     return f"""
     WITH {SAMPLE_SQL}, p AS (
         SELECT *, salinity AS s, temperature + 273.15 AS t, 10 ** (-(7.7 + l_suppkey % 5 / 10.0)) AS h FROM sample
@@ -410,7 +410,7 @@ def _carbonate_sql(k1: str, k2: str) -> str:
             exp(93.4517 * 100 / t - 60.2409 + 23.3585 * ln(t / 100) + s * (0.023517 - 0.023656 * t / 100 + 0.0047036 * (t / 100) ** 2)) AS k0
         FROM q
     ), f AS (SELECT *, h / (1 + st / ks) AS hf FROM k
-    ), a AS (SELECT *, ta / 1e6 - bt / (1 + h / kb) - kw / h + hf + st / (1 + ks / hf) + ft / (1 + kf / hf) AS ac FROM f
+    ), a AS (SELECT *, ta / 1e6 - bt / (1 + h / kb) - kw / h + hf + st / (1 + ks / hf) + ft / (1 + {fluoride}) {nutrients} AS ac FROM f
     ), d AS (SELECT *, ac * (h * h + k1 * h + k1 * k2) / (k1 * h + 2 * k1 * k2) AS dic0 FROM a
     ), e AS (SELECT *, dic0 / (1 + k1 / h + k1 * k2 / (h * h)) AS co2, dic0 / (1 + h / k2 + h * h / (k1 * k2)) AS co3 FROM d)
     """
@@ -451,3 +451,39 @@ def f18_carbonate_constants_w14(t: Tables) -> DataFrame:
     rows = samples(t).select("location", "season", "salinity", "temperature", "ta", (7.7 + F.col("l_suppkey") % 5 / 10.0).alias("ph"))
     out = with_carbonate_system(rows, "ph", "ta", "salinity", "temperature", constants="w14")
     return out.groupBy("location", "season").agg(F.round(F.avg("DIC"), 6).alias("dic"), F.round(F.avg("pCO2"), 6).alias("pco2"))
+
+
+# Dickson, Sabine & Christian (2007): alkalinity of phosphate and silicate; Perez & Fraga (1987) in its range.
+_P = (
+    "exp(-4576.752 / t + 115.525 - 18.453 * ln(t) + (-106.736 / t + 0.69171) * sqrt(s) + (-0.65643 / t - 0.01844) * s)",
+    "exp(-8814.715 / t + 172.0883 - 27.927 * ln(t) + (-160.340 / t + 1.3566) * sqrt(s) + (0.37335 / t - 0.05778) * s)",
+    "exp(-3070.75 / t - 18.141 + (17.27039 / t + 2.81197) * sqrt(s) + (-44.99486 / t - 0.09984) * s)",
+)
+_NUTRIENT_SQL = f"""
+    - speed * 1e-5 * ({_P[0]} * {_P[1]} * h + 2 * {_P[0]} * {_P[1]} * {_P[2]} - h ** 3)
+      / (h ** 3 + {_P[0]} * h ** 2 + {_P[0]} * {_P[1]} * h + {_P[0]} * {_P[1]} * {_P[2]})
+    - silicate * 1e-6 / (1 + h / exp(-8904.2 / t + 117.385 - 19.334 * ln(t) + (-458.79 / t + 3.5913) * sqrt(i)
+        + (188.74 / t - 1.5998) * i + (-12.1652 / t + 0.07871) * i ** 2 + ln(1 - 0.001005 * s)))
+"""
+_FLUORIDE_SQL = (
+    "CASE WHEN t - 273.15 BETWEEN 9 AND 33 AND s BETWEEN 10 AND 40 THEN exp(874 / t - 9.68 + 0.111 * sqrt(s)) / h ELSE kf / hf END"
+)
+
+
+@query(
+    "f18_carbonate_nutrients",
+    f"""
+    {_carbonate_sql(*LUEKER_SQL, fluoride=_FLUORIDE_SQL, nutrients=_NUTRIENT_SQL)}
+    SELECT l_orderkey, l_partkey, l_suppkey, round(dic0 * 1e6, 5) AS DIC, round(co2 / k0 * 1e6, 5) AS fCO2 FROM e
+    """,
+)
+def f18_carbonate_nutrients(t: Tables) -> DataFrame:
+    """Phosphate and silicate alkalinity and the fluoride constant by range."""
+    rows = samples(t).select(
+        *KEY, "salinity", "temperature", "ta", "silicate",
+        (7.7 + F.col("l_suppkey") % 5 / 10.0).alias("ph"), (F.col("speed") * 10).alias("phosphate"),
+    )
+    out = with_carbonate_system(
+        rows, "ph", "ta", "salinity", "temperature", "x", phosphate="phosphate", silicate="silicate", fluoride="x"
+    )
+    return out.select(*KEY, F.round("DIC", 5).alias("DIC"), F.round("fCO2", 5).alias("fCO2"))

@@ -230,9 +230,10 @@ def r4_wide_several_values(t: Tables) -> DataFrame:
         SELECT DISTINCT date_trunc('day', ts) + to_hours(CAST(h AS INTEGER)) AS date
         FROM events, range(24) r(h) WHERE event_type = 'click'
     )
-    SELECT s.date, coalesce(c.v, 0) AS rain, v.v AS wind
+    SELECT s.date, coalesce(c.v, 0) AS rain, v.v AS wind, e.v AS waves
     FROM slots s LEFT JOIN hourly c ON c.date = s.date AND c.event_type = 'click'
     LEFT JOIN hourly v ON v.date = s.date AND v.event_type = 'view'
+    LEFT JOIN hourly e ON e.date = s.date AND e.event_type = 'error'
     """,
 )
 def r5_day_hour_matrix(t: Tables) -> DataFrame:
@@ -246,7 +247,8 @@ def r5_day_hour_matrix(t: Tables) -> DataFrame:
         return across(wide, hours, lambda c: F.coalesce(F.round(c, 6).cast("string"), F.lit(" ")))
 
     rain = hours_to_rows(matrix("click"), "day", "rain").fillna(0.0, ["rain"])
-    return join_on(rain, hours_to_rows(matrix("view"), "day", "wind"), ["date"])
+    wind, waves = (hours_to_rows(matrix(kind), "day", name) for kind, name in (("view", "wind"), ("error", "waves")))
+    return join_on(join_on(rain, wind, ["date"]), waves, ["date"])
 
 
 @query(

@@ -153,7 +153,7 @@ def s7_messy_headers(t: Tables) -> DataFrame:
     write_results(short, f"{root}/short", fmt="csv")
     write_results(wide, f"{root}/wide", fmt="csv")
     wanted = {"full_date": "timestamp", "radon_in_water_dpm_l": "double", "test_number": "bigint"}
-    return read_by_header(t.spark, root, wanted, max_columns=8)
+    return read_by_header(t.spark, root, wanted)
 
 
 @query(

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from brackish.functions.nulls import to_number
 from brackish.functions.times import parse_time
@@ -15,17 +15,25 @@ from brackish.operators.keys import join_on
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, sep: str = ",") -> DataFrame:
-    """Header-first delimited text with a declared schema, columns matched by position."""
-    return spark.read.csv(path, schema=schema, sep=sep, header=True, enforceSchema=True, ignoreTrailingWhiteSpace=True)
+    """Header-first delimited text with a declared schema.
+
+    Columns are found by their header, file by file; one that a file does not have is NULL. A
+    record is one line.
+    """
+    return _by_header(spark, path, _declared(schema), lambda c: F.trim(c), "*", sep).drop("_name")
 
 
 def read_logger_folder(
     spark: SparkSession, path: str, schema: StructType | str, name: str = "filename", pattern: str = "*.csv"
 ) -> DataFrame:
     """Every matching file of a folder tree, each row tagged with the file it came from."""
-    reader = spark.read.schema(schema).options(header=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    rows = reader.csv(path)
-    return rows.select("*", F.col("_metadata.file_name").alias(name))
+    rows = _by_header(spark, path, _declared(schema), lambda c: F.trim(c), pattern, ",")
+    return rows.withColumnRenamed("_name", name)
+
+
+def _declared(schema: StructType | str) -> dict[str, str]:
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return {f.name: f.dataType.simpleString() for f in fields}
 
 
 def clean_name(name: str) -> str:
@@ -56,27 +64,46 @@ def _clean_name_column(name: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"^_+|_+$", ""))
 
 
-def read_by_header(
-    spark: SparkSession, path: str, wanted: Mapping[str, str], pattern: str = "*.csv", max_columns: int = 256
-) -> DataFrame:
+def read_by_header(spark: SparkSession, path: str, wanted: Mapping[str, str], pattern: str = "*.csv") -> DataFrame:
     """Columns picked by cleaned header name from files whose layouts differ.
 
     `wanted` maps a cleaned header to a type (``timestamp``, ``double``, ``string``, ``int``).
-    Each file's first line is its header; lines meet their own header by file, so any mix of
-    layouts is one scan and no file list passes through the driver.
     """
-    cells = StructType([StructField(f"c{i}", StringType()) for i in range(max_columns)])
+    return _by_header(spark, path, wanted, _clean_name_column, pattern, ",").drop("_name")
+
 
-    def fields(line: str) -> Column:
-        parsed = F.from_csv(F.col(line), cells.simpleString()[len("struct<") : -1].replace(":", " "))
-        return F.array(*[parsed[f.name] for f in cells])
+def _fields(line: str, sep: str) -> Column:
+    """Cells of a line, however many: quoted ones lose their quotes, empty ones are NULL."""
+    s = re.escape(sep)
+    cells = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(f'("(?:[^"]|"")*"|[^{s}]*){s}'), F.lit(1))
 
+    def bare(cell: Column) -> Column:
+        inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+        return F.nullif(F.when(cell.rlike('^"(?:[^"]|"")*"$'), inner).otherwise(cell), F.lit(""))
+
+    return F.transform(cells, bare)
+
+
+def _by_header(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    wanted: Mapping[str, str],
+    named: Callable[[Column], Column],
+    pattern: str,
+    sep: str,
+) -> DataFrame:
+    """The `wanted` columns, and each row's file name as ``_name``.
+
+    Each file's first line is its header; lines meet their own header by file, so any mix of
+    layouts is one scan and no file list passes through the driver.
+    """
     lines = (
         spark.read.options(recursiveFileLookup=True, pathGlobFilter=pattern)
         .text(path)
         .select(
-            "value",
+            F.regexp_replace("value", r"\r$", "").alias("value"),
             F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_name").alias("_name"),
             F.col("_metadata.file_block_start").alias("_start"),
         )
     )
@@ -85,16 +112,16 @@ def read_by_header(
         .withColumn("_line", F.monotonically_increasing_id())
         .groupBy("_file")
         .agg(F.min_by("value", "_line").alias("_header"))
-        .withColumn("_names", F.transform(fields("_header"), _clean_name_column))
+        .withColumn("_names", F.transform(_fields("_header", sep), named))
     )
-    rows = join_on(lines, headers, ["_file"], "inner").where(F.col("value") != F.col("_header"))
-    cut = rows.select("_names", fields("value").alias("_fields"))
+    rows = join_on(lines, headers, ["_file"], "inner").where((F.col("value") != F.col("_header")) & (F.trim("value") != ""))
+    cut = rows.select("_name", "_names", _fields("value", sep).alias("_fields"))
 
     def pick(name: str) -> Column:
         at = F.array_position("_names", F.lit(name))
         return F.when(at > 0, F.try_element_at("_fields", at.cast("int")))
 
-    return cut.select(*[_typed(pick(n), t).alias(n) for n, t in wanted.items()])
+    return cut.select(*[_typed(pick(n), t).alias(n) for n, t in wanted.items()], "_name")
 
 
 def _typed(col: Column, kind: str) -> Column:

@@ -14,13 +14,15 @@ def read_tides(spark: SparkSession, path: str, **tags: str) -> DataFrame:
     """Tide predictions: tab-separated ``date, weekday, time, height`` after a preamble.
 
     Data lines are recognised by their leading date, so preamble length, ragged headers and
-    trailing tabs do not matter. `tags` become constant columns.
+    trailing tabs do not matter; cells that are missing or no number are NULL. `tags` become constant columns.
     """
     parts = F.split("value", "\t")
     rows = spark.read.text(path).where(F.col("value").rlike(r"^\d{4}/\d{2}/\d{2}\t"))
     return rows.select(
-        F.to_timestamp(F.concat_ws(" ", parts[0], parts[2]), "yyyy/MM/dd HH:mm").cast("timestamp_ntz").alias("date"),
-        F.trim(parts[3]).try_cast("double").alias("tideheight"),
+        F.try_to_timestamp(F.concat_ws(" ", F.get(parts, 0), F.get(parts, 2)), F.lit("yyyy/MM/dd HH:mm"))
+        .cast("timestamp_ntz")
+        .alias("date"),
+        F.trim(F.get(parts, 3)).try_cast("double").alias("tideheight"),
         *[F.lit(v).alias(k) for k, v in tags.items()],
     )
 
@@ -39,7 +41,10 @@ def read_columns(spark: SparkSession, path: str, wanted: Mapping[str, int], sent
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Rings of the polygon placemarks in KML files: ``name, ring`` (array of lon, lat)."""
+    """Outer rings of the polygon placemarks in KML files: ``name, ring`` (array of lon, lat).
+
+    A corner that is no number has NULL in its place; inner rings are not read.
+    """
     schema = (
         "name string, Polygon struct<outerBoundaryIs:struct<LinearRing:struct<coordinates:string>>>"
     )
@@ -49,7 +54,7 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
 
     def corner(c):
         xy = F.split(c, ",")
-        return F.struct(xy[0].cast("double").alias("lon"), xy[1].cast("double").alias("lat"))
+        return F.struct(F.get(xy, 0).try_cast("double").alias("lon"), F.get(xy, 1).try_cast("double").alias("lat"))
 
     return marks.where(text.isNotNull()).select("name", F.transform(corners, corner).alias("ring"))
 

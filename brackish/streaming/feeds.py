@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from brackish.functions.nulls import safe_divide
+from brackish.operators.keys import join_on
 from brackish.session import scratch_path
 
 
@@ -90,3 +91,17 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def with_open_windows(
+    emitted: DataFrame, rows: DataFrame, keys: Sequence[str], time: str, open_for: str, build: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The emitted windows of a feed that has ended, and those its watermark never closed.
+
+    `open_for` is the window's length and the delay together: windows that were not emitted hold
+    only rows of that last stretch, which `build`, the stream's own form, aggregates as a batch.
+    """
+    last = rows.select(F.max(time).cast("timestamp_ntz")).scalar()
+    late = rows.where(F.col(time).cast("timestamp_ntz") >= last - F.expr(f"INTERVAL {open_for}"))
+    missing = join_on(build(late), emitted.select(*keys, "start"), [*keys, "start"], "left_anti")
+    return emitted.unionByName(missing)

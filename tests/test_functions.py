@@ -125,3 +125,51 @@ def test_clean_names():
     assert clean_names(headers) == [
         "test_number", "full_date", "percent_counts_a", "radon_in_water_dpm_l", "full_date_2", "live_time"
     ]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("2022-06-03", datetime(2022, 6, 3)), ("2021-08-06 05:00", datetime(2021, 8, 6, 5)),
+        ("2022-06-03T07:50:00", datetime(2022, 6, 3, 7, 50)), ("8/4/21 16:42", datetime(2021, 8, 4, 16, 42)),
+        ("2022-06-03 07:50:00.25", datetime(2022, 6, 3, 7, 50, 0, 250_000)), ("2022-06-03T07:50:00.5Z", datetime(2022, 6, 3, 7, 50, 0, 500_000)),
+        ("2022-6-3x", None),
+    ],
+)
+def test_looser_times(spark, text, want):
+    assert value(spark, times.parse_time(F.lit(text))) == want
+
+
+def test_tails_of_large_samples():
+    assert t_two_sided(2.0, 1e11) == pytest.approx(math.erfc(2 / math.sqrt(2)), rel=1e-6)
+    assert t_two_sided(2.5, 1.999e6) == pytest.approx(t_two_sided(2.5, 2.001e6), rel=1e-5)
+    assert f_upper(3.0, 4, 1e12) == pytest.approx(math.exp(-6.0) * 7.0, rel=1e-6)
+
+
+def test_scratch_needs_a_shared_folder_off_one_machine(spark, monkeypatch):
+    from brackish import session
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_path(Session(), "x")
+
+
+def test_release_removes_derived_tables(spark):
+    import os
+
+    from brackish import session
+
+    settled = session.settle(spark.range(3))
+    assert settled.count() == 3
+    root = session.scratch_root(spark)
+    assert os.path.isdir(root)
+    session.release(spark)
+    assert not os.path.exists(root)

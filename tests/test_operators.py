@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from brackish.operators import draws, joins, ordered, regression, reshape, scaling, spatial
 from brackish.operators.density import density_curve
+from brackish.operators.draws import shortest_interval
 from brackish.operators.keys import join_on
+from brackish.operators.moments import cross_moments
 from brackish.operators.pca import fit_pca, percent_explained, scores
 from brackish.operators.regression import Model
 
@@ -184,7 +186,7 @@ def test_log_link_fit_recovers_curve(spark):
     rng = np.random.default_rng(2)
     x = rng.uniform(0, 2, 300)
     pdf = pd.DataFrame({"k": "a", "x": x, "y": np.exp(1 + 0.7 * x) + rng.normal(0, 0.05, 300)})
-    rows = regression.coefficients(regression.fit_log_link(spark.createDataFrame(pdf), ["k"], Model("y", ("x",)), passes=4)).collect()
+    rows = regression.coefficients(regression.fit_log_link(spark.createDataFrame(pdf), ["k"], Model("y", ("x",)))).collect()
     assert [r["estimate"] for r in rows] == pytest.approx([1.0, 0.7], abs=5e-3)
 
 
@@ -194,7 +196,7 @@ def test_student_fit_resists_outliers(spark):
     y = 1 + 2 * x + rng.normal(0, 0.1, 200)
     y[:10] += 100
     df = spark.createDataFrame(pd.DataFrame({"k": "a", "x": x, "y": y}))
-    rows = regression.coefficients(regression.fit_student(df, ["k"], Model("y", ("x",)), passes=12)).collect()
+    rows = regression.coefficients(regression.fit_student(df, ["k"], Model("y", ("x",)))).collect()
     assert [r["estimate"] for r in rows] == pytest.approx([1.0, 2.0], abs=0.2)
 
 
@@ -262,3 +264,42 @@ def test_kriging_is_exact_at_points_and_reports_failures(spark):
     assert status["a"]["mean"] + spatial._spherical(d, 0.0, 8.0, 10.0) @ p[:, 2] == pytest.approx(z0)
     surface = spatial.kriging_surface(weights, ["k"], [(0, 0), (10, 0), (10, 10), (0, 10)], pixels=20)
     assert surface.count() == 400
+
+
+def test_quantiles_of_a_value_that_most_rows_share(spark):
+    values = [0.0] * 9_000 + list(np.random.default_rng(4).normal(5, 2, 1_000))
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "x": values})).repartition(8)
+    counts = ordered.value_counts(df, ["k"], "x")
+    assert counts.count() == len(set(values))
+    got = ordered.exact_quantiles(df, ["k"], "x", {"a": 0.25, "b": 0.95}).first()
+    assert (got["a"], got["b"]) == pytest.approx(tuple(np.quantile(values, [0.25, 0.95])))
+    interval = shortest_interval(df, ["k"], "x", 0.9).first()
+    x = np.sort(values)
+    width = x[9_000:] - x[:1_000]
+    assert interval["upper"] - interval["lower"] == pytest.approx(width.min())
+
+
+def test_moments_of_groups_far_apart(spark):
+    rng = np.random.default_rng(1)
+    parts = [pd.DataFrame({"k": k, "x": at + rng.normal(0, 0.3, 500), "w": 1.0}) for k, at in (("a", 1e9), ("b", -1e9))]
+    parts = [p.assign(y=2 * (p.x - p.x.mean()) + rng.normal(0, 0.1, 500)) for p in parts]
+    df = spark.createDataFrame(pd.concat(parts))
+    for weight in (None, "w"):
+        for row in cross_moments(df, ["k"], ["x", "y"], weight).collect():
+            part = next(p for p in parts if p.k.iloc[0] == row["k"])
+            assert row["cov"] == pytest.approx(np.cov(part.x, part.y, ddof=0)[np.triu_indices(2)], rel=1e-6)
+            assert row["n"] == row["total"] == 500
+    plan = cross_moments(df, ["k"], ["x", "y"])._jdf.queryExecution().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 6
+    slopes = regression.coefficients(regression.fit_models(df, ["k"], [Model("y", ("x",))])).where("term = 'x'").collect()
+    assert [r["estimate"] for r in slopes] == pytest.approx([2.0, 2.0], abs=0.05)
+
+
+def test_density_counts_rows_outside_its_window(spark):
+    df = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 50)], "x double")
+    inside = density_curve(df, [], "x", 1.0, 0.0, 2.0, 3).orderBy("point").collect()
+    assert {r["n"] for r in inside} == {4.0}
+    peak = [sum(np.exp(-0.5 * (p - x) ** 2) for x in (0, 1, 2, 50)) / np.sqrt(2 * np.pi) / 4 for p in range(3)]
+    assert [r["density"] for r in inside] == pytest.approx(peak)
+    whole = density_curve(df, [], "x", 1.0, points=51).collect()
+    assert (min(r["x"] for r in whole), max(r["x"] for r in whole)) == (0.0, 50.0)

@@ -16,6 +16,9 @@ CHECKED = (
     "g3_factor_interaction", "g5_sequential_anova", "g17_shortest_interval", "g21_density_share", "j1_natural_left_chain",
     "j2_align_outer", "j6_nearest_in_tolerance", "r5_day_hour_matrix", "s7_messy_headers", "t1_tumbling_mean",
     "w2_centred_rolling_mean", "w8_regular_grid", "x2_variogram",
+    "f18_carbonate_nutrients", "g2_regression_per_group", "g8_log_link_optimum", "g10_correlation_flags",
+    "g16_path_model_optimum", "g21_density_curve", "j2_natural_full_chain", "s1_delimited_table", "s2_logger_folder",
+    "t2_sliding_mean",
 )
 
 
