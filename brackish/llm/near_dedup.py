@@ -45,6 +45,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 #: Members of a block and their bytes, and blocks that one task holds against one block.
 BLOCK, BLOCK_BYTES, TOGETHER = 128, 4 << 20, 16
+#: Tasks that a family's members are dealt to when they meet its facts.
+SALTS = 32
 
 Bag = tuple[np.ndarray, np.ndarray]
 
@@ -62,6 +64,19 @@ def _digest(bag: Bag) -> bytes:
     return hashlib.blake2b(pack(bag), digest_size=16).digest()
 
 
+def _parts(items: list[int], sizes: list[int], most: int = 200_000) -> Iterator[list[int]]:
+    """The items in runs of at most `most` shingles (a longer text is a run of its own)."""
+    part, held = [], 0
+    for item, size in zip(items, sizes):
+        if part and held + size > most:
+            yield part
+            part, held = [], 0
+        part.append(item)
+        held += size
+    if part:
+        yield part
+
+
 def _sign(batches: Iterator[pa.RecordBatch], shingle: int, count: int, size: int) -> Iterator[pa.RecordBatch]:
     """Per text: its own digest, its multiset's digest (the node) and its bands."""
     made = Shingles(shingle)
@@ -69,8 +84,10 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, count: int, size: int
         texts = batch.column("text").to_pylist()
         bags = [made.of(words(x)) for x in texts]
         full = [i for i, (x, _) in enumerate(bags) if len(x)]
-        values = bands(signatures([bags[i] for i in full], count * size), size).tolist() if full else []
-        band = dict(zip(full, values))
+        band = {}
+        for part in _parts(full, [len(bags[i][0]) for i in full]):
+            made_now = signatures([bags[i] for i in part], count * size)
+            band |= zip(part, bands(made_now, size).tolist())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -161,6 +178,12 @@ def _grouped(df: DataFrame, blocks: str, name: str) -> DataFrame:
     )
 
 
+def _per_family(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join facts of families to their members; a family's members go to several tasks."""
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("salt", F.expr(f"cast(pmod(xxhash64(node), {SALTS}) as int)")).join(copies, ["family", "salt"]).drop("salt")
+
+
 def _within_families(families: DataFrame, roots: DataFrame, bags: DataFrame, similarity: Fraction) -> DataFrame:
     """Links between members of one family that are in different components."""
     known = settle(
@@ -171,7 +194,7 @@ def _within_families(families: DataFrame, roots: DataFrame, bags: DataFrame, sim
         F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("members")
     )
     open_ = settle(main.where("parts > 1").select("family", "main.root", "members").withColumnRenamed("root", "main"), "open")
-    rows_ = known.join(open_, "family").select("family", "node", "root", (F.col("root") != F.col("main")).alias("other"))
+    rows_ = _per_family(known, open_).select("family", "node", "root", (F.col("root") != F.col("main")).alias("other"))
     rows_ = settle(rows_.join(bags, "node"), "members")
     sizes = rows_.groupBy("family").agg(
         *[
@@ -179,7 +202,7 @@ def _within_families(families: DataFrame, roots: DataFrame, bags: DataFrame, sim
             for n, c in (("member_blocks", "true"), ("other_blocks", "other"))
         ]
     )
-    rows_ = rows_.join(settle(sizes, "sizes"), "family")
+    rows_ = _per_family(rows_, settle(sizes, "sizes"))
     # a block of others meets the members' blocks in bundles, so that a task's work is bounded too
     members = _grouped(rows_, "member_blocks", "member").select(
         "family", F.expr(f"member div {TOGETHER}").cast("int").alias("bundle"), "members", F.explode(F.expr("sequence(0, other_blocks - 1)")).alias("other")

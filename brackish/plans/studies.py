@@ -9,16 +9,16 @@ from brackish.functions.carbonate import with_carbonate_system
 from brackish.functions.chemistry import mixing_corrected, calcification_proxy, production_proxy
 from brackish.functions.times import floor_time
 from brackish.operators.aggregate import time_mean
-from brackish.operators.joins import drop_listed
 from brackish.operators.keys import attach, join_on
 from brackish.operators.project import across
-from brackish.operators.regression import Model, coefficients, fit_models, line_fit
+from brackish.operators.regression import coefficients, fit_models, line_fit
 from brackish.operators.reshape import to_wide
 from brackish.operators.scaling import standardise
 from brackish.plans.catalog import Tables, query
-from brackish.plans.scalars import KEY, MIXING_SQL, METABOLISM_SQL, SAMPLE_SQL, metabolism
+from brackish.plans.models import PATH_MODELS
+from brackish.plans.scalars import MIXING_SQL, METABOLISM_SQL, SAMPLE_SQL, metabolism
 from brackish.plans.series import EVENT_TYPES
-from brackish.session import scratch_path
+from brackish.session import scratch_path, settle
 from brackish.sources.tables import through_table
 
 HOURLY_SQL = """
@@ -80,12 +80,11 @@ def e1_hourly_with_weather(t: Tables) -> DataFrame:
 def e2_chemistry_to_paths(t: Tables) -> DataFrame:
     """Bad rows out, carbonate system, end members, offshore difference, scaling, path model.
 
-    The bad rows are named by key once. The carbonate columns and the model rows are each
-    read several times, so both are written out once as a stage boundary.
+    What marks a row as bad stands in the row itself, so it is a filter of the scan. The carbonate
+    columns and the model rows are each read twice, so both are written once as a stage boundary.
     """
     c = F.col
     rows = t.lineitem.select(
-        *KEY,
         c("l_returnflag").alias("location"),
         c("l_linestatus").alias("season"),
         F.when(c("l_linenumber") <= 3, "Day").otherwise("Night").alias("day_night"),
@@ -98,15 +97,21 @@ def e2_chemistry_to_paths(t: Tables) -> DataFrame:
         (c("l_discount") + c("l_tax")).alias("humics"),
         (c("l_tax") * c("l_quantity")).alias("prot"),
     )
-    bad = rows.where((c("ta") > 2405) & (c("day_night") == "Night"))
-    clean = drop_listed(rows, bad, KEY)
-    system = with_carbonate_system(clean, "ph", "ta", "salinity", "temperature").select(*rows.columns, "DIC")
+    bad = F.coalesce((c("ta") > 2405) & (c("day_night") == "Night"), F.lit(False))
+    system = with_carbonate_system(rows.where(~bad), "ph", "ta", "salinity", "temperature")
+    system = system.select(*[n for n in rows.columns if n != "salinity"], "DIC")
     system = through_table(system, scratch_path(t.spark, "carbonate"))
-    ends = system.groupBy("location").agg(
-        (F.max("silicate") + 97.3).alias("si_end"), F.max("ta").alias("ta_end"), F.max("DIC").alias("dic_end")
+    parts = settle(
+        system.groupBy("location", "day_night").agg(
+            F.max("silicate").alias("si"), F.max("ta").alias("ta"), F.max("DIC").alias("dic"),
+            F.avg("ta").alias("ta_off"), F.avg("DIC").alias("dic_off"),
+        )
+    )
+    ends = parts.groupBy("location").agg(
+        (F.max("si") + 97.3).alias("si_end"), F.max("ta").alias("ta_end"), F.max("dic").alias("dic_end")
     )
-    offshore = system.groupBy("location", "day_night").agg(F.avg("ta").alias("ta_off"), F.avg("DIC").alias("dic_off"))
-    mixed = attach(attach(system, ends, ["location"]), offshore, ["location", "day_night"])
+    known = join_on(parts.select("location", "day_night", "ta_off", "dic_off"), ends, ["location"])
+    mixed = attach(system, known, ["location", "day_night"])
     d_ta = c("ta_off") - mixing_corrected(c("ta"), c("ta_end"), c("silicate"), c("si_end"))
     d_dic = c("dic_off") - mixing_corrected(c("DIC"), c("dic_end"), c("silicate"), c("si_end"))
     model_rows = mixed.select(
@@ -118,15 +123,7 @@ def e2_chemistry_to_paths(t: Tables) -> DataFrame:
     )
     stored = through_table(model_rows, scratch_path(t.spark, "path-rows"))
     scaled = standardise(stored, ["temperature", "ph", "humics", "prot", "si", "nn", "nec", "nep"], suffix="")
-    models = [
-        Model("nn", ("si",)),
-        Model("nep", ("day_night", "nn", "temperature", "day_night:nn")),
-        Model("ph", ("nep", "si", "nep:si")),
-        Model("nec", ("ph", "temperature")),
-        Model("humics", ("day_night", "nep", "si", "day_night:nep")),
-        Model("prot", ("nec", "si")),
-    ]
-    return coefficients(fit_models(scaled, ["location", "season"], models, {"day_night": ["Day", "Night"]}))
+    return coefficients(fit_models(scaled, ["location", "season"], PATH_MODELS, {"day_night": ["Day", "Night"]}))
 
 
 @query(
