@@ -23,7 +23,7 @@ LIGHT_CURVES = {
     "Dry": LightCurve(16778.33, -13.29572),
     "Wet": LightCurve(1555.751648, -10.777624),
 }
-# Reference salinity, open-ocean silicate, minutes per hour in the residence time.
+# Reference salinity, open-ocean silicate.
 REFERENCE_SALINITY = 36.0
 OCEAN_SILICATE = 0.965
 

@@ -18,9 +18,10 @@ from brackish.functions.times import (
     shift_time,
     year_month,
 )
-from brackish.operators.keys import attach
+from brackish.operators.keys import attach, join_on
 from brackish.operators.regression import line_fit
 from brackish.plans.catalog import Tables, query
+from brackish.session import settle
 
 KEY = ("l_orderkey", "l_partkey", "l_suppkey")
 # Stand-in sample columns in plausible ranges, the same expressions in both engines.
@@ -212,16 +213,32 @@ MIXING_SQL = """
 
 
 def mixed_samples(t: Tables) -> DataFrame:
+    """Samples with their location's end members, their season's offshore means and the mixing line.
+
+    One aggregation by location and season gives both; its few rows give those by location.
+    """
     s = samples(t)
-    ends = s.groupBy("location").agg(
-        F.max("salinity").alias("salinity_high"),
-        F.min("silicate").alias("silicate_high"),
-        (F.max("silicate") + 97.3).alias("silicate_spring"),
-        (F.max("ta") + 500).alias("ta_spring"),
-        (F.max("dic") + 900).alias("dic_spring"),
+    parts = settle(
+        s.groupBy("location", "season").agg(
+            F.max("salinity").alias("salinity_high"),
+            F.min("silicate").alias("silicate_high"),
+            F.max("silicate").alias("silicate_spring"),
+            F.max("ta").alias("ta_spring"),
+            F.max("dic").alias("dic_spring"),
+            F.avg("ta").alias("ta_offshore"),
+            F.avg("dic").alias("dic_offshore"),
+        )
     )
+    ends = parts.groupBy("location").agg(
+        F.max("salinity_high").alias("salinity_high"),
+        F.min("silicate_high").alias("silicate_high"),
+        (F.max("silicate_spring") + 97.3).alias("silicate_spring"),
+        (F.max("ta_spring") + 500).alias("ta_spring"),
+        (F.max("dic_spring") + 900).alias("dic_spring"),
+    )
+    known = join_on(parts.select("location", "season", "ta_offshore", "dic_offshore"), ends, ["location"])
     si, si_end = F.col("silicate"), F.col("silicate_spring")
-    return attach(s, ends, ["location"]).withColumns(
+    return attach(s, known, ["location", "season"]).withColumns(
         {
             "ta_mix": chem.mixing_corrected(F.col("ta"), F.col("ta_spring"), si, si_end),
             "dic_mix": chem.mixing_corrected(F.col("dic"), F.col("dic_spring"), si, si_end),
@@ -240,7 +257,7 @@ def f11_mixing_correction(t: Tables) -> DataFrame:
     return mixed_samples(t).select(*KEY, F.round("ta_mix", 4).alias("ta_mix"), F.round("dic_mix", 4).alias("dic_mix"))
 
 
-# Stand-in reef lengths by site.
+# Stand-in values: reef lengths by site (and 0.965, 97.3, 500, 900 above: end members of the samples).
 LENGTHS = {"R": 189.0, "A": 100.0, "N": 272.0}
 
 
@@ -277,11 +294,7 @@ METABOLISM_SQL = """
 
 
 def metabolism(t: Tables) -> DataFrame:
-    m = mixed_samples(t)
-    offshore = samples(t).groupBy("location", "season").agg(
-        F.avg("ta").alias("ta_offshore"), F.avg("dic").alias("dic_offshore")
-    )
-    rows = attach(m, offshore, ["location", "season"]).withColumns(
+    rows = mixed_samples(t).withColumns(
         {
             "ta_diff": F.col("ta_offshore") - F.col("ta_mix"),
             "dic_diff": F.col("dic_offshore") - F.col("dic_mix"),
