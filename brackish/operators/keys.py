@@ -18,15 +18,22 @@ def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in left.columns if c in names]
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def join_on(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", suffixes: tuple[str, str] = ("_x", "_y")
+) -> DataFrame:
     """Equi-join in which NULL keys match each other; one copy of each key is kept.
 
+    Other columns that both sides have get the `suffixes`.
+
     No side is broadcast by hint: the planner broadcasts a side whose known size is under
     the session's threshold and otherwise sorts, splitting hot keys at run time.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("a join needs at least one key")
+    if how not in ("left_semi", "left_anti"):
+        both = [c for c in right.columns if c in left.columns and c not in keys]
+        left, right = (df.withColumnsRenamed({c: c + end for c in both}) for df, end in zip((left, right), suffixes))
     marked = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     condition = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     joined = left.join(marked, condition, how)

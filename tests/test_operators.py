@@ -36,6 +36,15 @@ def test_null_keys_match(spark):
     assert aligned == full
 
 
+def test_columns_of_both_sides_get_suffixes(spark):
+    left = spark.createDataFrame([(1, "a", 1.0)], "k int, v string, l double")
+    right = spark.createDataFrame([(1, "b", 2.0), (2, "c", 3.0)], "k int, v string, r double")
+    out = join_on(left, right, ["k"], "full").orderBy("k")
+    assert out.columns == ["k", "v_x", "l", "v_y", "r"]
+    assert [tuple(r) for r in out.collect()] == [(1, "a", 1.0, "b", 2.0), (2, None, None, "c", 3.0)]
+    assert join_on(left, right, ["k"], "left_semi").columns == ["k", "v", "l"]
+
+
 def test_duplicate_right_keys_multiply(spark):
     left = spark.createDataFrame([(1, "a")], "k int, l string")
     right = spark.createDataFrame([(1, "x"), (1, "y")], "k int, r string")
