@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,9 +64,39 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/brackish-{spark.sparkContext.applicationId}"
 
 
+#: Paths that `recording` blocks have seen made, the innermost block last.
+_RECORDS: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one derived table."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for record in _RECORDS:
+        record.append(path)
+    return path
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """Collects the paths of the derived tables that are made inside of the block."""
+    _RECORDS.append([])
+    try:
+        yield _RECORDS[-1]
+    finally:
+        _RECORDS.pop()
+
+
+def remove_unread(spark: SparkSession, paths: Sequence[str], *readers: DataFrame) -> list[str]:
+    """Remove those of the derived tables that none of the `readers` reads; the others come back."""
+    read = {part for df in readers for f in df.inputFiles() for part in f.split("/")}
+    left = []
+    for name in paths:
+        if name.rsplit("/", 1)[-1] in read:  # the name ends in an identifier of its own
+            left.append(name)
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return left
 
 
 def release(spark: SparkSession) -> None:
