@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brackish.llm.text import BLANKS, rows, utf8
-from brackish.session import settle
+from brackish.session import recording, remove_unread, settle
 
 #: Bytes of a block, and of distinct blocks that a task remembers at most.
 BLOCK = 4096
@@ -153,6 +153,9 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", b
 
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows that stay, with all their columns."""
-    cut, decided = _decide(docs, key, text, block)
-    kept = settle(decided.where("kept").select("rid"), "kept")
-    return cut.join(kept, "rid", "left_semi").select("row.*")
+    with recording() as made:
+        cut, decided = _decide(docs, key, text, block)
+        # fewer rows go than stay, so it is the rows that go which meet the texts
+        gone = settle(decided.where("NOT kept").select("rid"), "gone")
+    remove_unread(docs.sparkSession, made, cut, gone)
+    return cut.join(gone, "rid", "left_anti").select("row.*")

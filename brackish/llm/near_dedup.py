@@ -38,7 +38,7 @@ from brackish.llm.bagminhash import Shingles, bands, overlap, signatures
 from brackish.llm.components import components
 from brackish.llm.text import documents, rows, utf8, words
 from brackish.operators.keys import join_on
-from brackish.session import settle
+from brackish.session import recording, remove_unread, settle
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -262,7 +262,8 @@ def _decided(texts: DataFrame, similarity: float, shingle: int, count: int, size
     named = signed.select("doc_id", "whole", "node").join(roots, "node", "left")
     # texts without words are groups of their own
     alone = F.unhex(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.hex("whole"), F.monotonically_increasing_id().cast("string")), 256))
-    named = settle(named.select("doc_id", "whole", F.coalesce("root", "node", alone).alias("root")), "named")
+    worded = F.col("node").isNotNull().alias("worded")
+    named = settle(named.select("doc_id", "whole", worded, F.coalesce("root", "node", alone).alias("root")), "named")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "whole")).alias("first")
     groups = settle(named.groupBy("root").agg(first, F.count("*").alias("class_size")), "groups")
     joined = named.join(groups.select("root", "first.doc_id", "first.whole", "class_size").toDF("root", "class_id", "kept_whole", "class_size"), "root")
@@ -279,16 +280,19 @@ def drop_near_duplicates(
     size: int = ROWS,
 ) -> DataFrame:
     """One row of each group, with all its columns."""
-    decided = _decided(documents(docs, key, text), similarity, shingle, count, size)
-    kept = settle(decided.where("kept").groupBy("doc_id", "whole", "root").agg(F.count("*").alias("twins")), "kept")
-    # rows without words are groups of their own, whatever they repeat
-    kept = kept.groupBy("doc_id", "whole").agg(F.count("*").alias("roots"), F.sum("twins").alias("twins"))
+    with recording() as made:
+        decided = settle(_decided(documents(docs, key, text), similarity, shingle, count, size), "decided")
+        # fewer rows go than stay, so it is the rows that go which meet the texts
+        gone = settle(decided.where("NOT kept").select("doc_id", "whole").distinct(), "gone")
+        twins = decided.where("kept AND worded").groupBy("doc_id", "whole").agg(F.count("*").alias("twins"))
+        twins = settle(twins.where("twins > 1").select("doc_id", "whole"), "twins")
+    remove_unread(docs.sparkSession, made, gone, twins)
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("doc_id"), F.unhex(F.md5(utf8(text))).alias("whole")
     )
-    joined = join_on(marked, settle(kept, "kept"), ["doc_id", "whole"], "inner")
-    single = joined.where("twins = roots").select("row.*")
-    if kept.where("twins <> roots").isEmpty():
-        return single
-    repeated = joined.where("twins <> roots").groupBy("doc_id", "whole").agg(F.first("row").alias("row"))
-    return single.unionAll(repeated.select("row.*"))
+    rest = join_on(marked, gone, ["doc_id", "whole"], "left_anti")
+    if twins.isEmpty():
+        return rest.select("row.*")
+    single = join_on(rest, twins, ["doc_id", "whole"], "left_anti")
+    repeated = join_on(rest, twins, ["doc_id", "whole"], "left_semi").groupBy("doc_id", "whole").agg(F.first("row").alias("row"))
+    return single.select("row.*").unionAll(repeated.select("row.*"))
