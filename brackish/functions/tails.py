@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,17 @@ from pyspark.sql.types import DoubleType
 _LARGE = 1e6
 _TINY = 1e-300
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _each(function: Callable[[float], float], x: np.ndarray) -> np.ndarray:
+    return np.array([function(v) for v in np.ravel(x)], float).reshape(np.shape(x))
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return _each(math.lgamma, x)
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return _each(math.erfc, x)
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -51,13 +61,17 @@ def upper_gamma(s: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(out, 1.0)
 
 
-def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function; for large `a` (then `b` a multiple of 1/2) its gamma limit."""
-    a, b, x = (np.array(v, float, ndmin=1) for v in np.broadcast_arrays(a, b, x))
-    out = np.where(x >= 1.0, 1.0, np.where(x <= 0.0, 0.0, np.nan))
-    inner = (x > 0.0) & (x < 1.0)
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, rest: np.ndarray | None = None) -> np.ndarray:
+    """Regularised incomplete beta function; for large `a` (then `b` a multiple of 1/2) its gamma limit.
+
+    `rest` is 1 - x, for callers that know it without cancellation.
+    """
+    rest = 1.0 - np.asarray(x, float) if rest is None else rest
+    a, b, x, rest = (np.array(v, float, ndmin=1) for v in np.broadcast_arrays(a, b, x, rest))
+    out = np.where(rest <= 0.0, 1.0, np.where(x <= 0.0, 0.0, np.nan))
+    inner = (x > 0.0) & (rest > 0.0)
     large = inner & (a > _LARGE)
-    out[large] = upper_gamma(b[large], -(a[large] + (b[large] - 1.0) / 2.0) * np.log(x[large]))
+    out[large] = upper_gamma(b[large], -(a[large] + (b[large] - 1.0) / 2.0) * np.log1p(-rest[large]))
     inner &= ~large
     low = inner & (x < (a + 1.0) / (a + b + 2.0))
     for rows, flip in ((low, False), (inner & ~low, True)):
@@ -71,12 +85,13 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     t, df = np.asarray(t, float), np.asarray(df, float)
-    return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+    return incomplete_beta(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def f_upper(f: np.ndarray, df1: np.ndarray, df2: np.ndarray) -> np.ndarray:
     f, df1, df2 = (np.asarray(v, float) for v in (f, df1, df2))
-    return incomplete_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * np.maximum(f, 0.0)))
+    scaled = df1 * np.maximum(f, 0.0)
+    return incomplete_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + scaled), scaled / (df2 + scaled))
 
 
 @F.pandas_udf(DoubleType())

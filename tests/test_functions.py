@@ -173,3 +173,18 @@ def test_release_removes_derived_tables(spark):
     assert os.path.isdir(root)
     session.release(spark)
     assert not os.path.exists(root)
+
+
+def test_tables_that_nothing_reads_are_removed(spark):
+    import os
+
+    from brackish import session
+
+    with session.recording() as made:
+        kept, gone = session.settle(spark.range(3)), session.settle(spark.range(4))
+        kept.join(gone, "id")
+    session.settle(spark.range(1))
+    assert len(made) == 2
+    assert session.remove_unread(spark, made, kept) == made[:1]
+    assert os.path.isdir(made[0]) and not os.path.exists(made[1])
+    assert kept.count() == 3
