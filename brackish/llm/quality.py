@@ -12,7 +12,9 @@
 
 Defined results: a text without tokens (NULL, empty, blanks) has score 0. Equal texts have equal
 scores. Rows that repeat a doc_id are documents of their own. Other columns are ignored by
-`score_quality` and carried along by `keep_good`.
+`score_quality` and carried along by `keep_good`. Languages that the labellers do not know are not
+held against a text: without enough known function words, or in scripts without blanks between
+words, the labellers concerned do not judge it.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from brackish.llm.text import documents, rows, words
 
-#: A vote; the last one says that a text is too short for the labeller, which tells nothing about it.
+#: A vote; the last one says that a labeller cannot judge the text (too short, or of a language or
+#: script it does not know), which tells nothing about it.
 GOOD, BAD, NONE, SHORT = "g", "b", "-", "."
 #: Texts that the scorer is fitted on, and its number of weights.
 SAMPLE = 20_000
@@ -48,6 +51,13 @@ FUNCTION_WORDS = frozenset(
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"()-!?")
 _MARK_RUN = re.compile(b"[" + re.escape(_MARKS) + b"]+")
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+#: Bytes within a UTF-8 character, first bytes of any character above 127, and above U+07FF.
+_WITHIN, _FIRST, _WIDE = bytes(range(0x80, 0xC0)), bytes(range(0xC0, 0x100)), bytes(range(0xE0, 0x100))
+#: Sentence ends above 127: Armenian, Arabic, Syriac, Devanagari, Myanmar, Ethiopic, Khmer,
+#: Mongolian, marks in pairs and dots, CJK, full and half width.
+_ENDS = [x.encode() for x in "։؟۔܀܁܂।॥၊။።፧៕៖᠃‼⁇⁈⁉…。！．？｡"]
+#: Scripts without blanks between words: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uaa60-\uaadf\uf900-\ufaff\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 _VOTERS = 9
 
 
@@ -61,6 +71,13 @@ def _only_bad(value: float, bad: float) -> str:
     return BAD if value >= bad else NONE
 
 
+def _unspaced(text: bytes) -> bool:
+    """Whether a tenth of the characters or more are of scripts without blanks between words."""
+    wide = len(text) - len(text.translate(None, _WIDE))
+    length = len(text.translate(None, _WITHIN))
+    return 10 * wide >= length and 10 * len(_UNSPACED.findall(text.decode(errors="replace"))) >= length
+
+
 def votes(text: bytes) -> str:
     """One letter per labeller: share of marks, runs of marks per word, capitals, immediate
     repeats, repeated triples, repeated lines, function words, word length, sentence length."""
@@ -68,26 +85,29 @@ def votes(text: bytes) -> str:
     n = len(found)
     if n < 5:
         return SHORT * _VOTERS
-    upper, lower = (len(text) - len(text.translate(None, x)) for x in (_UPPER, _LOWER))
+    upper, lower, other = (len(text) - len(text.translate(None, x)) for x in (_UPPER, _LOWER, _FIRST))
     marks = len(text) - len(text.translate(None, _MARKS))
     runs = sum(1 for _ in _MARK_RUN.finditer(text)) if marks else 0
     same = sum(map(bytes.__eq__, found, found[1:]))
     triples = len(set(zip(found, found[1:], found[2:])))
     own = sum(map(FUNCTION_WORDS.__contains__, found)) / n
-    size = sum(map(len, found)) / n
+    size = len(b"".join(found).translate(None, _WITHIN)) / n
     lines = [x for x in text.split(b"\n") if x.strip()]
     ends = text.count(b".") + text.count(b"!") + text.count(b"?")
+    if other:
+        ends += sum(map(text.count, _ENDS))
+    parted = n >= 30 and not (other and _unspaced(text))
     return "".join(
         [
             _both(marks / len(text), 0.01, 0.04),
             _only_bad(runs / n, 0.2),
-            _only_bad(upper / max(1, upper + lower), 0.5),
+            _only_bad(upper / max(1, upper + lower + other), 0.5),
             _only_bad(same / (n - 1), 0.2) if n >= 10 else SHORT,
             _only_bad(1 - triples / (n - 2), 0.4) if n >= 10 else SHORT,
             _only_bad(1 - len(set(lines)) / len(lines), 0.4) if len(lines) > 3 else SHORT,
-            _both(-own, -0.1, -0.02) if n >= 30 else SHORT,
-            _both(abs(size - 6), 3, 7) if n >= 30 else SHORT,
-            _both(n / max(1, ends), 40, 90) if n >= 30 else SHORT,
+            (GOOD if own >= 0.1 else NONE) if n >= 30 and own > 0.02 else SHORT,
+            _both(abs(size - 6), 3, 7) if parted else SHORT,
+            _both(n / max(1, ends), 40, 90) if parted else SHORT,
         ]
     )
 

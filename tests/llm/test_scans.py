@@ -170,6 +170,38 @@ def test_quality_edges(spark):
     assert votes(b"short text") == "." * 9
 
 
+#: Word stock, sentence end, and words from one blank to the next, of clean prose.
+PROSE = {
+    "hi": ("भारत एक विशाल देश है और यहाँ अनेक भाषाएँ बोली जाती हैं लोग अपने त्योहार मनाते नदी के किनारे बसे गाँव में सुबह काम शुरू होता बच्चे स्कूल जाते किसान खेत में गेहूँ उगाते", "।", 1),
+    "ru": ("сегодня утром мы вышли из дома и пошли вдоль реки к старому мосту где рыбаки уже ждали первых лодок дети бежали впереди США смеялись USA", ".", 1),
+    "pl": ("dzisiaj rano wyszliśmy z domu i poszliśmy wzdłuż rzeki do starego mostu gdzie rybacy już czekali na pierwsze łodzie dzieci biegły przodem śmiejąc się głośno", ".", 1),
+    "zh": ("今天 天气 很 好 我们 一起 去 公园 散步 孩子 们 在 草地 上 玩耍 老人 坐 树下 聊天 河水 慢慢 流过 村庄 市场 里 有 新鲜 水果", " 。", 1),
+    "th": ("เมื่อเช้านี้ ฝนตก หนักมาก เด็กนักเรียน เดินไป โรงเรียน แม่ค้า ขายผลไม้ อยู่ริมถนน ชาวนา กำลัง เกี่ยวข้าว ในทุ่ง น้ำ ในแม่น้ำ ไหลช้าลง ตลาด เปิด", "", 6),
+    "ar": ("خرجنا في الصباح من البيت وسرنا على طول النهر إلى الجسر القديم حيث كان الصيادون ينتظرون القوارب الأولى هل رأيت الأطفال يركضون", "؟", 1),
+}
+
+
+def prose(rng, language, sentences=16):
+    stock, end, joined = PROSE[language]
+    said = ("".join(rng.choice(stock.split()) for _ in range(joined)) for _ in range(12 * sentences))
+    return "".join(w + (f"{end} " if i % 12 == 11 else " ") for i, w in enumerate(said))
+
+
+@pytest.mark.parametrize("language", PROSE)
+def test_labellers_hold_no_language_against_a_text(language):
+    rng = random.Random(2)
+    for _ in range(20):
+        assert "b" not in votes(prose(rng, language).encode())
+
+
+def test_clean_texts_of_other_scripts_are_kept(spark):
+    rng = random.Random(4)
+    clean = [(i, prose(rng, language)) for i, language in enumerate(list(PROSE) * 20)]
+    junk = [(1000 + i, " ".join(rng.choice(["%$#@", "BUY", "BUY", "{}<>", "NOW"]) for _ in range(120))) for i in range(40)]
+    good = {r.doc_id: r.good for r in score_quality(frame(spark, clean + junk)).collect()}
+    assert all(good[i] for i, _ in clean) and not any(good[i] for i, _ in junk)
+
+
 def test_scorer_learns():
     made = Features(1 << 10)
     texts = [f"good text {i}".encode() for i in range(50)] + [f"bad BAD {i}".encode() for i in range(50)]
