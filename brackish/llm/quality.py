@@ -6,8 +6,9 @@
 2. Expectation-maximisation on the counts estimates each labeller's rates of every vote on good
    and on bad texts, and with them the probability that a text of each pattern is good.
 3. These posteriors are the targets of a logistic scorer over hashed token features. It is fitted
-   on at most about `SAMPLE` texts, chosen by the hash of the text, in one task; the bound is a
-   parameter, everything else covers all rows.
+   on at most about `SAMPLE` distinct texts, chosen by the hash of the text, in one task; copies are
+   one text with a weight, so they do not count against the bound. The bound is a parameter,
+   everything else covers all rows.
 4. Every text is scored: `good` if the score is at least one half.
 
 Defined results: a text without tokens (NULL, empty, blanks) has score 0. Equal texts have equal
@@ -161,7 +162,7 @@ class Features:
     def _token(self, token: bytes) -> tuple[int, int]:
         if len(self.cache) >= self.most:
             self.cache = {}
-        shape = _RUN.sub(rb"\1", token.translate(_SHAPE)[:64])
+        shape = _RUN.sub(rb"\1", token.translate(_SHAPE))
         pair = self.cache[token] = (zlib.crc32(token) & self.mask, zlib.crc32(b"\0shape " + shape) & self.mask)
         return pair
 
@@ -185,19 +186,27 @@ class Features:
 
 
 def fit_scorer(
-    features: Sequence[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weights: int = WEIGHTS, rounds: int = 150
+    features: Sequence[tuple[np.ndarray, np.ndarray]],
+    target: np.ndarray,
+    weights: int = WEIGHTS,
+    rounds: int = 150,
+    counts: np.ndarray | None = None,
 ) -> np.ndarray:
-    """Logistic weights, the last one the constant; full-batch steps, so the order does not count."""
+    """Logistic weights, the last one the constant; full-batch steps, so the order does not count.
+
+    `counts` says how many texts each row of features stands for, one by default.
+    """
     out = np.zeros(weights + 1)
     if not len(target):
         return out
     index = np.concatenate([x for x, _ in features]).astype(np.int64)
     value = np.concatenate([v for _, v in features]).astype(np.float64)
     row = np.repeat(np.arange(len(features)), [len(x) for x, _ in features])
+    share = np.full(len(target), 1 / len(target)) if counts is None else counts / counts.sum()
     first, second = np.zeros_like(out), np.zeros_like(out)
     for step in range(1, rounds + 1):
         score = np.bincount(row, out[index] * value, len(features)) + out[-1]
-        error = (1 / (1 + np.exp(-score)) - target) / len(features)
+        error = (1 / (1 + np.exp(-score)) - target) * share
         slope = np.append(np.bincount(index, error[row] * value, weights), error.sum()) + 1e-6 * out
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
@@ -216,13 +225,14 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _train(batches: Iterator[pa.RecordBatch], posterior: dict[str, float], weights: int) -> Iterator[pa.RecordBatch]:
     """The scorer's weights, in one row; runs in one task, over the bounded sample."""
-    features, target, made = [], [], Features(weights)
+    features, target, counts, made = [], [], [], Features(weights)
     for batch in rows(batches):
-        for text in batch.column("text").to_pylist():
+        for text, n in zip(batch.column("text").to_pylist(), batch.column("n").to_pylist()):
             if text.split():
                 features.append(made.of(text))
                 target.append(posterior[votes(text)])
-    fitted = fit_scorer(features, np.array(target), weights)
+                counts.append(n)
+    fitted = fit_scorer(features, np.array(target), weights, counts=np.array(counts, float))
     yield pa.RecordBatch.from_arrays([pa.array([fitted.astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
 
@@ -258,8 +268,12 @@ def score_quality(
     part = min(1.0, sample / max(1, total))
     # a share of the hash's range, not of the rows: equal texts are in or out together
     chosen = texts.select("text").where(F.shiftrightunsigned(F.xxhash64("text"), 1) <= F.lit(min(int(part * 2**63), 2**63 - 1)))
-    fitted = chosen.repartition(1).mapInArrow(partial(_train, posterior=posterior, weights=weights), "weights binary").first()
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(fitted.weights))
+    # copies combine map-side: a text that many rows repeat is one row of the task that fits
+    distinct = chosen.groupBy("text").agg(F.count("*").alias("n"))
+    fitted = distinct.repartition(1).mapInArrow(partial(_train, posterior=posterior, weights=weights), "weights binary").first()
+    # a plan known to be empty has no task, and so no row
+    none = np.zeros(weights + 1, np.float32).tobytes()
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(fitted.weights) if fitted else none)
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, score double, good boolean"
     return texts.mapInArrow(partial(_score, weights=shared), schema)
 

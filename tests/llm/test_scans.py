@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -211,6 +212,36 @@ def test_scorer_learns():
     assert all((w[x] @ v + w[-1] > 0) == (t == 1) for (x, v), t in zip(features, target))
 
 
+def test_copies_are_one_weighted_text(spark, monkeypatch):
+    """The scorer's weights are those of the full table, from one row per distinct text."""
+    rng = random.Random(6)
+    texts = [prose(rng, "ru", 4) for _ in range(10)] + ["%% ## BUY NOW " * 30, "BUY {} <> NOW " * 30]
+    docs = [t for i, t in enumerate(texts) for _ in range(1 + 7 * i)]
+    posterior, _ = fit_labellers(dict(Counter(votes(t.encode()) for t in docs)))
+    made = Features()
+    want = fit_scorer([made.of(t.encode()) for t in docs], np.array([posterior[votes(t.encode())] for t in docs]))
+    seen = []
+
+    def train(self, function, schema):
+        if schema == "weights binary":
+            seen.append(sorted((bytes(r.text).decode(), r.n) for r in self.collect()))
+        return original(self, function, schema)
+
+    kind = type(spark.range(0))
+    original = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", train)
+    scores = score_quality(frame(spark, list(enumerate(docs)))).collect()
+    assert seen == [sorted(Counter(docs).items())]
+    for r in scores:
+        index, value = made.of(docs[r.doc_id].encode())
+        assert abs(r.score - 1 / (1 + np.exp(-(want[index] @ value + want[-1])))) < 1e-3
+
+
+def test_shape_is_of_the_whole_token():
+    made = Features()
+    assert made._token(b"a-" * 40 + b"{")[1] != made._token(b"a-" * 40 + b"a")[1]
+
+
 # archives
 
 
