@@ -123,6 +123,73 @@ def variogram(
     )
 
 
+def variogram_all_pairs(
+    df: DataFrame, keys: Sequence[str], x: str, y: str, z: str, lags: int = 3, cells_per_extent: int = 12
+) -> DataFrame:
+    """As `variogram`, over every pair of a group: the furthest class ends at the diagonal of the
+    group's own extent, found by one aggregate.
+
+    The lattice divides that diagonal. Cells carry their mean position, which the distance of two
+    cells is taken between; pairs within a cell count with their root mean square distance. A
+    distance is off by at most twice the diagonal of a cell, the pairs and squares are exact.
+    """
+    known = df.dropna(subset=[x, y, z]).select(*keys, x, y, z)
+    wide, high = F.max(x) - F.min(x), F.max(y) - F.min(y)
+    spans = known.groupBy(*keys).agg(F.min(x).alias("_x0"), F.min(y).alias("_y0"), F.hypot(wide, high).alias("_far"))
+
+    def place(at: str, start: str) -> Column:
+        # a group at one place has no extent and one cell
+        return F.coalesce(F.floor(F.try_divide((F.col(at) - F.col(start)) * cells_per_extent, F.col("_far"))), F.lit(0))
+
+    def variance(at: str) -> Column:
+        return F.coalesce(F.var_samp(at), F.lit(0.0))
+
+    cells = (
+        attach(known, spans, keys)
+        .groupBy(*keys, "_far", place(x, "_x0").alias("cx"), place(y, "_y0").alias("cy"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum(z).alias("s"), F.sum(F.col(z) * F.col(z)).alias("q"),
+            F.avg(x).alias("px"), F.avg(y).alias("py"), F.sqrt(2 * (variance(x) + variance(y))).alias("near"),
+        )
+    )
+    reach = F.sequence(F.lit(-cells_per_extent), F.lit(cells_per_extent))
+    ahead = (F.col("dx") > 0) | ((F.col("dx") == 0) & (F.col("dy") > 0))
+    carried = ("n", "s", "q", "px", "py")
+    probes = (
+        cells.select(
+            *keys, "_far", F.col("cx").alias("_x"), F.col("cy").alias("_y"),
+            *[F.col(c).alias(f"{c}1") for c in carried], F.explode(reach).alias("dx"),
+        )
+        .withColumn("dy", F.explode(reach))
+        .where(ahead)
+        .withColumns({"cx": F.col("_x") + F.col("dx"), "cy": F.col("_y") + F.col("dy")})
+    )
+    met = join_on(probes, cells.select(*keys, "cx", "cy", *carried), [*keys, "cx", "cy"], "inner").select(
+        *keys,
+        "_far",
+        F.hypot(F.col("px") - F.col("px1"), F.col("py") - F.col("py1")).alias("distance"),
+        (F.col("n1") * F.col("n")).alias("pairs"),
+        (F.col("n1") * F.col("q") + F.col("n") * F.col("q1") - 2 * F.col("s1") * F.col("s")).alias("squares"),
+    )
+    same = cells.select(
+        *keys,
+        "_far",
+        F.col("near").alias("distance"),
+        (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"),
+        (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("squares"),
+    ).where(F.col("pairs") > 0)
+    step = F.coalesce(F.floor(F.try_divide(F.col("distance") * lags, F.col("_far"))), F.lit(0))
+    return (
+        met.unionByName(same)
+        .groupBy(*keys, F.least(step, F.lit(lags - 1)).cast("int").alias("lag"))
+        .agg(
+            F.sum("pairs").alias("pairs"),
+            (F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs")).alias("distance"),
+            (F.sum("squares") / F.sum("pairs") / 2).alias("gamma"),
+        )
+    )
+
+
 def fit_spherical(lags: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Nugget, range and sill: a line through the classes, cut at the furthest one."""
     return (

@@ -16,6 +16,7 @@ from brackish.operators.spatial import (
     polygon_grid,
     ring_column,
     variogram,
+    variogram_all_pairs,
 )
 from brackish.plans.catalog import Tables, query
 
@@ -92,6 +93,23 @@ def x2_variogram(t: Tables) -> DataFrame:
     return across(lags, ["distance", "gamma"], lambda c: F.round(c, 8))
 
 
+@query(
+    "x2_variogram_all_pairs",
+    f"""
+    WITH {POINT_SQL}
+    SELECT a.season, count(*) AS pairs, round(avg((a.z - b.z) ** 2) / 2, 8) AS gamma
+    FROM points a JOIN points b ON a.season = b.season AND a.vec_id < b.vec_id GROUP BY 1
+    """,
+)
+def x2_variogram_all_pairs(t: Tables) -> DataFrame:
+    """Over all classes, where pairs and squares are exact."""
+    lags = variogram_all_pairs(points(t), ["season"], "x", "y", "z")
+    pairs = F.sum("pairs")
+    return lags.groupBy("season").agg(
+        pairs.alias("pairs"), F.round(F.sum(F.col("gamma") * F.col("pairs")) / pairs, 8).alias("gamma")
+    )
+
+
 def _weights(t: Tables) -> DataFrame:
     rows = points(t)
     models = fit_spherical(variogram(rows, ["season"], "x", "y", "z", cutoff=0.3), ["season"])

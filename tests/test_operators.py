@@ -312,3 +312,25 @@ def test_density_counts_rows_outside_its_window(spark):
     assert [r["density"] for r in inside] == pytest.approx(peak)
     whole = density_curve(df, [], "x", 1.0, points=51).collect()
     assert (min(r["x"] for r in whole), max(r["x"] for r in whole)) == (0.0, 50.0)
+
+
+def test_variogram_counts_every_pair_at_its_distance(spark):
+    rng = np.random.default_rng(8)
+    at = rng.random((120, 2)) * [40.0, 9.0]
+    rows = [("a", float(x), float(y), float(x / 9 + rng.random())) for x, y in at]
+    rows += [("a", None, 1.0, 1.0), ("b", 2.0, 2.0, 1.0), ("b", 2.0, 2.0, 4.0), ("c", 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double")
+    got = {(r.k, r.lag): r for r in spatial.variogram_all_pairs(df, ["k"], "x", "y", "z", cells_per_extent=60).collect()}
+    z = np.array([r[3] for r in rows[:120]])
+    i, j = np.triu_indices(120, 1)
+    distance, squares = np.hypot(*(at[i] - at[j]).T), (z[i] - z[j]) ** 2
+    far = np.hypot(*np.ptp(at, axis=0))
+    assert sum(r.pairs for (k, _), r in got.items() if k == "a") == len(i)
+    assert np.isclose(sum(r.pairs * r.gamma for (k, _), r in got.items() if k == "a"), squares.sum() / 2)
+    tolerance = 2 * np.sqrt(2) * far / 60
+    for lag in range(3):
+        near = distance[np.minimum(distance * 3 // far, 2) == lag]
+        assert abs(got["a", lag].distance - near.mean()) < tolerance
+        assert abs(got["a", lag].pairs - len(near)) < 0.05 * len(i)
+    assert (got["b", 0].pairs, got["b", 0].distance, got["b", 0].gamma) == (1, 0.0, 4.5)
+    assert not [k for k in got if k[0] == "c"]
