@@ -111,14 +111,21 @@ def x2_variogram_all_pairs(t: Tables) -> DataFrame:
 
 
 def _weights(t: Tables) -> DataFrame:
-    rows = points(t)
-    models = fit_spherical(variogram(rows, ["season"], "x", "y", "z", cutoff=0.3), ["season"])
-    return kriging_weights(rows, models, ["season"], "x", "y", "z", cell=0.05)
+    """Three values of the embedding are three parameters, as the reference maps three per season."""
+    e, keys = F.col("embedding"), ["season", "parameter"]
+    values = [F.struct(F.lit(f"z{i}").alias("parameter"), e[i + 1].cast("double").alias("z")) for i in (1, 2, 3)]
+    rows = t.embeddings.select(
+        (F.col("label") % 2).alias("season"),
+        *[e[i].cast("double").alias(n) for i, n in enumerate(("x", "y"))],
+        F.inline(F.array(*values)),
+    )
+    models = fit_spherical(variogram(rows, keys, "x", "y", "z", cutoff=0.3), keys)
+    return kriging_weights(rows, models, keys, "x", "y", "z", cell=0.05)
 
 
 @query("x3_kriging_surface")
 def x3_kriging_surface(t: Tables) -> DataFrame:
-    return kriging_surface(_weights(t), ["season"], RING, pixels=100)
+    return kriging_surface(_weights(t), ["season", "parameter"], RING, pixels=500)
 
 
 @query(

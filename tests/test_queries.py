@@ -6,8 +6,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from brackish.plans import mapping
+from brackish.plans.registry import Tables
 from tools.check_oracle import TABLES, canonical
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -47,3 +50,11 @@ def test_registry():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_surface_has_three_parameters_at_500_pixels(spark):
+    tables = Tables(spark, "/root/testdata/sf0.01")
+    groups = {(r.season, r.parameter) for r in mapping._weights(tables).select("season", "parameter").collect()}
+    assert groups == {(season, parameter) for season in (0, 1) for parameter in ("z1", "z2", "z3")}
+    surface = entry.queries()["x3_kriging_surface"](spark, "/root/testdata/sf0.01")
+    assert 400 < surface.agg(F.max("ix")).first()[0] < 500
