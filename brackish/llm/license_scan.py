@@ -2,9 +2,10 @@
 
 A template is license wording over words, with optional regions and replaceable regions:
 
-    copyright <<opt>>c<<end>> <<var 1 8>> all rights reserved
+    copyright <<opt>>c<<end>> <<any>> all rights reserved
 
-`<<var a b>>` stands for a to b words of any kind; what is not marked is mandatory and must match
+`<<var a b>>` stands for a to b words of any kind, `<<any>>` for one or more, up to the first place
+where the wording after it is complete; what is not marked is mandatory and must match
 word for word. The templates are compiled once per task; a text is tried against a template only
 if the template's longest mandatory run occurs in it (a substring search), and only from the
 places of a possible first word. No shuffle.
@@ -30,22 +31,22 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 #: Wording by label. Words are those of the normalised text: lower case, no punctuation.
 TEMPLATES = {
-    "apache-2.0": "licensed under the apache license <<opt>>version 2 0<<end>>",
+    "apache-2.0": "<<opt>>licensed<<end>> <<opt>>released<<end>> under the apache license <<opt>>version 2 0<<end>>",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted "
     "provided that the following conditions are met",
     "cc-by-4.0": "licensed under <<opt>>a creative commons attribution<<end>> <<opt>>cc by<<end>> 4 0 <<opt>>international<<end>>",
     "cc-by-nc-4.0": "licensed under <<opt>>a creative commons attribution noncommercial<<end>> <<opt>>cc by nc<<end>> 4 0",
-    "copyright": "copyright <<opt>>c<<end>> <<var 1 8>> all rights reserved",
-    "gpl-3.0": "licensed under the gnu general public license version 3",
+    "copyright": "copyright <<opt>>c<<end>> <<any>> all rights reserved",
+    "gpl-3.0": "<<opt>>licensed<<end>> <<opt>>released<<end>> under the gnu general public license version 3",
     "gpl-any": "under the terms of the gnu general public license as published by the free software foundation "
     "<<opt>>either<<end>> version <<var 1 1>> <<opt>>of the license<<end>>",
-    "mit": "released under the mit license",
+    "mit": "<<opt>>licensed<<end>> <<opt>>released<<end>> under the mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software "
     "<<opt>>and associated documentation files the software<<end>> to deal in <<opt>>the<<end>> <<var 1 2>> "
     "without restriction",
 }
 
-_MARK = re.compile(r"<<opt>>|<<end>>|<<var (\d+) (\d+)>>|[^\s<]+")
+_MARK = re.compile(r"<<opt>>|<<end>>|<<any>>|<<var (\d+) (\d+)>>|[^\s<]+")
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,7 @@ class Automaton:
     skips: tuple[frozenset[int], ...]
     final: int
     anchor: bytes
+    open: frozenset[int] = frozenset()
 
     def closure(self, states: set[int]) -> set[int]:
         out, todo = set(states), list(states)
@@ -67,11 +69,13 @@ class Automaton:
         return out
 
     def match(self, text: list[bytes], start: int) -> int | None:
-        """End of the longest accepted wording that begins at `start`."""
+        """End of the longest accepted wording that begins at `start`; once one is accepted, no
+        region without a bound goes on."""
         states, end, at = self.closure({0}), None, start
         while states:
             if self.final in states and at > start:
                 end = at
+                states = states - self.open
             if at == len(text):
                 break
             word = text[at]
@@ -91,6 +95,7 @@ def compile_template(label: str, template: str) -> Automaton:
         return len(steps) - 1
 
     opened: list[int] = []
+    loops: set[int] = set()
     run: list[str] = []
     longest: list[str] = []
     for m in _MARK.finditer(template):
@@ -106,6 +111,10 @@ def compile_template(label: str, template: str) -> Automaton:
             places = [len(steps) - 1, *(step(None) for _ in range(most))]
             for place in places[least:-1]:
                 skips[place].add(places[-1])
+        elif mark == "<<any>>":
+            place = step(None)
+            steps[place].append((None, place))
+            loops.add(place)
         else:
             step(mark.encode())
             if not opened:
@@ -116,7 +125,12 @@ def compile_template(label: str, template: str) -> Automaton:
     if not longest:
         raise ValueError(f"template {label}: no mandatory word")
     return Automaton(
-        label, tuple(map(tuple, steps)), tuple(map(frozenset, skips)), len(steps) - 1, f" {' '.join(longest)} ".encode()
+        label,
+        tuple(map(tuple, steps)),
+        tuple(map(frozenset, skips)),
+        len(steps) - 1,
+        f" {' '.join(longest)} ".encode(),
+        frozenset(loops - {len(steps) - 1}),
     )
 
 
@@ -143,8 +157,10 @@ class Scanner:
         for a in self.automata:
             if a.anchor in line:
                 first = {w for s in a.closure({0}) for w, _ in a.steps[s]}
+                # what is mandatory cannot follow a later start
+                last = line.count(b" ", 0, line.rfind(a.anchor))
                 end = 0
-                for at, word in enumerate(split):
+                for at, word in enumerate(split[: last + 1]):
                     if at >= end and (word in first or None in first) and (stop := a.match(split, at)):
                         accepted.append((a.label, at, stop))
                         end = stop
@@ -202,6 +218,8 @@ def template_regex(template: str) -> str:
             out.append(")?")
         elif m.group(1) is not None:
             out.append(f"(?:[^ ]+ ){{{m.group(1)},{m.group(2)}}}")
+        elif mark == "<<any>>":
+            out.append("(?:[^ ]+ )+")
         else:
             out.append(re.escape(mark) + " ")
     return " " + "".join(out)

@@ -133,6 +133,16 @@ def test_license_scan(spark):
     assert scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_verbs_and_long_holders():
+    scan = lambda text: [(x, i, j) for x, i, j in Scanner({}, TEMPLATES).scan(text.encode())[3]]
+    assert scan("Licensed under the MIT License") == [("mit", 0, 5)]
+    assert scan("Released under the Apache License, Version 2.0") == [("apache-2.0", 0, 8)]
+    regents = "Copyright 1996, 1999, 2000, 2007 The Regents of the University of California. All rights reserved."
+    assert scan(regents) == [("copyright", 0, 15)]
+    assert scan(f"{regents} Then more. {regents} end") == [("copyright", 0, 15), ("copyright", 17, 32)]
+    assert scan("all rights reserved " + "copyright x " * 20_000) == []
+
+
 # quality
 
 
