@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from brackish.llm.chat import CLOSE, OPEN, render_conversations
 from brackish.llm.decontaminate import find_contamination
 from brackish.llm.exact_dedup import duplicate_groups
+from brackish.llm.filter_audit import audit_filters
 from brackish.llm.license_scan import BASE, TEMPLATES, scan_licenses, template_regex
 from brackish.llm.line_dedup import drop_common_lines
 from brackish.llm.near_dedup import near_duplicate_groups
@@ -235,3 +236,57 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups(read(spark, folder, "documents"))
+
+
+_BLANK_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op11_filter_audit",
+    rf"""
+    WITH plain AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    counted AS (
+        SELECT *, {_BLANK_WORDS.format("text")} AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM plain
+    ), marks AS (
+        SELECT doc_id, max(CAST(coalesce(quality, 0) = 1 AS INT)) AS good, max(CAST(coalesce(toxic, 0) = 1 AS INT)) AS toxic
+        FROM labels GROUP BY doc_id
+    ), rows AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+               CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+               || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+               || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+               || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+               || CASE WHEN coalesce(doc_id > least, false) THEN 'E' ELSE '' END AS failed
+        FROM counted LEFT JOIN marks USING (doc_id)
+    ), kinds AS (
+        SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM rows GROUP BY ALL
+    ), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+    ), steps AS (
+        SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS own, filter_order[1:step - 1] AS before
+        FROM orders, (SELECT unnest(range(1, 6)) AS step)
+    ), each AS (
+        SELECT part, filter_order, step, own, n, good, toxic, contains(failed, own) AS fails, failed = own AS alone,
+               len(list_intersect(string_split(failed, ''), string_split(before, ''))) > 0 AND failed <> '' AND before <> '' AS gone
+        FROM kinds, steps
+    ), counted_steps AS (
+        SELECT part, filter_order, step, own,
+               coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept,
+               coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed,
+               coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant,
+               coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+               coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost,
+               coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost
+        FROM each GROUP BY ALL
+    )
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+           CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM counted_steps
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(read(spark, folder, "documents"), read(spark, folder, "labels"))
