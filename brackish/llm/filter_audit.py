@@ -11,10 +11,10 @@ the earlier filters only, so 2 joins per filter answer all orders, and no join r
     audit.table()                    # every order, step by step
     audit.survivors("AC")            # ids, also `removed("AC", "B")` and `redundant("AC", "B")`
 
-The texts are read once, into one row of flags and digest each; filters are SQL expressions, so nothing leaves the JVM. Ids are unique, so no join has a hot key but the one of equal
-texts with the smallest doc_id of their group: that table holds one row per repeated text, is
-settled, and is broadcast when small; larger ones are sorted and adaptive execution splits hot
-digests.
+The texts are read once, into one row of flags and digest each; filters are SQL expressions, so
+nothing leaves the JVM. Ids are unique, so no join has a hot key but the one of equal texts with the
+smallest doc_id of their group: that table holds one row per repeated text, is settled, and is
+broadcast when small; larger ones are sorted and adaptive execution splits hot digests.
 
 Defined results: a NULL text is empty. A NULL `part` is the empty string. Each row is a document of
 its own, also where a doc_id repeats; a NULL doc_id is neither a smaller one nor has one. A document
@@ -43,8 +43,8 @@ def _words() -> Column:
     return F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
-#: Failure conditions by name, as SQL over text, n_words and n_distinct. "E", repeated texts, is a relation between
-#: documents and is found by digest.
+#: Failure conditions by name, as SQL over text, n_words and n_distinct. "E", repeated texts, is a
+#: relation between documents and is found by digest.
 FILTERS: dict[str, str | None] = {
     "A": f"n_words < {LEAST_WORDS}",
     "B": f"100L * n_distinct < {LEAST_DISTINCT}L * n_words",

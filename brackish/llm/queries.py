@@ -17,6 +17,7 @@ from brackish.llm.line_dedup import drop_common_lines
 from brackish.llm.near_dedup import near_duplicate_groups
 from brackish.llm.quality import score_quality
 from brackish.llm.sentencepiece import encode_texts
+from brackish.llm.structure_repair import damage, repair_conversations
 from brackish.llm.text import read
 from brackish.llm.token_counts import count_tokens
 from brackish.llm.warc import archive_pages
@@ -290,3 +291,107 @@ _BLANK_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 )
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return audit_filters(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def _crc32(key: str) -> str:
+    """SQL for the CRC-32 of an ASCII key, with the table `crc_table`."""
+    codes = f"list_transform(string_split({key}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return (
+        f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), "
+        "lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+    )
+
+
+_CRC_TABLE = """
+    crc_table AS (
+        SELECT list(v ORDER BY n) AS crc FROM (
+            SELECT n, list_reduce(list_prepend(n, range(8)),
+                                  lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+            FROM range(256) numbers(n))
+    )"""
+
+
+def _repair_sql() -> str:
+    """Row by row through the four states; a state holds its least (cost, audit) with the repaired text."""
+
+    def least(*ways: str) -> str:
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+    def step(way: str, cost: str, letter: str, line: str = "''", when: str = "true") -> str:
+        return f"CASE WHEN {way} IS NOT NULL AND {when} THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 'r': {way}.r || {line}}} END"
+
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
+    def closed(prefix: str) -> tuple[str, str]:
+        a, b, c, d = (f"{prefix}{k}" for k in range(4))
+        to_user = least(c, *[step(x, "3", "I", user) for x in (a, b, d)])
+        to_assistant = least(d, step(c, "3", "I", assistant), *[step(x, "6", "II", f"{user} || {assistant}") for x in (a, b)])
+        return to_user, to_assistant
+
+    def moved(ways: tuple[str, ...], initial: str, role: str) -> list[str]:
+        keep = [step(w, "open", "K", "chr(10) || role || ':' || text", f"NOT gone AND initial = '{initial}'") for w in ways]
+        return keep + [step(w, "3 + open", "R", f"chr(10) || '{role}:' || text", "NOT gone") for w in ways if role]
+
+    to_user, to_assistant = closed("s")
+    after = [
+        step("t0", "4", "D"),
+        least(step("t1", "4", "D"), *moved(("t0",), "s", "")),
+        least(step("t2", "4", "D"), *moved(("t0", "t1", "t3"), "u", "user")),
+        least(step("t3", "4", "D"), *moved(("t2",), "a", "assistant")),
+    ]
+    last = closed("s")[1]
+    return rf"""
+    WITH RECURSIVE {_CRC_TABLE},
+    plain AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+        FROM conversations, crc_table
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM plain WHERE kind <> 0
+    ), placed AS (
+        SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS pos
+        FROM damaged
+    ), judged AS (
+        SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+               NOT regexp_matches(text, '[.!?][ 	-]*\z') AS cut,
+               coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+        FROM placed
+    ), rows AS (
+        SELECT *, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS open FROM judged
+    ), totals AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+               count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT gone) AS truncated,
+               count(*) FILTER (illegal) AS illegal, max(pos) AS n
+        FROM rows GROUP BY conv_id
+    ), walk(conv_id, pos, s0, s1, s2, s3) AS (
+        SELECT conv_id, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'a': '', 'r': ''}},
+               CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR)), CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR)),
+               CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR))
+        FROM totals
+        UNION ALL
+        SELECT conv_id, pos, {", ".join(after)}
+        FROM (
+            SELECT rows.*, s0 AS t0, s1 AS t1, {to_user} AS t2, {to_assistant} AS t3
+            FROM walk JOIN rows ON rows.conv_id IS NOT DISTINCT FROM walk.conv_id AND rows.pos = walk.pos + 1
+        )
+    ), ended AS (
+        SELECT walk.conv_id, gaps, blank, duplicate, truncated, illegal, {least("s0", last)} AS best
+        FROM walk JOIN totals ON totals.conv_id IS NOT DISTINCT FROM walk.conv_id AND walk.pos = totals.n
+    )
+    SELECT all_ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+           coalesce(best.a, '') AS audit, sha256(coalesce(best.r[2:], '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) all_ids
+    LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM all_ids.conv_id
+    """
+
+
+@query("op12_structure_repair", _repair_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    logs = read(spark, folder, "conversations")
+    return repair_conversations(damage(logs), ids=logs)
