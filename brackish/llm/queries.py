@@ -12,6 +12,7 @@ from brackish.llm.chat import CLOSE, OPEN, render_conversations
 from brackish.llm.decontaminate import find_contamination
 from brackish.llm.exact_dedup import duplicate_groups
 from brackish.llm.filter_audit import audit_filters
+from brackish.llm.hidden_markov import score_texts
 from brackish.llm.license_scan import BASE, TEMPLATES, scan_licenses, template_regex
 from brackish.llm.line_dedup import drop_common_lines
 from brackish.llm.near_dedup import near_duplicate_groups
@@ -356,9 +357,11 @@ def _repair_sql() -> str:
                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS pos
         FROM damaged
     ), judged AS (
-        SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+        SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
                row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
-               NOT regexp_matches(text, '[.!?][ 	-]*\z') AS cut,
+               NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS cut,
                coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
         FROM placed
     ), rows AS (
@@ -395,3 +398,8 @@ def _repair_sql() -> str:
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     logs = read(spark, folder, "conversations")
     return repair_conversations(damage(logs), ids=logs)
+
+
+@query("op13_lm_scoring")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(read(spark, folder, "documents"))
