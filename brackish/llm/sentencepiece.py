@@ -28,7 +28,6 @@ import hashlib
 import heapq
 from collections.abc import Iterator, Sequence
 from functools import partial
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +36,10 @@ from pyspark.sql import functions as F
 
 from brackish.llm.text import documents, rows
 
-#: Segmentations of a text, and chunks in a worker's cache.
+#: Segmentations of a text, and chunks and characters in a worker's cache.
 BEST = 4
 CACHE = 400_000
+CACHE_CHARACTERS = 8 << 20
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
 
@@ -178,7 +178,12 @@ class Model:
         return out, total, total - second
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a chunk, by A-star from its end."""
+        """The n best segmentations of a chunk, by A-star from its end.
+
+        Of equally promising ways the newest goes on, so one of many equal ways is followed to its
+        end, and no place is left more than n times: the heuristic is exact, so what leaves a place
+        later is no better than n ways that left it before.
+        """
         into: list[list[tuple[int, float, int]]] = [[] for _ in range(len(chunk) + 1)]
         forward = [0.0] + [-np.inf] * len(chunk)
         for start in range(len(chunk)):
@@ -194,8 +199,12 @@ class Model:
             forward[stop] = max(forward[start] + score for start, score, _ in into[stop])
         heap = [(-forward[-1], 0, len(chunk), 0.0, None)]
         order, out = 0, []
+        left = [n] * (len(chunk) + 1)
         while heap and len(out) < n:
             _, _, at, behind, tail = heapq.heappop(heap)
+            if not left[at]:
+                continue
+            left[at] -= 1
             if at == 0:
                 ids: list[int] = []
                 while tail is not None:
@@ -204,7 +213,7 @@ class Model:
                 out.append((behind, ids))
                 continue
             for start, score, piece in into[at]:
-                order += 1
+                order -= 1
                 total = behind + score
                 heapq.heappush(heap, (-(total + forward[start]), order, start, total, ((start, piece), tail)))
         return out
@@ -213,8 +222,28 @@ class Model:
         return b"".join(map(self.raw.__getitem__, ids)).removeprefix(b" ")
 
 
+def cheapest_ways(options: Sequence[Sequence[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n cheapest ways to take one entry of each ascending list: (sum, places).
+
+    A way is reached from the one with its last non-zero place stepped back, so each is met once
+    and at most n * len(options) sums are made.
+    """
+    start = (0,) * len(options)
+    heap = [(sum(o[0] for o in options), start)]
+    out = []
+    while heap and len(out) < n:
+        cost, way = heapq.heappop(heap)
+        out.append((cost, way))
+        last = max((k for k, i in enumerate(way) if i), default=0)
+        for k in range(last, len(way)):
+            if way[k] + 1 < len(options[k]):
+                further = (*way[:k], way[k] + 1, *way[k + 1 :])
+                heapq.heappush(heap, (sum(o[i] for o, i in zip(options, further)), further))
+    return out
+
+
 class Encoder:
-    """A worker's cache of chunks over a model."""
+    """A worker's cache of chunks over a model, bounded in chunks and in characters."""
 
     def __init__(self, model: Model, best: int = BEST, cache: int = CACHE):
         self.model, self.n, self.most = model, best, cache
@@ -223,6 +252,7 @@ class Encoder:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.chunk: list[str] = []
+        self.characters = 0
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -272,11 +302,14 @@ class Encoder:
         edges = begin.tolist() + [len(codes)]
         chunks = [whole[a:b] for a, b in zip(edges, edges[1:])]
         fresh = {c for c in chunks if c not in self.index}
-        if len(self.index) + len(fresh) > self.most:
+        size = sum(map(len, fresh))
+        if len(self.index) + len(fresh) > self.most or self.characters + size > CACHE_CHARACTERS:
             self.clear()
             fresh = set(chunks)
+            size = sum(map(len, fresh))
         if fresh:
             self.add(sorted(fresh))
+            self.characters += size
         index = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
         parts = np.searchsorted(begin, bounds)
         for a, b in zip(parts[:-1].tolist(), parts[1:].tolist()):
@@ -292,9 +325,8 @@ class Encoder:
         near = np.sort(np.argsort(loss, kind="stable")[: self.n - 1])
         near = near[np.isfinite(loss[near])]
         options = [self.alternatives(int(own[k])) for k in near]
-        ways = sorted((sum(o[i][0] for o, i in zip(options, way)), way) for way in product(*[range(len(o)) for o in options]))
         out = []
-        for lost, way in ways[: self.n]:
+        for lost, way in cheapest_ways([[lost for lost, _ in o] for o in options], self.n):
             parts, at = [], 0
             for k, o, i in zip(near, options, way):
                 if i:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import random
+import time
+from itertools import product
+
+import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from brackish.llm.sentencepiece import SPACE, Encoder, Model, decode_ids, encode_texts
+from brackish.llm.sentencepiece import SPACE, Encoder, Model, cheapest_ways, decode_ids, encode_texts
 from brackish.llm.text import read
 from brackish.llm.token_counts import Lengths, count_tokens, frequent_pretokens, pack_table, unpack_table
 
@@ -151,6 +156,28 @@ def test_round_trip(spark):
         assert Model(PIECES).decode(way).decode() == texts[6]
 
 
+@pytest.mark.parametrize("text", ["x" * 20_000, "-" * 20_001, "ab" * 9_000, "A0+/" * 5_000])
+def test_long_runs_end(model, text):
+    begin = time.perf_counter()
+    score, ids, ways = next(Encoder(model, 4).encode([text]))
+    assert len({w for _, w in ways}) == len(ways) > 1 and ways[0] == (score, ids)
+    assert all(a >= b - 1e-6 for (a, _), (b, _) in zip(ways, ways[1:]))
+    assert all(model.decode(np.frombuffer(w, np.int32).tolist()).decode() == text for _, w in ways)
+    assert time.perf_counter() - begin < 10
+
+
+def test_many_alternatives(model):
+    rng = random.Random(1)
+    for _ in range(30):
+        options = [[0.0, *sorted(rng.choice([0.0, 0.5, 1.5, rng.random()]) for _ in range(rng.randrange(4)))] for _ in range(rng.randrange(6))]
+        every = sorted(sum(o[i] for o, i in zip(options, way)) for way in product(*[range(len(o)) for o in options]))
+        found = cheapest_ways(options, 9)
+        assert [c for c, _ in found] == pytest.approx(every[:9]) and len({w for _, w in found}) == len(found)
+    begin = time.perf_counter()
+    _, _, ways = next(Encoder(model, 16).encode(["every word has some other way to be cut " * 11]))
+    assert len({w for _, w in ways}) == 16 and time.perf_counter() - begin < 1
+
+
 def test_small_cache_changes_nothing(model):
     texts = ["the cat sat", "on the mat", "the cat sat", "xyzzy plugh"]
     assert list(Encoder(model, 4, cache=2).encode(texts)) == list(Encoder(model, 4).encode(texts))
