@@ -98,7 +98,7 @@ class Chain:
         low = line.at[begin]
         emitted = self.emit[line.symbols[low : line.at[end]]]
         vectors = np.empty_like(emitted)
-        scale = np.empty(len(emitted), emitted.dtype)
+        scale, ones = np.empty(len(emitted), emitted.dtype), np.ones(len(self.first), emitted.dtype)
         for step in range(begin, end):
             here = slice(line.at[step] - low, line.at[step + 1] - low)
             now = vectors[here]
@@ -107,7 +107,7 @@ class Chain:
             else:
                 np.matmul(before[: len(now)], self.move, out=now)
                 now *= emitted[here]
-            np.sum(now, axis=1, out=scale[here])
+            np.matmul(now, ones, out=scale[here])
             now /= scale[here, None]
             before = now
         return vectors, scale, emitted
@@ -221,6 +221,7 @@ class Vocabulary:
         self.symbol_of = np.array([self.symbol.get(w, len(self.symbol) + suffix_class(w)) for w in by_count] or [0], np.uint16)
         self.logs = np.log10(np.array([known[w] for w in by_count] or [0]) + 0.5)
         self.end_count = known.get(b"", 0)
+        self.classes: dict[bytes, int] = {}  # symbol of each ending of three bytes at most
         # tokens and words of each class, without the frequent words in it
         tokens_, words_ = classes[:, 0].astype(float), classes[:, 1].astype(float)
         for w in self.symbol:
@@ -238,23 +239,22 @@ class Vocabulary:
         symbols = np.empty(len(words) + 1, np.uint16)
         symbols[:-1] = self.symbol_of[found]
         symbols[-1] = self.end
-        rest: Counter[bytes] = Counter()
-        for at in np.flatnonzero(found < 0).tolist():
-            word = words[at]
-            rest[word] += 1
-            symbols[at] = len(self.symbol) + suffix_class(word)
+        missing = np.flatnonzero(found < 0)
+        others = [words[at] for at in missing.tolist()]
+        tails = [w[-3:] for w in others]
+        for tail in {t for t in tails if t not in self.classes}:
+            self.classes[tail] = len(self.symbol) + suffix_class(tail)
+        symbols[missing] = [self.classes[t] for t in tails]
         there = found[found >= 0]
         logs = self.logs[there]
-        return symbols, len(there), float(logs.sum()), float(logs[there >= len(self.symbol)].sum()), rest
-
-
-_REST = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        return symbols, len(there), float(logs.sum()), float(logs[there >= len(self.symbol)].sum()), Counter(others)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 40
     for batch in rows(batches):
-        symbols, n, known, logs, rare, rest = [], [], [], [], [], []
+        symbols, n, known, logs, rare = [], [], [], [], []
+        found_words, times, ends = [], [], [0]
         for text in batch.column("text").to_pylist():
             own, found, total, part, others = vocabulary.encode(text)
             symbols.append(own.tobytes())
@@ -262,7 +262,9 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterat
             known.append(found + (vocabulary.end_count > 0))
             logs.append(total + float(np.log10(vocabulary.end_count + 0.5)))
             rare.append(part)
-            rest.append([{"word": w, "n": c} for w, c in others.items()])
+            found_words += others
+            times += others.values()
+            ends.append(len(found_words))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.arange(row, row + len(n)), pa.int64()),
@@ -273,7 +275,10 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterat
                 pa.array(known, pa.int64()),
                 pa.array(logs, pa.float64()),
                 pa.array(rare, pa.float64()),
-                pa.array(rest, _REST),
+                pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()),
+                    pa.StructArray.from_arrays([pa.array(found_words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]),
+                ),
             ],
             ["row", "doc_id", "held_out", "symbols", "n_tokens", "known", "logs", "rare", "rest"],
         )
