@@ -1,15 +1,13 @@
-"""Polygons, variograms and interpolated surfaces."""
+"""Polygons and grids."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brackish.operators.keys import attach, join_on
+from brackish.operators.keys import join_on
 
 Ring = Sequence[tuple[float, float]]
 
@@ -61,261 +59,3 @@ def nearest_cell(df: DataFrame, x: str, y: str, at: tuple[float, float], keys: S
     distance = F.pow(F.col(x) - at[0], 2) + F.pow(F.col(y) - at[1], 2)
     chosen = df.groupBy(*keys).agg(F.min_by(F.struct(x, y), F.struct(distance, x, y)).alias("_c")).select(*keys, "_c.*")
     return join_on(df, chosen, [*keys, x, y], "left_semi")
-
-
-def variogram(
-    df: DataFrame,
-    keys: Sequence[str],
-    x: str,
-    y: str,
-    z: str,
-    cutoff: float,
-    lags: int = 3,
-    cells_per_cutoff: int = 12,
-) -> DataFrame:
-    """Half mean squared difference by distance class, positions snapped to a lattice.
-
-    Points are first summed per lattice cell (n, sum, sum of squares). Cells meet at the
-    fixed set of lattice offsets within `cutoff`, so the work depends on the lattice and
-    not on the number of points; the sums of a pair of cells cover all their point pairs.
-    """
-    size = cutoff / cells_per_cutoff
-    cells = (
-        df.dropna(subset=[x, y, z])
-        .groupBy(*keys, F.floor(F.col(x) / size).alias("cx"), F.floor(F.col(y) / size).alias("cy"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(z).alias("s"), F.sum(F.col(z) * F.col(z)).alias("q"))
-    )
-    reach = F.sequence(F.lit(-cells_per_cutoff), F.lit(cells_per_cutoff))
-    d2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
-    ahead = (F.col("dx") > 0) | ((F.col("dx") == 0) & (F.col("dy") > 0))
-    probes = (
-        cells.select(
-            *keys, F.col("cx").alias("_x"), F.col("cy").alias("_y"),
-            *[F.col(c).alias(f"{c}1") for c in ("n", "s", "q")], F.explode(reach).alias("dx"),
-        )
-        .withColumn("dy", F.explode(reach))
-        .where(ahead & (d2 <= cells_per_cutoff * cells_per_cutoff))
-        .withColumns(
-            {"cx": F.col("_x") + F.col("dx"), "cy": F.col("_y") + F.col("dy"), "distance": F.sqrt(d2) * size}
-        )
-    )
-    met = join_on(probes, cells, [*keys, "cx", "cy"], "inner").select(
-        *keys,
-        "distance",
-        (F.col("n1") * F.col("n")).alias("pairs"),
-        (F.col("n1") * F.col("q") + F.col("n") * F.col("q1") - 2 * F.col("s1") * F.col("s")).alias("squares"),
-    )
-    same = cells.select(
-        *keys,
-        F.lit(0.0).alias("distance"),
-        (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"),
-        (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("squares"),
-    ).where(F.col("pairs") > 0)
-    lag = F.least(F.floor(F.col("distance") / (cutoff / lags)), F.lit(lags - 1)).cast("int")
-    return (
-        met.unionByName(same)
-        .groupBy(*keys, lag.alias("lag"))
-        .agg(
-            F.sum("pairs").alias("pairs"),
-            (F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs")).alias("distance"),
-            (F.sum("squares") / F.sum("pairs") / 2).alias("gamma"),
-        )
-    )
-
-
-def variogram_all_pairs(
-    df: DataFrame, keys: Sequence[str], x: str, y: str, z: str, lags: int = 3, cells_per_extent: int = 12
-) -> DataFrame:
-    """As `variogram`, over every pair of a group: the furthest class ends at the diagonal of the
-    group's own extent, found by one aggregate.
-
-    The lattice divides that diagonal. Cells carry their mean position, which the distance of two
-    cells is taken between; pairs within a cell count with their root mean square distance. A
-    distance is off by at most twice the diagonal of a cell, the pairs and squares are exact.
-    """
-    known = df.dropna(subset=[x, y, z]).select(*keys, x, y, z)
-    wide, high = F.max(x) - F.min(x), F.max(y) - F.min(y)
-    spans = known.groupBy(*keys).agg(F.min(x).alias("_x0"), F.min(y).alias("_y0"), F.hypot(wide, high).alias("_far"))
-
-    def place(at: str, start: str) -> Column:
-        # a group at one place has no extent and one cell
-        return F.coalesce(F.floor(F.try_divide((F.col(at) - F.col(start)) * cells_per_extent, F.col("_far"))), F.lit(0))
-
-    def variance(at: str) -> Column:
-        return F.coalesce(F.var_samp(at), F.lit(0.0))
-
-    cells = (
-        attach(known, spans, keys)
-        .groupBy(*keys, "_far", place(x, "_x0").alias("cx"), place(y, "_y0").alias("cy"))
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.sum(z).alias("s"), F.sum(F.col(z) * F.col(z)).alias("q"),
-            F.avg(x).alias("px"), F.avg(y).alias("py"), F.sqrt(2 * (variance(x) + variance(y))).alias("near"),
-        )
-    )
-    reach = F.sequence(F.lit(-cells_per_extent), F.lit(cells_per_extent))
-    ahead = (F.col("dx") > 0) | ((F.col("dx") == 0) & (F.col("dy") > 0))
-    carried = ("n", "s", "q", "px", "py")
-    probes = (
-        cells.select(
-            *keys, "_far", F.col("cx").alias("_x"), F.col("cy").alias("_y"),
-            *[F.col(c).alias(f"{c}1") for c in carried], F.explode(reach).alias("dx"),
-        )
-        .withColumn("dy", F.explode(reach))
-        .where(ahead)
-        .withColumns({"cx": F.col("_x") + F.col("dx"), "cy": F.col("_y") + F.col("dy")})
-    )
-    met = join_on(probes, cells.select(*keys, "cx", "cy", *carried), [*keys, "cx", "cy"], "inner").select(
-        *keys,
-        "_far",
-        F.hypot(F.col("px") - F.col("px1"), F.col("py") - F.col("py1")).alias("distance"),
-        (F.col("n1") * F.col("n")).alias("pairs"),
-        (F.col("n1") * F.col("q") + F.col("n") * F.col("q1") - 2 * F.col("s1") * F.col("s")).alias("squares"),
-    )
-    same = cells.select(
-        *keys,
-        "_far",
-        F.col("near").alias("distance"),
-        (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"),
-        (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("squares"),
-    ).where(F.col("pairs") > 0)
-    step = F.coalesce(F.floor(F.try_divide(F.col("distance") * lags, F.col("_far"))), F.lit(0))
-    return (
-        met.unionByName(same)
-        .groupBy(*keys, F.least(step, F.lit(lags - 1)).cast("int").alias("lag"))
-        .agg(
-            F.sum("pairs").alias("pairs"),
-            (F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs")).alias("distance"),
-            (F.sum("squares") / F.sum("pairs") / 2).alias("gamma"),
-        )
-    )
-
-
-def fit_spherical(lags: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Nugget, range and sill: a line through the classes, cut at the furthest one."""
-    return (
-        lags.groupBy(*keys)
-        .agg(
-            F.regr_intercept("gamma", "distance").alias("_a"),
-            F.regr_slope("gamma", "distance").alias("_b"),
-            F.max("distance").alias("range"),
-        )
-        .select(
-            *keys,
-            F.greatest(F.col("_a"), F.lit(0.0)).alias("nugget"),
-            "range",
-            (F.greatest(F.col("_a"), F.lit(0.0)) + F.col("_b") * F.col("range")).alias("sill"),
-        )
-    )
-
-
-def _spherical(d: np.ndarray, nugget: float, reach: float, sill: float) -> np.ndarray:
-    h = np.minimum(d / reach, 1.0)
-    return np.where(d > 0, nugget + (sill - nugget) * (1.5 * h - 0.5 * h**3), 0.0)
-
-
-_WEIGHTS = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("w", pa.float64())])
-
-
-def kriging_weights(
-    df: DataFrame, models: DataFrame, keys: Sequence[str], x: str, y: str, z: str, cell: float
-) -> DataFrame:
-    """Dual ordinary-kriging weights per key, with a ``status`` instead of an error.
-
-    Points are averaged per lattice cell (mean position, mean value), so the system has at
-    most as many rows as the area has cells, and samples taken at one place are one point.
-    A group that cannot be solved keeps a row saying why.
-    """
-    points = (
-        df.dropna(subset=[x, y, z])
-        .groupBy(*keys, F.floor(F.col(x) / cell).alias("_cx"), F.floor(F.col(y) / cell).alias("_cy"))
-        .agg(F.avg(x).alias("_px"), F.avg(y).alias("_py"), F.avg(z).alias("_pz"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_px", "_py", "_pz"))).alias("_points"))
-    )
-    systems = attach(points, models, keys)
-    key_list = list(keys)
-
-    def one(points: list[dict], nugget: float, reach: float, sill: float) -> tuple[str, float | None, list]:
-        if len(points) < 3:
-            return "too few points", None, []
-        if None in (nugget, reach, sill) or not (reach > 0 and sill > nugget):
-            return "no spatial structure", None, []
-        xyz = np.array([[p["_px"], p["_py"], p["_pz"]] for p in points])
-        gap = np.hypot(xyz[:, None, 0] - xyz[None, :, 0], xyz[:, None, 1] - xyz[None, :, 1])
-        n = len(xyz)
-        system = np.ones((n + 1, n + 1))
-        system[:n, :n] = _spherical(gap, nugget, reach, sill)
-        system[n, n] = 0.0
-        try:
-            solved = np.linalg.solve(system, np.append(xyz[:, 2], 0.0))
-        except np.linalg.LinAlgError:
-            return "singular system", None, []
-        points_out = [{"x": a, "y": b, "w": w} for (a, b, _), w in zip(xyz.tolist(), solved[:n].tolist())]
-        return "ok", float(solved[n]), points_out
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("_points", "nugget", "range", "sill"))
-            status, mean, weights = zip(*[one(*r) for r in zip(*columns)]) if batch.num_rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in (*key_list, "nugget", "range", "sill")],
-                    pa.array(status, pa.string()),
-                    pa.array(mean, pa.float64()),
-                    pa.array(weights, pa.list_(_WEIGHTS)),
-                ],
-                names=[*key_list, "nugget", "range", "sill", "status", "mean", "weights"],
-            )
-
-    ddl = ", ".join(
-        [f"`{k}` {systems.schema[k].dataType.simpleString()}" for k in key_list]
-        + ["nugget double, range double, sill double, status string, mean double"]
-        + ["weights array<struct<x:double,y:double,w:double>>"]
-    )
-    return systems.mapInArrow(solve, ddl)
-
-
-def kriging_surface(weights: DataFrame, keys: Sequence[str], ring: Ring, pixels: int) -> DataFrame:
-    """Predictions on the grid clipped to the polygon, for every key whose ``status`` is ok.
-
-    Work is cut into scan lines per key and spread over tasks before it is expanded to
-    pixels.
-    """
-    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-    x0, y0, dx, dy = min(xs), min(ys), (max(xs) - min(xs)) / pixels, (max(ys) - min(ys)) / pixels
-    lines = (
-        weights.where(F.col("status") == "ok")
-        .withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(pixels - 1))))
-        .repartition(*keys, "iy")
-    )
-    key_list = list(keys)
-
-    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gx = x0 + (np.arange(pixels) + 0.5) * dx
-        for batch in batches:
-            names = ("iy", "nugget", "range", "sill", "mean", "weights")
-            for r, (iy, nugget, reach, sill, mean, points) in enumerate(
-                zip(*(batch.column(c).to_pylist() for c in names))
-            ):
-                p = np.array([[q["x"], q["y"], q["w"]] for q in points])
-                y = y0 + (iy + 0.5) * dy
-                gap = np.hypot(gx[:, None] - p[None, :, 0], y - p[None, :, 1])
-                value = mean + _spherical(gap, nugget, reach, sill) @ p[:, 2]
-                index = pa.array(np.full(pixels, r))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(k).take(index) for k in key_list],
-                        pa.array(np.arange(pixels, dtype=np.int32)),
-                        pa.array(np.full(pixels, iy, dtype=np.int32)),
-                        pa.array(gx),
-                        pa.array(np.full(pixels, y)),
-                        pa.array(value),
-                    ],
-                    names=[*key_list, "ix", "iy", "x", "y", "prediction"],
-                )
-
-    ddl = ", ".join(
-        [f"`{k}` {weights.schema[k].dataType.simpleString()}" for k in key_list]
-        + ["ix int, iy int, x double, y double, prediction double"]
-    )
-    return lines.mapInArrow(evaluate, ddl).where(inside_polygon(F.col("x"), F.col("y"), ring_column(ring)))

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from brackish.operators import draws, joins, ordered, regression, reshape, scaling, spatial
+from brackish.operators import draws, joins, kriging, ordered, regression, reshape, scaling, spatial, variograms
 from brackish.operators.density import density_curve
 from brackish.operators.draws import shortest_interval
 from brackish.operators.keys import join_on
@@ -259,20 +259,50 @@ def test_point_in_polygon(spark):
     assert got == [True, False, True, False]
 
 
-def test_kriging_is_exact_at_points_and_reports_failures(spark):
-    rng = np.random.default_rng(12)
-    pts = [("a", float(x), float(y), float(x + y)) for x, y in rng.uniform(0, 10, (25, 2))] + [("b", 1.0, 1.0, 1.0)]
+def field(spark, n=25, seed=12):
+    rng = np.random.default_rng(seed)
+    pts = [("a", float(x), float(y), float(np.sin(x) + y)) for x, y in rng.uniform(0, 10, (n, 2))]
+    pts += [("b", 1.0, 1.0, 1.0), ("c", None, 1.0, 1.0), ("d", 1.0, 1.0, 1.0), ("d", 2.0, 1.0, 1.0), ("d", 3.0, 1.0, 1.0)]
     df = spark.createDataFrame(pts, "k string, x double, y double, z double")
-    models = spark.createDataFrame([("a", 0.0, 8.0, 10.0), ("b", 0.0, 8.0, 10.0)], "k string, nugget double, range double, sill double")
-    weights = spatial.kriging_weights(df, models, ["k"], "x", "y", "z", cell=0.01)
-    status = {r["k"]: r for r in weights.collect()}
-    assert status["a"]["status"] == "ok" and status["b"]["status"] == "too few points"
-    p = np.array([[w["x"], w["y"], w["w"]] for w in status["a"]["weights"]])
-    _, x0, y0, z0 = pts[3]
-    d = np.hypot(p[:, 0] - x0, p[:, 1] - y0)
-    assert status["a"]["mean"] + spatial._spherical(d, 0.0, 8.0, 10.0) @ p[:, 2] == pytest.approx(z0)
-    surface = spatial.kriging_surface(weights, ["k"], [(0, 0), (10, 0), (10, 10), (0, 10)], pixels=20)
-    assert surface.count() == 400
+    models = spark.createDataFrame([(k, 0.0, 4.0, 10.0) for k in "ab"], "k string, nugget double, range double, sill double")
+    return pts, df, models
+
+
+def test_kriging_is_exact_at_points_and_reports_failures(spark):
+    pts, df, models = field(spark)
+    mapped = kriging.krige(df, models, ["k"], "x", "y", "z", cell=0.01, tile=2000)
+    status = {r["k"]: r["status"] for r in mapped.groups.collect()}
+    assert status == {"a": "ok", "b": "too few points", "d": "no spatial structure"}
+    got = sorted(r["prediction"] for r in mapped.at_cells().collect())
+    assert got == pytest.approx(sorted(p[3] for p in pts if p[0] == "a"))
+    assert mapped.surface([(0, 0), (10, 0), (10, 10), (0, 10)], pixels=20).count() == 400
+    total = mapped.systems.select(F.aggregate("weights", F.lit(0.0), lambda s, w: s + w["w"])).collect()
+    assert max(abs(r[0]) for r in total) < 1e-9
+
+
+def test_tiles_agree_with_one_solve(spark):
+    """The halo is the variogram's range, so 4 x 4 tiles differ from one system by under 2% of the
+    values' spread; no tile holds the group."""
+    _, df, models = field(spark, 600)
+    ring = [(0, 0), (10, 0), (10, 10), (0, 10)]
+    one = kriging.krige(df, models, ["k"], "x", "y", "z", cell=0.25, tile=40, halo=40)
+    tiled = kriging.krige(df, models, ["k"], "x", "y", "z", cell=0.25, tile=10, halo=16)
+    assert one.systems.where("tx = 0 AND ty = 0").count() == 1
+    sizes = [r[0] for r in tiled.systems.where("tx BETWEEN 0 AND 3 AND ty BETWEEN 0 AND 3").select(F.size("weights")).collect()]
+    points = tiled.groups.where("k = 'a'").first()["points"]
+    assert len(sizes) == 16 and max(sizes) < points
+    a, b = ({(r.ix, r.iy): r.prediction for r in m.surface(ring, 40).collect()} for m in (one, tiled))
+    assert a.keys() == b.keys() and len(a) == 1600
+    apart = np.array([a[k] - b[k] for k in a])
+    assert np.abs(apart).max() < 0.02 * np.ptp(list(a.values()))
+
+
+def test_tile_without_points_is_level(spark):
+    _, df, models = field(spark, 40)
+    mapped = kriging.krige(df, models, ["k"], "x", "y", "z", cell=1.0, tile=2, halo=1)
+    far = mapped.surface([(50, 50), (52, 50), (52, 52), (50, 52)], 2).collect()
+    level = mapped.groups.where("k = 'a'").first()["level"]
+    assert [r.prediction for r in far] == pytest.approx([level] * 4)
 
 
 def test_quantiles_of_a_value_that_most_rows_share(spark):
@@ -314,23 +344,44 @@ def test_density_counts_rows_outside_its_window(spark):
     assert (min(r["x"] for r in whole), max(r["x"] for r in whole)) == (0.0, 50.0)
 
 
-def test_variogram_counts_every_pair_at_its_distance(spark):
+@pytest.mark.parametrize(("exact", "depth"), [(1 << 16, 5), (4, 5), (0, 3)])
+def test_variogram_counts_every_pair_at_its_distance(spark, monkeypatch, exact, depth):
+    monkeypatch.setattr(variograms, "EXACT_PAIRS", exact)
     rng = np.random.default_rng(8)
     at = rng.random((120, 2)) * [40.0, 9.0]
-    rows = [("a", float(x), float(y), float(x / 9 + rng.random())) for x, y in at]
+    rows = [("a", float(x), float(y), float(1e6 + x / 9 + rng.random())) for x, y in at]
     rows += [("a", None, 1.0, 1.0), ("b", 2.0, 2.0, 1.0), ("b", 2.0, 2.0, 4.0), ("c", 1.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "k string, x double, y double, z double")
-    got = {(r.k, r.lag): r for r in spatial.variogram_all_pairs(df, ["k"], "x", "y", "z", cells_per_extent=60).collect()}
+    got = {(r.k, r.lag): r for r in variograms.variogram(df, ["k"], "x", "y", "z", depth=depth).collect()}
     z = np.array([r[3] for r in rows[:120]])
     i, j = np.triu_indices(120, 1)
     distance, squares = np.hypot(*(at[i] - at[j]).T), (z[i] - z[j]) ** 2
     far = np.hypot(*np.ptp(at, axis=0))
     assert sum(r.pairs for (k, _), r in got.items() if k == "a") == len(i)
-    assert np.isclose(sum(r.pairs * r.gamma for (k, _), r in got.items() if k == "a"), squares.sum() / 2)
-    tolerance = 2 * np.sqrt(2) * far / 60
-    for lag in range(3):
-        near = distance[np.minimum(distance * 3 // far, 2) == lag]
-        assert abs(got["a", lag].distance - near.mean()) < tolerance
-        assert abs(got["a", lag].pairs - len(near)) < 0.05 * len(i)
+    if exact:
+        for lag in range(3):
+            near = np.minimum(distance * 3 // far, 2) == lag
+            assert got["a", lag].pairs == near.sum()
+            assert got["a", lag].distance == pytest.approx(np.sqrt((distance[near] ** 2).mean()))
+            assert got["a", lag].gamma == pytest.approx(squares[near].mean() / 2, rel=1e-6)
+    else:  # the last lattice's cells that straddle a limit go by their means
+        limit = np.abs(distance[:, None] - far * np.array([1, 2]) / 3).min(1)
+        doubtful = (limit < 2 * far / 2 ** (2 * depth + 1)).sum()
+        for lag in range(3):
+            assert abs(got["a", lag].pairs - (np.minimum(distance * 3 // far, 2) == lag).sum()) <= doubtful
     assert (got["b", 0].pairs, got["b", 0].distance, got["b", 0].gamma) == (1, 0.0, 4.5)
     assert not [k for k in got if k[0] == "c"]
+    whole = variograms.variogram(df.where("k = 'a'"), [], "x", "y", "z").collect()
+    assert sum(r.pairs for r in whole) == len(i)
+
+
+def test_spherical_fit_finds_the_model(spark):
+    model = (0.5, 6.0, 2.5)
+    at = np.array([0.5, 1.5, 2.5, 4.0, 5.5, 7.0, 8.0])
+    rows = [("a", float(d), 10, float(kriging.spherical(np.array([d]), *model)[0])) for d in at]
+    rows += [("flat", float(d), 10, 1.0) for d in at] + [("falls", float(d), 10, float(9 - d)) for d in at] + [("one", 2.0, 5, 1.0)]
+    lags = spark.createDataFrame(rows, "k string, distance double, pairs long, gamma double")
+    got = {r.k: r for r in variograms.fit_spherical(lags, ["k"]).collect()}
+    assert (got["a"].nugget, got["a"].range, got["a"].sill) == pytest.approx(model, rel=0.03)
+    assert got["flat"].sill == pytest.approx(got["flat"].nugget) and got["falls"].sill < got["falls"].nugget
+    assert "one" not in got

@@ -18,7 +18,7 @@ CHECKED = (
     "a1_hourly_mean", "a18_box_statistics", "e1_hourly_regression", "e3_slopes_per_tag", "f18_carbonate_system",
     "g3_factor_interaction", "g5_sequential_anova", "g17_shortest_interval", "g21_density_share", "j1_natural_left_chain",
     "j2_align_outer", "j6_nearest_in_tolerance", "r5_day_hour_matrix", "s7_messy_headers", "t1_tumbling_mean",
-    "w2_centred_rolling_mean", "w8_regular_grid", "x2_variogram",
+    "w2_centred_rolling_mean", "w8_regular_grid", "x2_variogram", "x3_values_at_points", "x4_group_status",
     "f18_carbonate_nutrients", "g2_regression_per_group", "g8_log_link_optimum", "g10_correlation_flags",
     "g16_path_model_optimum", "g21_density_curve", "j2_natural_full_chain", "s1_delimited_table", "s2_logger_folder",
     "t2_sliding_mean",
@@ -53,8 +53,9 @@ def test_entry(spark):
 
 
 def test_surface_has_three_parameters_at_500_pixels(spark):
-    tables = Tables(spark, "/root/testdata/sf0.01")
-    groups = {(r.season, r.parameter) for r in mapping._weights(tables).select("season", "parameter").collect()}
-    assert groups == {(season, parameter) for season in (0, 1) for parameter in ("z1", "z2", "z3")}
+    mapped = mapping._mapped(Tables(spark, "/root/testdata/sf0.01"))
+    groups = {(r.season, r.parameter): r.status for r in mapped.groups.collect()}
+    assert set(groups) == {(season, parameter) for season in (0, 1) for parameter in ("free", "sloped", "domed")}
+    assert all(groups[season, "sloped"] == "ok" for season in (0, 1))
     surface = entry.queries()["x3_kriging_surface"](spark, "/root/testdata/sf0.01")
     assert 400 < surface.agg(F.max("ix")).first()[0] < 500
