@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -96,9 +94,9 @@ def loadings(
 def scores(df: DataFrame, model: DataFrame, keys: Sequence[str], columns: Sequence[str], components: int = 2) -> DataFrame:
     """Component scores on every complete row, beside the row's own columns."""
     full = attach(df.dropna(subset=list(columns)), model.select(*keys, "center", "scale", "rotation"), keys)
-    z = [(F.col(c) - F.col("center")[i]) / F.col("scale")[i] for i, c in enumerate(columns)]
-    named = {
-        f"PC{k + 1}": reduce(add, [z[i] * F.col("rotation")[k][i] for i in range(len(columns))])
-        for k in range(components)
-    }
-    return full.withColumns(named).drop("center", "scale", "rotation")
+    away = F.transform(F.array(*[F.col(c).cast("double") for c in columns]), lambda v, i: (v - F.col("center")[i]) / F.col("scale")[i])
+    named = {}
+    for k in range(components):
+        shares = F.zip_with("_away", F.col("rotation")[k], lambda v, r: v * r)
+        named[f"PC{k + 1}"] = F.aggregate(shares, F.lit(0.0), lambda total, v: total + v)
+    return full.withColumn("_away", away).withColumns(named).drop("center", "scale", "rotation", "_away")

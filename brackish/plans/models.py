@@ -11,6 +11,7 @@ from brackish.functions.nulls import null_if
 from brackish.functions.seawater import electrode_ph
 from brackish.operators.density import density_curve, density_surface, rule_of_thumb_bandwidth, share_of_total
 from brackish.operators.draws import effect_curve, expected_band, residual_summary, shortest_interval
+from brackish.operators.effects import effect_curves
 from brackish.operators.keys import attach
 from brackish.operators.pca import fit_pca, loadings, percent_explained, scores
 from brackish.operators.project import across
@@ -31,7 +32,7 @@ from brackish.operators.regression import (
     shared_slope,
     term_columns,
 )
-from brackish.operators.scaling import scale_stats, standardise
+from brackish.operators.scaling import scale_stats, standardise, unstandardise
 from brackish.plans.catalog import Tables, query
 from brackish.plans.scalars import KEY, SAMPLE_SQL, metabolism, samples
 from brackish.session import settle
@@ -435,19 +436,58 @@ def g14_pca_scores(t: Tables) -> DataFrame:
     return out.select(*KEY, F.round(F.abs("PC1"), 6).alias("pc1"), F.round(F.abs("PC2"), 6).alias("pc2"))
 
 
+DIMENSIONS = [f"x{i}" for i in range(64)]
+
+
+def _dimensions(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(DIMENSIONS)])
+
+
 @query("g14_pca_embeddings")
 def g14_pca_embeddings(t: Tables) -> DataFrame:
-    names = [f"x{i}" for i in range(8)]
-    rows = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    return scores(rows, fit_pca(rows, [], names), [], names).select("vec_id", "PC1", "PC2")
+    rows = settle(_dimensions(t), "dimensions")
+    return scores(rows, fit_pca(rows, [], DIMENSIONS), [], DIMENSIONS).select("vec_id", "PC1", "PC2")
+
+
+@query(
+    "g14_pca_correlations",
+    """
+    WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings),
+    d AS (SELECT vec_id, i, CAST(v AS DOUBLE) AS v FROM e)
+    SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(corr(a.v, b.v), 8) AS r
+    FROM d a JOIN d b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2
+    """,
+)
+def g14_pca_correlations(t: Tables) -> DataFrame:
+    """The correlations of all dimensions, put together again from all components."""
+    at = F.sequence(F.lit(0), F.lit(len(DIMENSIONS) - 1))
+    parts = F.transform("sdev", lambda s, k: s * s * F.col("rotation")[k][F.col("i")] * F.col("rotation")[k][F.col("j")])
+    pairs = fit_pca(_dimensions(t), [], DIMENSIONS).withColumn("i", F.explode(at)).withColumn("j", F.explode(at)).where("i < j")
+    return pairs.select("i", "j", F.round(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b), 8).alias("r"))
+
+
+LOADING_GROUPS = {"l_quantity": "Amount", "l_extendedprice": "Amount", "l_discount": "Rate", "l_tax": "Rate"}
+LOADING_NAMES = {"l_quantity": "Quantity", "l_extendedprice": "Price", "l_discount": "Discount"}
 
 
 @query("g15_labelled_loadings")
 def g15_labelled_loadings(t: Tables) -> DataFrame:
     model = fit_pca(t.lineitem, ["l_returnflag", "l_linestatus"], PCA_COLUMNS)
-    groups = {"l_quantity": "Amount", "l_extendedprice": "Amount", "l_discount": "Rate", "l_tax": "Rate"}
-    nice = {"l_quantity": "Quantity", "l_extendedprice": "Price", "l_discount": "Discount"}
-    return loadings(model, ["l_returnflag", "l_linestatus"], PCA_COLUMNS, 2, groups, nice)
+    return loadings(model, ["l_returnflag", "l_linestatus"], PCA_COLUMNS, 2, LOADING_GROUPS, LOADING_NAMES)
+
+
+@query(
+    "g15_pair_loadings",
+    """
+    WITH r AS (SELECT l_returnflag, sign(corr(l_quantity, l_extendedprice)) AS d FROM lineitem GROUP BY 1)
+    SELECT l_returnflag, 'l_quantity' AS label, 'Amount' AS label_group, 'Quantity' AS nice_name,
+           round(sqrt(0.5), 8) AS PC1, round(sqrt(0.5), 8) AS PC2 FROM r
+    UNION ALL SELECT l_returnflag, 'l_extendedprice', 'Amount', 'Price', round(d * sqrt(0.5), 8), round(-d * sqrt(0.5), 8) FROM r
+    """,
+)
+def g15_pair_loadings(t: Tables) -> DataFrame:
+    model = fit_pca(t.lineitem, ["l_returnflag"], PAIR)
+    return _round(loadings(model, ["l_returnflag"], PAIR, 2, LOADING_GROUPS, LOADING_NAMES), 8, "PC1", "PC2")
 
 
 PATH_MODELS = (
@@ -586,6 +626,48 @@ def g18_effect_curve(t: Tables) -> DataFrame:
     return _round(curve, 6, "x", "y")
 
 
+@query(
+    "g18_effect_curve_interaction",
+    """
+    WITH r AS (SELECT l_returnflag AS f, l_quantity AS x, l_discount AS s, l_quantity * l_discount AS i, l_extendedprice AS y FROM lineitem),
+    m AS (
+        SELECT f, count(*) AS n, avg(x) AS mx, avg(s) AS ms, avg(i) AS mi, avg(y) AS my, stddev_samp(s) AS sd, min(x) AS low, max(x) AS high,
+               regr_slope(s, x) AS b21, regr_slope(i, x) AS b31
+        FROM r GROUP BY f
+    ), q AS (SELECT r.*, x - mx AS q1, s - ms - b21 * (x - mx) AS q2, i - mi - b31 * (x - mx) AS rest, y - my AS cy FROM r JOIN m USING (f)),
+    c AS (SELECT f, sum(rest * q2) / sum(q2 * q2) AS b32 FROM q GROUP BY f),
+    o AS (SELECT f, q1, q2, rest - b32 * q2 AS q3, cy FROM q JOIN c USING (f)),
+    g AS (
+        SELECT f, sum(q1 * q1) AS s1, sum(q2 * q2) AS s2, sum(q3 * q3) AS s3, sum(q1 * cy) / sum(q1 * q1) AS g1,
+               sum(q2 * cy) / sum(q2 * q2) AS g2, sum(q3 * cy) / sum(q3 * q3) AS g3, sum(cy * cy) AS syy
+        FROM o GROUP BY f
+    ), grid AS (
+        SELECT m.*, c.b32, g.* EXCLUDE (f), slice, CAST(p AS INTEGER) AS point, low + (high - low) * p / 199 AS place, ms + k * sd AS held
+        FROM m JOIN c USING (f) JOIN g USING (f), range(200) points(p), (VALUES ('mean-sd', -1), ('mean', 0), ('mean+sd', 1)) slices(slice, k)
+    ), based AS (SELECT *, place - mx AS a1, held - ms - b21 * (place - mx) AS a2 FROM grid),
+    placed AS (SELECT *, place * held - mi - b31 * a1 - b32 * a2 AS a3 FROM based),
+    told AS (
+        SELECT *, my + g1 * a1 + g2 * a2 + g3 * a3 AS estimate,
+               sqrt((syy - g1 * g1 * s1 - g2 * g2 * s2 - g3 * g3 * s3) / (n - 4) * (1.0 / n + a1 * a1 / s1 + a2 * a2 / s2 + a3 * a3 / s3)) AS se
+        FROM placed
+    )
+    SELECT f AS l_returnflag, slice, point, round(place, 6) AS x, round(estimate, 4) AS estimate,
+           round(estimate - 1.959963984540054 * se, 4) AS lower, round(estimate + 1.959963984540054 * se, 4) AS upper
+    FROM told
+    """,
+)
+def g18_effect_curve_interaction(t: Tables) -> DataFrame:
+    """Fitted on scaled variables; the curves are in original units again."""
+    keys, model = ["l_returnflag"], Model.crossed("y", "x", "s")
+    raw = {"x": "l_quantity", "s": "l_discount", "y": "l_extendedprice"}
+    rows = t.lineitem.select(*keys, *[F.col(c).alias(n) for n, c in raw.items()])
+    stats = settle(scale_stats(rows, list(raw)), "scales")
+    scaled = standardise(rows, list(raw), suffix="", stats=stats)
+    curves = effect_curves(scaled, fit_models(scaled, keys, [model]), keys, model, "x", by="s")
+    back = unstandardise(curves, {"x": "x", "estimate": "y", "lower": "y", "upper": "y"}, stats, suffix="")
+    return _round(_round(back, 6, "x"), 4, "estimate", "lower", "upper").select(*keys, "slice", "point", "x", "estimate", "lower", "upper")
+
+
 @query(
     "g19_residuals_over_draws",
     """

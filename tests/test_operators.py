@@ -334,6 +334,30 @@ def test_moments_of_groups_far_apart(spark):
     assert [r["estimate"] for r in slopes] == pytest.approx([2.0, 2.0], abs=0.05)
 
 
+@pytest.mark.parametrize("held", [4096, 3])
+def test_moments_by_any_key(spark, monkeypatch, held):
+    from brackish.operators import moments
+
+    monkeypatch.setattr(moments, "HELD", held)
+    rng = np.random.default_rng(3)
+    keys = [None, "a", "b", "c", "d", "e", "f"]
+    rows = [(keys[k], float("nan") if k % 3 else 0.5, *map(float, rng.normal(size=5)), float(rng.random())) for k in rng.integers(0, 7, 600)]
+    rows += [("a", 0.5, None, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double, a double, b double, c double, d double, e double, w double").repartition(5)
+    table = pd.DataFrame(rows[:-1], columns=["k", "v", *"abcde", "w"])
+    for weight in (None, "w"):
+        for by in (["k", "v"], []):
+            got = {tuple(repr(r[c]) for c in by): r for r in cross_moments(df, by, list("abcde"), weight, [(0, 3), (2, 2)]).collect()}
+            groups = {tuple(repr(v) for v in (None if isinstance(k[0], float) else k[0], float(k[1]))): part for k, part in table.groupby(["k", "v"], dropna=False)} if by else {(): table}
+            assert got.keys() == groups.keys()
+            for key, part in groups.items():
+                cov = np.cov(part[list("abcde")].T, ddof=0, aweights=part.w if weight else None)
+                assert got[key]["cov"] == pytest.approx([cov[0, 3], cov[2, 2]])
+                assert got[key]["n"] == len(part) and got[key]["total"] == pytest.approx(part.w.sum() if weight else len(part))
+                assert got[key]["mean"] == pytest.approx(np.average(part[list("abcde")], axis=0, weights=part.w if weight else None))
+    assert cross_moments(df.where("k = 'none'"), ["k"], ["a"]).count() == 0
+
+
 def test_density_counts_rows_outside_its_window(spark):
     df = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 50)], "x double")
     inside = density_curve(df, [], "x", 1.0, 0.0, 2.0, 3).orderBy("point").collect()
