@@ -148,9 +148,11 @@ class Scanner:
         line = b" " + b" ".join(split) + b" "
         starts, labels = [], set()
         for phrase, label in self.base:
-            at = line.find(phrase)
+            at, word, told = line.find(phrase), 0, 0
             while at >= 0:
-                starts.append(line.count(b" ", 0, at))
+                word += line.count(b" ", told, at)  # each stretch of the text is counted once
+                told = at
+                starts.append(word)
                 labels.add(label)
                 at = line.find(phrase, at + 1)
         accepted = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from brackish.llm import warc
 from brackish.llm.chat import render_conversations
 from brackish.llm.decontaminate import SuffixAutomaton, cut_spans, drop_contaminated, find_contamination
-from brackish.llm.license_scan import TEMPLATES, Scanner, compile_template, scan_licenses, template_regex
+from brackish.llm.license_scan import BASE, TEMPLATES, Scanner, compile_template, scan_licenses, template_regex
 from brackish.llm.quality import Features, fit_labellers, fit_scorer, keep_good, score_quality, votes
 from brackish.llm.text import read
 from tests.llm import naive
@@ -25,6 +26,16 @@ def frame(spark, docs, more="n_words long, row string, spans int"):
     return spark.createDataFrame([(i, t, 5, "r", 3) for i, t in docs], f"doc_id long, text string, {more}")
 
 
+def test_many_base_places_in_linear_time():
+    scanner = Scanner(BASE, {})
+    text = b"x cc by all rights reserved " * 40_000
+    begin = time.perf_counter()
+    n, starts, labels, _ = scanner.scan(text)
+    assert time.perf_counter() - begin < 1
+    assert n == 240_000 and labels == {"cc-by", "reserved"}
+    assert sorted(starts) == [k for at in range(0, 240_000, 6) for k in (at + 1, at + 3)]
+
+
 # decontamination
 
 
