@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from brackish.operators import draws, joins, kriging, ordered, regression, reshape, scaling, spatial, variograms
 from brackish.operators.density import density_curve
 from brackish.operators.draws import shortest_interval
+from brackish.operators.effects import effect_curves
 from brackish.operators.keys import join_on
 from brackish.operators.moments import cross_moments
 from brackish.operators.pca import fit_pca, percent_explained, scores
@@ -358,6 +359,32 @@ def test_moments_by_any_key(spark, monkeypatch, held):
     assert cross_moments(df.where("k = 'none'"), ["k"], ["a"]).count() == 0
 
 
+def test_effect_curves_by_factor_and_at_means(spark):
+    rng = np.random.default_rng(9)
+    table = pd.DataFrame({"k": "a", "x": rng.uniform(0, 5, 80), "m": rng.normal(2, 1, 80), "f": rng.choice(["lo", "up"], 80)})
+    table["y"] = 1 + 2 * table.x + table.m - 3 * (table.f == "up") * table.x + rng.normal(0, 0.3, 80)
+    rows = [tuple(r) for r in table.itertuples(index=False)] + [("a", 99.0, None, "lo", 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, m double, f string, y double")
+    model, factors = Model("y", ("x", "m", "f", "x:f")), {"f": ["lo", "up"]}
+    fitted = regression.fit_models(df, ["k"], [model], factors)
+    up = (table.f == "up").to_numpy(float)
+    design = np.column_stack([np.ones(80), table.x, table.m, up, table.x * up])
+    beta, rss = np.linalg.lstsq(design, table.y, rcond=None)[:2]
+    cov = np.linalg.inv(design.T @ design) * rss[0] / 75
+    got = effect_curves(df, fitted, ["k"], model, "x", by="f", factors=factors, points=5).collect()
+    assert len(got) == 10 and {r.slice for r in got} == {"lo", "up"}
+    for r in got:
+        at = float(r.slice == "up")
+        line = np.array([1, r.x, table.m.mean(), at, at * r.x])
+        assert r.estimate == pytest.approx(line @ beta) and r.std_error == pytest.approx(np.sqrt(line @ cov @ line))
+        assert r.upper - r.lower == pytest.approx(2 * 1.959964 * r.std_error, rel=1e-6)
+    assert sorted({r.x for r in got if r.point in (0, 4)}) == pytest.approx([table.x.min(), table.x.max()])
+    plain = effect_curves(df, fitted, ["k"], model, "x", factors=factors, points=5).collect()
+    assert sorted(r.estimate for r in plain) == pytest.approx(sorted(r.estimate for r in got if r.slice == "lo"))
+    with pytest.raises(ValueError):
+        effect_curves(df, fitted, ["k"], model, "f", factors=factors)
+
+
 def test_density_counts_rows_outside_its_window(spark):
     df = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 50)], "x double")
     inside = density_curve(df, [], "x", 1.0, 0.0, 2.0, 3).orderBy("point").collect()
