@@ -14,7 +14,7 @@ from brackish.functions.nulls import strict
 from brackish.functions.summary import range_label
 from brackish.functions.times import floor_time
 from brackish.operators.keys import attach, join_on
-from brackish.operators.ordered import quantiles_of_counts, value_counts
+from brackish.operators.ordered import exact_quantiles
 from brackish.session import settle
 
 Aggregate = Callable[[Column], Column]
@@ -94,21 +94,24 @@ def at_latest(df: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str, whisker: float = 1.5) -> DataFrame:
-    """Quartiles, whisker ends (furthest value within `whisker` spans of the box), outlier count."""
-    counts = settle(value_counts(df, keys, value), "counts")
-    quartiles = quantiles_of_counts(counts, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    """Quartiles, whisker ends (furthest value within `whisker` spans of the box), outlier count.
+
+    The quartiles are selected, not sorted; the rest is one more aggregation that combines map-side.
+    """
+    known = df.select(*keys, value).where(F.col(value).isNotNull())
+    quartiles = exact_quantiles(known, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     v, reach = F.col(value), whisker * (F.col("q3") - F.col("q1"))
     inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        attach(counts, quartiles, keys)
+        attach(known, quartiles, keys)
         .groupBy(*keys)
         .agg(
-            F.sum("count").alias("n"),
+            F.count(F.lit(1)).alias("n"),
             F.min(F.when(inside, v)).alias("lower"),
             F.first("q1").alias("q1"),
             F.first("median").alias("median"),
             F.first("q3").alias("q3"),
             F.max(F.when(inside, v)).alias("upper"),
-            F.sum(F.when(~inside, F.col("count")).otherwise(0)).alias("outliers"),
+            F.count_if(~inside).alias("outliers"),
         )
     )

@@ -86,7 +86,6 @@ def nearest_join(
     tolerance_seconds: float,
     keys: Sequence[str] = (),
     tie_break: Sequence[str] = (),
-    chunk_seconds: float | None = None,
 ) -> DataFrame:
     """Give each left row the right row nearest in time within a tolerance, per key.
 
@@ -95,49 +94,32 @@ def nearest_join(
     `tie_break`, so name columns that tell them apart.
 
     The match depends on (keys, time) only, so it is found once per distinct instant and
-    joined back: repeated stamps, however many, are one row in the search. The search
-    looks one right row back and one ahead in chunks of time, each right row copied to
-    the chunks within tolerance; it never forms pairs.
+    joined back: repeated stamps, however many, are one row in the search. Instants and right
+    rows are merged in ranges of (key, time) that Spark balances by count, so a busy hour is
+    spread over tasks; each range gets the last right row before it and the first one after
+    it from a table of one row per range and key. It never forms pairs.
     """
     keys = list(keys)
     tolerance = int(tolerance_seconds * 1e6)
-    chunk = int((chunk_seconds or max(3600.0, 8 * tolerance_seconds)) * 1e6)
     payload = [c for c in right.columns if c not in (*keys, time)]
 
     probes = left.select(*keys, time).where(F.col(time).isNotNull()).distinct()
-    probes = probes.withColumn("_t", epoch_micros(F.col(time)))
     order = F.struct(*tie_break) if tie_break else F.struct(*payload)
     targets = (
         right.where(F.col(time).isNotNull())
         .groupBy(*keys, F.col(time).alias("_rt"))
         .agg(F.min_by(F.struct(*payload), order).alias("_row"))
         .withColumn("_t", epoch_micros(F.col("_rt")))
+        .drop("_rt")
     )
-    target = F.when(F.col("_row").isNotNull(), F.struct("_t", "_row"))
-    stacked = probes.withColumn("_chunk", F.floor(F.col("_t") / chunk)).unionByName(
-        targets.withColumn(
-            "_chunk",
-            F.explode(
-                F.sequence(
-                    F.floor((F.col("_t") - tolerance) / chunk), F.floor((F.col("_t") + tolerance) / chunk)
-                )
-            ),
-        ).drop("_rt"),
-        allowMissingColumns=True,
-    )
-    chunked = Window.partitionBy(*keys, "_chunk")
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    back = F.last(target, ignorenulls=True).over(chunked.orderBy("_t").rangeBetween(*so_far))
-    ahead = F.last(target, ignorenulls=True).over(chunked.orderBy(F.desc("_t")).rangeBetween(*so_far))
-    gap_back, gap_ahead = F.col("_t") - F.col("_b._t"), F.col("_a._t") - F.col("_t")
+    merged = merge_ranges(probes.withColumn("_t", epoch_micros(F.col(time))), targets, keys, "_t")
+    gap_back, gap_ahead = F.col("_t") - F.col("_back._t"), F.col("_ahead._t") - F.col("_t")
     best = F.when(
         gap_back.isNotNull() & (gap_back <= tolerance) & (gap_ahead.isNull() | (gap_back <= gap_ahead)),
-        F.col("_b"),
-    ).when(gap_ahead <= tolerance, F.col("_a"))
+        F.col("_back"),
+    ).when(gap_ahead <= tolerance, F.col("_ahead"))
     matches = (
-        stacked.withColumns({"_b": back, "_a": ahead})
-        .where(F.col(time).isNotNull())
-        .withColumn("_m", best)
+        merged.withColumn("_m", best)
         .where(F.col("_m").isNotNull())
         .select(
             *keys,
@@ -149,6 +131,46 @@ def nearest_join(
     return join_on(left, matches, [*keys, time], "left")
 
 
+def stacked_ranges(probes: DataFrame, targets: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """Both tables, written once, in ranges of (key, `at`) of about equal size numbered ``_split``."""
+    stacked = probes.withColumn("_probe", F.lit(True)).unionByName(
+        targets.withColumn("_probe", F.lit(False)), allowMissingColumns=True
+    )
+    return settle(stacked.repartitionByRange(*keys, at).withColumn("_split", F.spark_partition_id()), "ranges")
+
+
+def merge_ranges(probes: DataFrame, targets: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """Each probe with the target ``(at, _row)`` at or before it (``_back``) and at or after it (``_ahead``).
+
+    Both tables hold a (key, `at`) at most once; `targets` has the columns keys, `at`, ``_row``.
+    """
+    placed = stacked_ranges(probes, targets, keys, at)
+    target = F.when(~F.col("_probe"), F.struct(at, "_row"))
+    order = Window.partitionBy(*keys).orderBy("_split")
+    splits = (
+        placed.where(~F.col("_probe"))
+        .groupBy(*keys, "_split")
+        .agg(F.min_by(target, at).alias("_first"), F.max_by(target, at).alias("_last"))
+    )
+    # ranges without a target still need their neighbours
+    ranges = join_on(placed.select(*keys, "_split").distinct(), settle(splits), [*keys, "_split"], "left")
+    carried = ranges.select(
+        *keys,
+        "_split",
+        F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    within = Window.partitionBy(*keys, "_split")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    back = F.last(target, ignorenulls=True).over(within.orderBy(at).rangeBetween(*so_far))
+    ahead = F.last(target, ignorenulls=True).over(within.orderBy(F.desc(at)).rangeBetween(*so_far))
+    found = placed.withColumns({"_back": back, "_ahead": ahead}).where("_probe")
+    met = join_on(found, settle(carried), [*keys, "_split"], "inner")
+    return met.select(
+        *probes.columns, F.coalesce("_back", "_before").alias("_back"), F.coalesce("_ahead", "_after").alias("_ahead")
+    )
+
+
 def bind_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Columns side by side, matched by row key instead of by position."""
     return join_on(left, right, keys, "inner")

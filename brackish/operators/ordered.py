@@ -9,6 +9,8 @@ it needs.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,7 +143,11 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """
     keys = list(keys)
     known = df.select(*keys, value).where(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("count"))
+    return _with_before(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("count")), keys, value)
+
+
+def _with_before(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Adds ``before``, the number of rows that precede each row of a table with ``count``."""
     placed = settle(
         counts.repartitionByRange(*keys, value)
         .withColumn("_split", F.spark_partition_id())
@@ -156,45 +162,115 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         .drop("_rows")
     )
     joined = join_on(placed, settle(splits), [*keys, "_split"], "inner")
-    return joined.select(*keys, value, "count", (F.col("_first") + F.col("_within")).alias("before"))
+    return joined.select(*counts.columns, (F.col("_first") + F.col("_within")).alias("before"))
+
+
+#: A sketch's rank error is a row in this many; up to so many groups get intervals of their own.
+SKETCH_ACCURACY = 10_000
+SELECTED_GROUPS = 100_000
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]
 ) -> DataFrame:
-    """Linear-interpolated quantiles, one row per key, without holding a group in memory."""
-    return quantiles_of_counts(settle(value_counts(df, keys, value)), keys, value, probabilities)
+    """Linear-interpolated quantiles, one row per key, by selection: `df` is read twice, hardly sorted.
+
+    A mergeable sketch gives a narrow interval of values per key and probability. The second pass
+    counts the distinct values inside of the intervals (a few rows in `SKETCH_ACCURACY`) and, as one
+    row per stretch, the rows between them; only these counts are shuffled and sorted. A key whose
+    rank falls between its intervals, against the sketch's bound, is sorted in full, and so is a
+    table of more than `SELECTED_GROUPS` keys, whose groups are small.
+    """
+    keys = list(keys)
+    known = df.select(*keys, value).where(F.col(value).isNotNull())
+    intervals = settle(_intervals(known, keys, value, list(probabilities.values())), "intervals")
+    if intervals.count() > SELECTED_GROUPS:
+        return quantiles_of_counts(settle(value_counts(df, keys, value)), keys, value, probabilities)
+    counts = _with_before(_selected_counts(known, keys, value, intervals, list(probabilities.values())), keys, value)
+    sizes = intervals.select(*keys, "_n")
+    ranked = join_on(counts, sizes, keys) if keys else attach(counts, sizes, keys)
+    stretch = F.col("_top") != F.col(value)
+    picked = settle(_picked(ranked, keys, value, probabilities, _missed=F.bool_or(stretch & _holds_a_rank(probabilities))), "picked")
+    missed = picked.where("_missed")
+    if missed.isEmpty():
+        return _interpolated(picked, keys, probabilities)
+    rest = known
+    if keys:
+        rest = join_on(known, settle(missed.select(*keys)), keys, "left_semi")
+    again = quantiles_of_counts(settle(value_counts(rest, keys, value)), keys, value, probabilities)
+    return _interpolated(picked.where("NOT _missed"), keys, probabilities).unionByName(again)
+
+
+def _intervals(known: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """Per key arrays ``_low`` and ``_high`` of values, a pair per probability, twice the sketch's error wide each way; rows ``_n``."""
+    slack = 2.0 / SKETCH_ACCURACY
+
+    def sketch(shift: float) -> Column:
+        at = F.array(*[F.lit(min(max(p + shift, 0.0), 1.0)) for p in probabilities])
+        return F.percentile_approx(value, at, SKETCH_ACCURACY)
+
+    return known.groupBy(*keys).agg(
+        sketch(-slack).alias("_low"), sketch(slack).alias("_high"), F.count(F.lit(1)).alias("_n")
+    )
 
 
-def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
-    """`exact_quantiles` from a settled `value_counts` table."""
-    sizes = counts.groupBy(*keys).agg(F.sum("count").alias("_n"))
-    ranked = attach(counts, sizes, keys)
-    v, first, end = F.col(value), F.col("before"), F.col("before") + F.col("count")
+def _selected_counts(
+    known: DataFrame, keys: Sequence[str], value: str, intervals: DataFrame, probabilities: Sequence[float]
+) -> DataFrame:
+    """Distinct values inside of the intervals with their counts; a stretch between two is one row from its least value to ``_top``."""
+    v = F.col(value)
+    low, high = ([F.col(f"{end}_{i}") for i in range(len(probabilities))] for end in ("_low", "_high"))
+    bounds = intervals.select(*keys, *[F.col(end)[i].alias(f"{end}_{i}") for end in ("_low", "_high") for i in range(len(probabilities))])
+    inside = reduce(or_, [(v >= least) & (v <= most) for least, most in zip(low, high)])
+    passed = sum((F.when(v > most, 1).otherwise(0) for most in high), F.lit(0))
+    marked = (join_on(known, bounds, keys) if keys else attach(known, bounds, keys)).select(
+        *keys, v, F.when(inside, v).alias("_value"), F.when(~inside, passed).alias("_stretch")
+    )
+    counts = marked.groupBy(*keys, "_value", "_stretch").agg(
+        F.count(F.lit(1)).alias("count"), F.min(v).alias(value), F.max(v).alias("_top")
+    )
+    return counts.select(*keys, value, "count", "_top")
 
-    def rank(p: float) -> Column:
-        return (F.col("_n") - 1) * F.lit(float(p))
+
+def _rank(p: float) -> Column:
+    return (F.col("_n") - 1) * F.lit(float(p))
+
+
+def _holds_a_rank(probabilities: Mapping[str, float]) -> Column:
+    """Whether a row of a table of counts stands at a rank that a quantile needs."""
+    first, end = F.col("before"), F.col("before") + F.col("count")
+    ranks = [around(_rank(p)) for p in probabilities.values() for around in (F.floor, F.ceil)]
+    return reduce(or_, [(first <= rank) & (rank < end) for rank in ranks])
+
+
+def _picked(ranked: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], **more: Column) -> DataFrame:
+    """Per key the values at the ranks below and above each probability, from counts with ``before`` and ``_n``."""
+    v, first, end = F.col(value), F.col("before"), F.col("before") + F.col("count")
 
     def at(position: Column) -> Column:
         return F.max(F.when((first <= position) & (position < end), v))
 
-    low = {f"_lo_{n}": at(F.floor(rank(p))) for n, p in probabilities.items()}
-    high = {f"_hi_{n}": at(F.ceil(rank(p))) for n, p in probabilities.items()}
-    picked = ranked.groupBy(*keys).agg(
-        F.max("_n").alias("_n"), *[c.alias(n) for n, c in {**low, **high}.items()]
-    )
-    return picked.select(
-        *keys,
-        *[
-            (
-                F.col(f"_lo_{n}")
-                + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (rank(p) - F.floor(rank(p)))
-            ).alias(n)
-            for n, p in probabilities.items()
-        ],
+    low = {f"_lo_{n}": at(F.floor(_rank(p))) for n, p in probabilities.items()}
+    high = {f"_hi_{n}": at(F.ceil(_rank(p))) for n, p in probabilities.items()}
+    return ranked.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), *[c.alias(n) for n, c in {**low, **high, **more}.items()]
     )
 
 
+def _interpolated(picked: DataFrame, keys: Sequence[str], probabilities: Mapping[str, float]) -> DataFrame:
+    def between(name: str, p: float) -> Column:
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        return low + (high - low) * (_rank(p) - F.floor(_rank(p)))
+
+    return picked.select(*keys, *[between(n, p).alias(n) for n, p in probabilities.items()])
+
+
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
+    """`exact_quantiles` from a settled `value_counts` table."""
+    sizes = counts.groupBy(*keys).agg(F.sum("count").alias("_n"))
+    return _interpolated(_picked(attach(counts, sizes, keys), keys, value, probabilities), keys, probabilities)
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int = 1) -> DataFrame:
     """The first `k` rows of each key. Spark limits each map task to `k` rows before the shuffle."""
     spec = Window.partitionBy(*keys).orderBy(*order)

@@ -104,7 +104,7 @@ def test_nearest_join_brute_force(spark):
     right += [(0, START + timedelta(seconds=30), 1000), (0, START - timedelta(seconds=30), 1001)]
     l_df = spark.createDataFrame(left, "k int, ts timestamp_ntz")
     r_df = spark.createDataFrame(right, "k int, ts timestamp_ntz, v int")
-    got = joins.nearest_join(l_df, r_df, "ts", 120, ["k"], ["v"], chunk_seconds=300).collect()
+    got = joins.nearest_join(l_df, r_df, "ts", 120, ["k"], ["v"]).collect()
     assert len(got) == len(left)
     for r in got:
         near = sorted((abs((t - r["ts"]).total_seconds()), t, v) for k, t, v in right if k == r["k"])
@@ -112,6 +112,36 @@ def test_nearest_join_brute_force(spark):
         assert r["v"] == want
 
 
+def test_nearest_join_spreads_a_busy_hour(spark):
+    rng = np.random.default_rng(9)
+    busy, calm = rng.integers(0, 3600 * 10**6, 4_000), rng.integers(0, 10**6 * 86_400 * 60, 8_000)
+    left = pd.DataFrame({"k": 1, "t": np.unique(np.concatenate([busy, calm]))})
+    right = pd.DataFrame({"k": 1, "t": np.sort(rng.choice(86_400 * 60, 300, replace=False)) * 10**6})
+    right["v"] = right.index
+    l_df, r_df = (
+        spark.createDataFrame(d).withColumn("ts", F.timestamp_micros("t")).drop("t") for d in (left, right)
+    )
+    got = joins.nearest_join(l_df, r_df, "ts", 7200, ["k"], ["v"]).select(F.unix_micros("ts").alias("t"), "v").toPandas()
+    at = np.searchsorted(right.t, left.t, side="right")
+    back, ahead = np.clip(at - 1, 0, 299), np.clip(np.searchsorted(right.t, left.t), 0, 299)
+    gap_back = np.where(at > 0, left.t - right.t[back].values, 10**18)
+    gap_ahead = np.where(right.t[ahead].values >= left.t, right.t[ahead].values - left.t, 10**18)
+    best, gap = np.where(gap_back <= gap_ahead, back, ahead), np.minimum(gap_back, gap_ahead)
+    want = pd.Series(np.where(gap <= 7200 * 10**6, best, -1), index=left.t)
+    assert got.set_index("t").v.fillna(-1).astype(int).sort_index().tolist() == want.sort_index().tolist()
+    probes = l_df.withColumn("_t", F.unix_micros("ts"))
+    targets = r_df.select("k", F.unix_micros("ts").alias("_t"), F.struct("v").alias("_row"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one range
+    try:
+        ranges = joins.stacked_ranges(probes, targets, ["k"], "_t")
+        found = {(r.ts, r._back, r._ahead) for r in joins.merge_ranges(probes, targets, ["k"], "_t").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {(r.ts, r._back, r._ahead) for r in joins.merge_ranges(probes, targets, ["k"], "_t").collect()}
+    sizes = [r["count"] for r in ranges.groupBy("_split").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * sum(sizes) / len(sizes)
+
+
 def test_time_grid_keeps_off_grid_rows(spark):
     rows = [("A", "Dry", START, 1.0), ("A", "Dry", START + timedelta(minutes=3, seconds=30), 2.0), ("A", "Wet", START, 3.0),
             ("A", "Wet", START + timedelta(minutes=4), 4.0)]
@@ -319,6 +349,41 @@ def test_quantiles_of_a_value_that_most_rows_share(spark):
     assert interval["upper"] - interval["lower"] == pytest.approx(width.min())
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("misled", [False, True])
+def test_quantiles_by_selection(spark, monkeypatch, keys, misled):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, 30_000), np.full(15_000, 0.25), rng.pareto(1, 10_000), [math.inf, -math.inf]])
+    table = pd.DataFrame({"k": pd.array(rng.integers(0, 3, len(x)), "Int64"), "x": x})
+    table.loc[table.k == 2, "k"] = None
+    df = spark.createDataFrame(table).withColumn("x", F.when(F.col("x") != 0.125, F.col("x"))).repartition(6)
+    df = df.unionByName(spark.createDataFrame([(7, 5.0), (8, None)], "k long, x double"))
+    if misled:  # intervals that miss their ranks
+        right = ordered._intervals
+
+        def wrong(*args):
+            return right(*args).withColumns({"_low": F.transform("_low", lambda v: v + 1), "_high": F.transform("_high", lambda v: v + 1)})
+
+        monkeypatch.setattr(ordered, "_intervals", wrong)
+    shares = {"least": 0.0, "low": 0.025, "half": 0.5, "near": 0.5001, "high": 0.975}
+    got = {r["k"] if keys else 0: r for r in ordered.exact_quantiles(df, keys, "x", shares).collect()}
+    parts = {None if pd.isna(k) else k: p.x.to_numpy() for k, p in table.groupby("k", dropna=False)} | {7: [5.0]} if keys else {0: [*x, 5.0]}
+    assert set(got) == set(parts)
+    for k, part in parts.items():
+        for name, p in shares.items():
+            if name != "least" or np.isfinite(np.min(part)):
+                assert got[k][name] == pytest.approx(np.quantile(part, p), rel=1e-12)
+
+
+def test_selection_sorts_few_rows(spark):
+    df = spark.range(400_000).select(F.rand(3).alias("x"))
+    df = df.checkpoint()
+    shares = [0.25, 0.5, 0.75]
+    counts = ordered._selected_counts(df, [], "x", ordered._intervals(df, [], "x", shares), shares)
+    assert counts.agg(F.sum("count")).first()[0] == 400_000
+    assert counts.count() < 400_000 * 3 * 8 / ordered.SKETCH_ACCURACY
+
+
 def test_moments_of_groups_far_apart(spark):
     rng = np.random.default_rng(1)
     parts = [pd.DataFrame({"k": k, "x": at + rng.normal(0, 0.3, 500), "w": 1.0}) for k, at in (("a", 1e9), ("b", -1e9))]
