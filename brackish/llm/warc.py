@@ -16,6 +16,8 @@ inside of it, so the separator never occurs within a segment.
    Pieces of a record that a file split has torn apart are brought together by record, sorted, and
    digested in one stream.
 
+A record's identifier is made of its page and digest, so a revisit names the record it refers to.
+
 Defined results: a NULL payload is empty. Payloads under `LEAST` bytes are always responses. Of
 equal payloads the smallest page_id is the response (NULL last); rows that repeat it are responses
 too. Columns other than page, address and payload are ignored.
@@ -24,17 +26,18 @@ too. Columns other than page, address and payload are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import partial
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brackish.llm.text import rows, utf8
 from brackish.operators.keys import join_on
+from brackish.operators.ordered import with_row_index
 from brackish.session import scratch_path, settle
 
 #: Smallest payload that a revisit may stand for, and the most bytes of a segment.
@@ -47,21 +50,24 @@ SEPARATOR = (_END + _VERSION).decode()
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 
 
-def cuts(block: bytes, size: int) -> list[bytes]:
-    """Segments of at most `size` bytes, none of which completes a separator.
+_SEPARATOR = re.compile(re.escape(_END + _VERSION))
+
+
+def cuts(block: memoryview, size: int) -> list[tuple[int, int]]:
+    """Ends of segments of at most `size` bytes, none of which completes a separator.
 
     A header's blank line stands before each segment, so its start counts as well.
     """
     out, at = [], 0
     while at < len(block):
-        end = at + size
-        if block.startswith(_VERSION, at):
+        end = min(at + size, len(block))
+        if block[at : at + len(_VERSION)] == _VERSION:
             end = at + 1
-        elif (found := block.find(_END + _VERSION, at, end)) >= 0:
-            end = found + len(_END) + 1
-        out.append(block[at:end])
+        elif found := _SEPARATOR.search(block, at, end):
+            end = found.start() + len(_END) + 1
+        out.append((at, end))
         at = end
-    return out or [b""]
+    return out or [(0, 0)]
 
 
 def _digest(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
@@ -75,7 +81,8 @@ def _digest(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Record
             sizes.append(len(payload))
             digests.append(running.hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["page_id", "bytes", "digest"]
+            [*batch.select(["page_id", "url"]).columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.string())],
+            ["page_id", "url", "bytes", "digest"],
         )
 
 
@@ -92,9 +99,13 @@ def _head(record: str, kind: str, number: int, count: int, fields: list[tuple[st
     return _VERSION + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n"
 
 
-def _urn(page: object) -> str:
-    """The page's name in record identifiers; a NULL page has an empty one."""
-    return "urn:page:" + ("" if page is None else quote(str(page), safe=""))
+def _urn(page: object, digest: str, copy: int = 0) -> str:
+    """A record's identifier: page, payload and, for rows that repeat both, a number.
+
+    A revisit derives it for the record that it refers to. A NULL page is empty, an empty one "+".
+    """
+    name = "" if page is None else quote(str(page), safe="") or "+"
+    return f"urn:page:{name}#{digest}" + (f".{copy}" if copy else "")
 
 
 def _clean(url: str | None) -> str:
@@ -102,14 +113,20 @@ def _clean(url: str | None) -> str:
     return " ".join((url or "").split())
 
 
+#: Bytes of segments that a task gathers before it passes them on.
+_BUFFER = 8 << 20
+
+
 def _segments(batches: Iterator[pa.RecordBatch], chunk: int, date: str) -> Iterator[pa.RecordBatch]:
-    task, row = TaskContext.get().partitionId(), 0
-    for batch in rows(batches, 64):
-        names = ("page_id", "url", "payload", "bytes", "digest", "refers", "is_revisit")
-        out = []
-        for page, url, payload, size, digest, refers, revisit in zip(*(batch.column(c).to_pylist() for c in names)):
-            record = f"{_urn(page)}#{task}.{row}"  # rows that repeat a page_id are records of their own
-            row += 1
+    """Segments of the payloads, cut from Arrow's own buffer, a few megabytes at a time."""
+    out: list[bytes] = []
+    held = 0
+    for batch in batches:
+        for row in range(batch.num_rows):
+            names = ("page_id", "url", "bytes", "digest", "copy", "refers", "refers_url", "is_revisit")
+            page, url, size, digest, copy, refers, refers_url, revisit = (batch.column(c)[row].as_py() for c in names)
+            payload = memoryview(batch.column("payload")[row].as_buffer())
+            record = _urn(page, digest, copy)
             fields: list[tuple[str, object]] = [
                 ("WARC-Date", date),
                 ("WARC-Target-URI", _clean(url)),
@@ -119,19 +136,26 @@ def _segments(batches: Iterator[pa.RecordBatch], chunk: int, date: str) -> Itera
             if revisit:
                 fields += [
                     ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                    ("WARC-Refers-To", f"<{_urn(refers)}>"),
+                    ("WARC-Refers-To", f"<{_urn(refers, digest)}>"),
+                    ("WARC-Refers-To-Target-URI", _clean(refers_url)),
+                    ("WARC-Refers-To-Date", date),
                 ]
-                pieces, kind, head = [b""], "revisit", b""
+                pieces, kind, head = [(0, 0)], "revisit", b""
             else:
                 fields.append(("Content-Type", "application/http; msgtype=response"))
                 pieces, kind, head = cuts(payload, chunk), "response", _HTTP + _END
-            for number, piece in enumerate(pieces, 1):
+            for number, (at, end) in enumerate(pieces, 1):
                 more = fields if number == 1 else fields[:2]
                 if number == len(pieces) > 1:
                     more = [*more, ("WARC-Segment-Total-Length", len(_HTTP + _END) + size)]
-                body = head + piece if number == 1 else piece
-                out.append(_head(record, kind, number, len(pieces), more, len(body)) + body)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                start = head if number == 1 else b""
+                header = _head(record, kind, number, len(pieces), more, len(start) + end - at)
+                out.append(b"".join((header, start, payload[at:end])))
+                held += len(out[-1])
+                if held >= _BUFFER:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                    out, held = [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
 def write_archive(
@@ -149,27 +173,39 @@ def write_archive(
         F.col(f"`{page}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), utf8(payload).alias("payload")
     )
     kind = plain.schema["page_id"].dataType.simpleString()
-    digests = plain.select("page_id", "payload").mapInArrow(
-        partial(_digest, chunk=chunk), f"page_id {kind}, bytes long, digest string"
-    )
+    digests = plain.mapInArrow(partial(_digest, chunk=chunk), f"page_id {kind}, url string, bytes long, digest string")
     digests = settle(digests, "digests")
-    order = F.struct(F.col("page_id").isNull().alias("x"), "page_id")
+    order = F.struct(F.col("page_id").isNull().alias("x"), "page_id", "url")
     large = digests.where(F.col("bytes") >= LEAST)
     firsts = large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = join_on(large, settle(firsts.select("digest", F.col("first.page_id").alias("refers")), "firsts"), ["digest"], "inner")
-    again = again.where("NOT page_id <=> refers").select("page_id", "digest", "refers").distinct()
+    firsts = firsts.select("digest", F.col("first.page_id").alias("refers"), F.col("first.url").alias("refers_url"))
+    again = join_on(large, settle(firsts, "firsts"), ["digest"], "inner")
+    again = again.where("NOT page_id <=> refers").select("page_id", "digest", "refers", "refers_url").distinct()
     # the digest is made again beside the payload: cheaper than moving it, and right for repeated page_ids
     marked = plain.mapInArrow(partial(_beside, chunk=chunk), f"page_id {kind}, url string, payload binary, bytes long, digest string")
+    marked = _numbered(marked, settle(digests.groupBy("page_id", "digest").count().where("count > 1").drop("count"), "repeated"))
     records = join_on(marked, settle(again, "revisits").withColumn("is_revisit", F.lit(True)), ["page_id", "digest"], "left")
     schema = "record binary"
     segments = records.select(
-        "page_id", "url", "payload", "bytes", "digest", "refers", F.coalesce("is_revisit", F.lit(False)).alias("is_revisit")
+        "page_id", "url", "payload", "bytes", "digest", "copy", "refers", "refers_url",
+        F.coalesce("is_revisit", F.lit(False)).alias("is_revisit"),
     ).mapInArrow(partial(_segments, chunk=chunk, date=date), schema)
     segments.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode()).option(
         "compression", compression
     ).text(path)
 
 
+def _numbered(marked: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Adds ``copy``: 0, 1, ... in the order of addresses for rows that repeat page and payload, else 0."""
+    single = marked.withColumn("copy", F.lit(0).cast("long"))
+    if repeated.isEmpty():
+        return single
+    keys = ["page_id", "digest"]
+    # in ranges, so one page that a third of the rows repeat is spread over tasks
+    copies = with_row_index(join_on(marked, repeated, keys, "left_semi"), keys, ["url"], "copy")
+    return join_on(single, repeated, keys, "left_anti").unionByName(copies)
+
+
 def _beside(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     for batch in rows(batches):
         made = next(_digest(iter([batch]), chunk)) if batch.num_rows else None
@@ -291,8 +327,9 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def page(column: str):
-        # between "urn:page:" and the row's own number
-        return F.expr(f"try_cast(url_decode(substring_index(substring({column}, 10), '#', 1)) AS {kind})")
+        name = F.substring_index(F.substring(column, 10, 1 << 30), "#", 1)  # between "urn:page:" and the digest
+        decoded = F.when(name == "+", "").when(name != "", F.url_decode(name))
+        return decoded.cast(kind) if kind == "string" else decoded.try_cast(kind)
 
     return read_records(spark, path).select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")

@@ -9,6 +9,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brackish.llm import warc
@@ -304,6 +305,36 @@ def test_archive_round_trip(spark, tmp_path, chunk, compression, split):
     assert len({r.record_id for r in got}) == len(PAGES)
 
 
+def test_revisits_name_records_of_the_archive(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES + [(3, None, "x" * 150)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/warc"
+    warc.write_archive(pages.repartition(4), path, compression="none")
+    got = warc.read_records(spark, path).collect()
+    ids = {r.record_id: r for r in got}
+    assert len(ids) == len(got) == len(PAGES) + 1
+    revisits = [r for r in got if r.record_type == "revisit"]
+    assert len(revisits) == 4
+    for r in revisits:
+        assert ids[r.refers_to].record_type == "response" and ids[r.refers_to].payload_digest == r.payload_digest
+
+
+def test_null_and_empty_pages_differ(spark):
+    long = "z" * 200
+    table = [("", "u", long), (None, "u", long), ("+", "u", "a"), ("a b#/ü", "u", long), ("", "v", "a")]
+    got = warc.archive_pages(spark.createDataFrame(table, "page_id string, url string, html string")).collect()
+    rows = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got), key=str)
+    want = [("", "response", None, 200), (None, "revisit", "", 200), ("+", "response", None, 1), ("a b#/ü", "revisit", "", 200), ("", "response", None, 1)]
+    assert rows == sorted(want, key=str)
+
+
+def test_segments_of_a_large_payload_come_in_small_batches():
+    size = 40 << 20
+    row = {"page_id": 1, "url": "u", "payload": b"ab" * (size // 2), "bytes": size, "digest": "d", "copy": 0, "refers": None, "refers_url": None}
+    batch = pa.RecordBatch.from_pylist([row | {"is_revisit": False}])
+    made = [b.nbytes for b in warc._segments(iter([batch]), 1 << 20, "2024-01-01T00:00:00Z")]
+    assert max(made) < 10 << 20 and size < sum(made) < size + (1 << 20)
+
+
 def test_archive_pages_and_damage(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     got = warc.archive_pages(pages)
