@@ -4,7 +4,7 @@ A template is license wording over words, with optional regions and replaceable
 
     copyright <<opt>>c<<end>> <<any>> all rights reserved
 
-`<<var a b>>` stands for a to b words of any kind, `<<any>>` for one or more, up to the first place
+`<<alt>>cc by<<or>>creative commons<<end>>` is a mandatory region with several wordings. `<<var a b>>` stands for a to b words of any kind, `<<any>>` for one or more, up to the first place
 where the wording after it is complete; what is not marked is mandatory and must match
 word for word. The templates are compiled once per task; a text is tried against a template only
 if the template's longest mandatory run occurs in it (a substring search), and only from the
@@ -34,8 +34,10 @@ TEMPLATES = {
     "apache-2.0": "<<opt>>licensed<<end>> <<opt>>released<<end>> under the apache license <<opt>>version 2 0<<end>>",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted "
     "provided that the following conditions are met",
-    "cc-by-4.0": "licensed under <<opt>>a creative commons attribution<<end>> <<opt>>cc by<<end>> 4 0 <<opt>>international<<end>>",
-    "cc-by-nc-4.0": "licensed under <<opt>>a creative commons attribution noncommercial<<end>> <<opt>>cc by nc<<end>> 4 0",
+    "cc-by-4.0": "licensed under <<opt>>a<<end>> <<opt>>the<<end>> <<alt>>creative commons attribution <<opt>>cc by<<end>>"
+    "<<or>>cc by<<end>> 4 0 <<opt>>international<<end>>",
+    "cc-by-nc-4.0": "licensed under <<opt>>a<<end>> <<opt>>the<<end>> <<alt>>creative commons attribution noncommercial "
+    "<<opt>>cc by nc<<end>><<or>>cc by nc<<end>> 4 0 <<opt>>international<<end>>",
     "copyright": "copyright <<opt>>c<<end>> <<any>> all rights reserved",
     "gpl-3.0": "<<opt>>licensed<<end>> <<opt>>released<<end>> under the gnu general public license version 3",
     "gpl-any": "under the terms of the gnu general public license as published by the free software foundation "
@@ -44,9 +46,14 @@ TEMPLATES = {
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software "
     "<<opt>>and associated documentation files the software<<end>> to deal in <<opt>>the<<end>> <<var 1 2>> "
     "without restriction",
+    "spdx-apache-2.0": "spdx license identifier apache 2 0",
+    "spdx-bsd": "spdx license identifier bsd <<alt>>2<<or>>3<<end>> clause",
+    "spdx-cc-by-4.0": "spdx license identifier cc by 4 0",
+    "spdx-gpl-3.0": "spdx license identifier gpl 3 0 <<alt>>only<<or>>or later<<end>>",
+    "spdx-mit": "spdx license identifier mit",
 }
 
-_MARK = re.compile(r"<<opt>>|<<end>>|<<any>>|<<var (\d+) (\d+)>>|[^\s<]+")
+_MARK = re.compile(r"<<opt>>|<<alt>>|<<or>>|<<end>>|<<any>>|<<var (\d+) (\d+)>>|[^\s<]+")
 
 
 @dataclass(frozen=True)
@@ -94,7 +101,7 @@ def compile_template(label: str, template: str) -> Automaton:
         skips.append(set())
         return len(steps) - 1
 
-    opened: list[int] = []
+    opened: list[tuple[str, int, list[int]]] = []  # mark, state before the region, ends of its earlier wordings
     loops: set[int] = set()
     run: list[str] = []
     longest: list[str] = []
@@ -102,10 +109,22 @@ def compile_template(label: str, template: str) -> Automaton:
         mark = m.group()
         if mark.startswith("<<"):
             run = []
-        if mark == "<<opt>>":
-            opened.append(len(steps) - 1)
+        if mark in ("<<opt>>", "<<alt>>"):
+            opened.append((mark, len(steps) - 1, []))
+        elif mark == "<<or>>":
+            if not opened or opened[-1][0] != "<<alt>>":
+                raise ValueError(f"template {label}: an alternative outside of its region")
+            _, start, ends = opened[-1]
+            ends.append(len(steps) - 1)
+            steps.append([])
+            skips.append(set())
+            skips[start].add(len(steps) - 1)
         elif mark == "<<end>>":
-            skips[opened.pop()].add(len(steps) - 1)
+            if not opened:
+                raise ValueError(f"template {label}: a region ends that has not begun")
+            kind, start, ends = opened.pop()
+            for place in [start] if kind == "<<opt>>" else ends:
+                skips[place].add(len(steps) - 1)
         elif m.group(1) is not None:
             least, most = int(m.group(1)), int(m.group(2))
             places = [len(steps) - 1, *(step(None) for _ in range(most))]
@@ -121,7 +140,7 @@ def compile_template(label: str, template: str) -> Automaton:
                 run.append(mark)
                 longest = max(longest, run, key=len).copy()
     if opened:
-        raise ValueError(f"template {label}: an optional region is not closed")
+        raise ValueError(f"template {label}: a region is not closed")
     if not longest:
         raise ValueError(f"template {label}: no mandatory word")
     return Automaton(
@@ -211,13 +230,16 @@ def scan_licenses(
 
 def template_regex(template: str) -> str:
     """The template as a regular expression over words that are each followed by one blank."""
-    out = []
+    out, closing = [], []
     for m in _MARK.finditer(template):
         mark = m.group()
-        if mark == "<<opt>>":
+        if mark in ("<<opt>>", "<<alt>>"):
             out.append("(?:")
+            closing.append(")?" if mark == "<<opt>>" else ")")
+        elif mark == "<<or>>":
+            out.append("|")
         elif mark == "<<end>>":
-            out.append(")?")
+            out.append(closing.pop())
         elif m.group(1) is not None:
             out.append(f"(?:[^ ]+ ){{{m.group(1)},{m.group(2)}}}")
         elif mark == "<<any>>":

@@ -114,6 +114,7 @@ def test_automata_accept_what_their_expressions_do():
         vocabulary = [w for w in re.sub(r"<<[^>]*>>", " ", template).split()] + ["other"]
         for _ in range(300):
             text = re.sub(r"<<opt>>(.*?)<<end>>", lambda m: m[1] if rng.random() < 0.5 else "", template)
+            text = re.sub(r"<<alt>>(.*?)<<end>>", lambda m: rng.choice(m[1].split("<<or>>")), text)
             text = re.sub(r"<<var (\d+) (\d+)>>", lambda m: "thing " * rng.randrange(int(m[1]) - 1, int(m[2]) + 2), text)
             w = text.split()
             if rng.random() < 0.5:
@@ -155,6 +156,38 @@ def test_verbs_and_long_holders():
     assert scan("all rights reserved " + "copyright x " * 20_000) == []
 
 
+def test_alternatives():
+    a = compile_template("x", "one <<alt>>two <<opt>>three<<end>><<or>>four<<or>>five six<<end>> seven")
+    match = lambda text: a.match(text.encode().split(), 0)
+    assert [match(f"one {x} seven") for x in ("two", "two three", "four", "five six")] == [3, 4, 3, 4]
+    assert [match(f"one {x} seven") for x in ("", "three", "two four", "five", "two three four")] == [None] * 5
+    plain = re.compile(template_regex("one <<alt>>two <<opt>>three<<end>><<or>>four<<or>>five six<<end>> seven"))
+    rng = random.Random(7)
+    for _ in range(2_000):
+        text = " ".join(rng.choice("one two three four five six seven".split()) for _ in range(6))
+        assert bool(plain.search(f" {text} ")) == bool(Scanner({}, {"x": "one <<alt>>two <<opt>>three<<end>><<or>>four<<or>>five six<<end>> seven"}).scan(text.encode())[3])
+    for bad in ("a <<or>> b", "a <<opt>>b<<or>>c<<end>>", "a <<alt>>b<<or>>c", "a b<<end>>", "<<alt>>a<<or>>b<<end>>"):
+        with pytest.raises(ValueError):
+            compile_template("x", bad)
+
+
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("This work is licensed under 4.0.", []),
+        ("Licensed under CC BY 4.0", ["cc-by-4.0"]),
+        ("Licensed under CC BY-NC 4.0", ["cc-by-nc-4.0"]),
+        ("licensed under a Creative Commons Attribution 4.0 International License", ["cc-by-4.0"]),
+        ("licensed under the Creative Commons Attribution-NonCommercial 4.0 International License", ["cc-by-nc-4.0"]),
+        ("SPDX-License-Identifier: MIT", ["spdx-mit"]),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later", ["spdx-gpl-3.0"]),
+        ("SPDX-License-Identifier: BSD-4-Clause", []),
+    ],
+)
+def test_labels_written_by_hand(text, labels):
+    assert sorted({x for x, _, _ in Scanner({}, TEMPLATES).scan(text.encode())[3]}) == labels
+
+
 # quality
 
 
