@@ -11,7 +11,7 @@ from brackish.operators.reshape import stack
 from brackish.plans.catalog import Tables, query
 from brackish.session import scratch_path
 from brackish.sources.delimited import mixed_dates, read_by_header, read_logger_folder, read_table, unify_columns
-from brackish.sources.tables import grid_slice, sampling_times, through_table, write_results
+from brackish.sources.tables import grid_slice, replace_partitions, sampling_times, through_table, write_results
 from brackish.sources.text import polygon_vertices, read_columns, read_polygons, read_tides
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -229,6 +229,29 @@ def s10_write_partitioned(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "s10_rerun_replaces",
+    """
+    SELECT l_returnflag, count(*) AS n,
+           round(sum(CASE WHEN l_returnflag = 'R' THEN 2 * l_quantity ELSE l_quantity END), 6) AS quantity
+    FROM lineitem GROUP BY l_returnflag
+    """,
+)
+def s10_rerun_replaces(t: Tables) -> DataFrame:
+    """All partitions, then one of them twice again with corrected values."""
+    path = scratch_path(t.spark, "replaced")
+    rows = t.lineitem.select("l_returnflag", "l_quantity", "l_shipdate")
+    replace_partitions(rows, path, ["l_returnflag"])
+    corrected = rows.where(F.col("l_returnflag") == "R").withColumn("l_quantity", 2 * F.col("l_quantity"))
+    for _ in range(2):
+        replace_partitions(corrected, path, ["l_returnflag"])
+    return (
+        t.spark.read.parquet(path)
+        .groupBy("l_returnflag")
+        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 6).alias("quantity"))
+    )
+
+
 @query(
     "s11_chained_tables",
     """

@@ -54,6 +54,21 @@ def write_results(df: DataFrame, path: str, partition_by: Sequence[str] = (), fm
     writer.save(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet") -> None:
+    """Write a run's partitions over those of an earlier run and leave all others as they are.
+
+    A second run replaces its rows and never doubles them. Files are staged beside the result and
+    move to their places when all tasks have ended, so a run that fails half-way changes nothing.
+    `df` must not read from `path`.
+    """
+    if not partition_by:
+        raise ValueError("without partitions there is nothing to keep: use write_results")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+    if fmt == "csv":
+        writer = writer.option("header", True)
+    writer.partitionBy(*partition_by).save(path)
+
+
 def through_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write and read back: a stage boundary that later jobs start from."""
     write_results(df, path, partition_by)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from brackish.operators.reshape import hours_to_rows
+from brackish.sources import tables
 from brackish.sources.delimited import read_by_header, read_logger_folder, read_table
 from brackish.sources.text import polygon_vertices, read_columns, read_polygons, read_tides
 
@@ -95,3 +97,26 @@ def test_ragged_tides_and_corners(spark, tmp_path):
                     "1,2,0 bad 3</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark></kml>")
     rows = polygon_vertices(read_polygons(spark, str(area))).orderBy("corner").collect()
     assert [(r["lon"], r["lat"]) for r in rows] == [(1.0, 2.0), (None, None), (3.0, None)]
+
+
+def test_a_run_that_fails_leaves_the_result(spark, tmp_path):
+    path = f"file://{tmp_path}/results"
+    rows = spark.range(1_000).select("id", (F.col("id") % 4).alias("site"), F.lit("first").alias("run"))
+    tables.replace_partitions(rows, path, ["site"])
+    second = rows.where("site < 2").withColumn("run", F.lit("second")).repartition(8)
+    broken = second.withColumn("run", F.when(F.col("id") == 401, F.raise_error(F.lit("broken"))).otherwise(F.col("run")))
+
+    def found():
+        return {(r.site, r.run): r["count"] for r in spark.read.parquet(path).groupBy("site", "run").count().collect()}
+
+    before = {(site, "first"): 250 for site in range(4)}
+    with pytest.raises(Exception, match="broken"):
+        tables.replace_partitions(broken, path, ["site"])
+    assert found() == before
+    for _ in range(2):
+        tables.replace_partitions(second, path, ["site"])
+        assert found() == {(0, "second"): 250, (1, "second"): 250, (2, "first"): 250, (3, "first"): 250}
+    tables.replace_partitions(second.limit(0), path, ["site"])
+    assert sum(found().values()) == 1_000
+    with pytest.raises(ValueError):
+        tables.replace_partitions(second, path, [])
