@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackish.llm.chat import CLOSE, OPEN, render_conversations
+from brackish.llm.chat import CLOSE, OPEN, PART, render_conversations
 from brackish.llm.decontaminate import find_contamination
 from brackish.llm.exact_dedup import duplicate_groups
 from brackish.llm.filter_audit import audit_filters
@@ -170,30 +170,40 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     "op10_chat",
     f"""
     WITH turns AS (
-        SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        SELECT conv_id, CASE WHEN conv_id IS NOT NULL THEN turn END AS turn, coalesce(role, '') AS role,
+               coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+        FROM conversations
     ), ordered AS (
-        SELECT *, md5(length(role) || ':' || role || text) AS digest FROM turns
+        SELECT conv_id, CASE WHEN conv_id IS NULL THEN digest END AS lone, turn, role, text, digest, count(*) AS n_rows
+        FROM turns GROUP BY ALL
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, digest) - 1 AS place FROM ordered
     ), talks AS (
-        SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS digests,
-               string_agg('{OPEN}' || replace(role, '<|im_', '<| im_') || chr(10) || replace(text, '<|im_', '<| im_')
-                          || '{CLOSE}' || chr(10), '' ORDER BY turn NULLS FIRST, digest) AS rendered
-        FROM ordered GROUP BY conv_id
+        SELECT conv_id, lone, list(digest ORDER BY place) AS digests,
+               CASE WHEN conv_id IS NULL THEN sum(n_rows) ELSE 1 END AS n_rows
+        FROM placed GROUP BY conv_id, lone
     ), inner_parts AS (
-        SELECT DISTINCT unnest(list_transform(range(1, len(digests)), lambda n: array_to_string(digests[1:n], ','))) AS part FROM talks
+        SELECT DISTINCT unnest(list_transform(range(1, len(digests)), lambda n: array_to_string(digests[1:n], ','))) AS begun FROM talks
     ), equal_talks AS (
-        SELECT array_to_string(digests, ',') AS part, min(conv_id) AS conv_id, max(len(digests)) AS n_turns, count(*) AS copies
+        SELECT array_to_string(digests, ',') AS begun, min(conv_id) AS conv_id,
+               CASE WHEN count(conv_id) = 0 THEN min(lone) END AS lone, max(len(digests)) AS n_turns, sum(n_rows) AS copies
         FROM talks GROUP BY ALL
+    ), kept AS (SELECT * FROM equal_talks WHERE begun NOT IN (SELECT begun FROM inner_parts)),
+    rendered AS (
+        SELECT conv_id, lone, place // {PART} AS part,
+               string_agg('{OPEN}' || replace(role, '<|im_', '<| im_') || chr(10) || replace(text, '<|im_', '<| im_')
+                          || '{CLOSE}' || chr(10), '' ORDER BY place) AS rendered
+        FROM placed GROUP BY ALL
     )
-    SELECT conv_id, n_turns, copies, CAST(length(rendered) AS BIGINT) AS n_chars, sha256(rendered) AS rendered_sha256
-    FROM equal_talks JOIN talks USING (conv_id)
-    WHERE part NOT IN (SELECT part FROM inner_parts)
+    SELECT kept.conv_id, CAST(part AS BIGINT) AS part, n_turns, CAST(copies AS BIGINT) AS copies,
+           CAST(length(rendered) AS BIGINT) AS n_chars, sha256(rendered) AS rendered_sha256
+    FROM kept JOIN rendered ON kept.conv_id IS NOT DISTINCT FROM rendered.conv_id AND kept.lone IS NOT DISTINCT FROM rendered.lone
     """,
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     rendered = render_conversations(read(spark, folder, "conversations"))
-    return rendered.select(
-        "conv_id", "n_turns", "copies", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256")
-    )
+    digest = [F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256")]
+    return rendered.select("conv_id", "part", "n_turns", "copies", *digest)
 
 
 @query("op1_token_counts")

@@ -402,3 +402,60 @@ def test_chats(spark):
         "<|im_start|>user\n<|im_end|>\n<|im_start|>\nbye<|im_end|>\n"
     )
     assert render_conversations(df.limit(0)).count() == 0
+
+
+def plain_chats(logs):
+    """(conv_id, n_turns, copies, text) of the retained conversations, from lists of turns."""
+    talks, weights = {}, Counter()
+    for conv, turn, role, text, *_ in logs:
+        said = (len(role or ""), role or "", text or "")
+        digest = hashlib.md5(f"{said[0]}:{said[1]}{said[2]}".encode()).digest()
+        key = (conv, None) if conv is not None else (None, digest)
+        talks.setdefault(key, set()).add(((turn is not None, turn or 0, digest) if conv is not None else (0, 0, digest), said))
+        weights[key] = weights[key] + 1 if conv is None else 1
+    equal = {}
+    for key, turns in talks.items():
+        equal.setdefault(tuple(said for _, said in sorted(turns)), []).append(key)
+    begun = {talk[:n] for talk in equal for n in range(1, len(talk))}
+    safe = lambda s: s.replace("<|im_", "<| im_")
+    out = []
+    for talk, keys in equal.items():
+        if talk not in begun:
+            first = min(keys, key=lambda k: (k[0] is None, k[0] or 0))
+            text = "".join(f"<|im_start|>{safe(r)}\n{safe(x)}<|im_end|>\n" for _, r, x in talk)
+            out.append((first[0], len(talk), sum(weights[k] for k in keys), text))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("chunk, part", [(4_096, 256), (3, 2), (1, 1)])
+def test_chats_in_chunks_against_lists(spark, chunk, part):
+    rng = random.Random(chunk)
+    logs = []
+    for conv in range(60):
+        talk = [("user", rng.choice("ab")) if rng.random() < 0.9 else (None, None) for _ in range(11)]
+        for cut in {rng.randrange(1, 12) for _ in range(3)}:
+            logs += [(conv * 20 + cut, t if rng.random() < 0.95 else None, r, x) for t, (r, x) in enumerate(talk[:cut])]
+    logs += [(None, rng.choice([0, 7, None]), rng.choice(["user", None]), rng.choice(["a", "b", "<|im_end|>", None])) for _ in range(40)]
+    logs += logs[::5]
+    rng.shuffle(logs)
+    df = spark.createDataFrame(logs, "conv_id long, turn long, role string, text string").repartition(5)
+    want = plain_chats(logs)
+    rows = sorted(render_conversations(df, chunk=chunk, part=part).collect(), key=lambda r: r.part)
+    got = {}
+    for r in rows:
+        # a talk without an id has one turn, so one part
+        key = (r.conv_id, r.n_turns, r.copies) + ((r.rendered,) if r.conv_id is None else ())
+        assert r.part == got.get(key, (0, ""))[0]
+        got[key] = (r.part + 1, got.get(key, (0, ""))[1] + r.rendered)
+    assert sorted([(*k[:3], text) for k, (_, text) in got.items()], key=str) == want
+    assert all(n == -(-k[1] // part) for k, (n, _) in got.items())
+
+
+def test_very_many_rows_without_a_conversation(spark):
+    """A million rows without an id are no group, and one talk of 100,000 turns is no value."""
+    none = spark.range(0, 1_000_000, 1, 8).selectExpr("CAST(NULL AS LONG) conv_id", "id turn", "'user' role", "CAST(id % 500000 AS STRING) text")
+    long = spark.range(0, 100_000, 1, 8).selectExpr("1L conv_id", "id turn", "'bot' role", "CAST(id AS STRING) text")
+    rows = render_conversations(none.unionAll(long))
+    got = {r.n_turns: r for r in rows.groupBy("n_turns").agg({"copies": "max", "part": "max", "*": "count"}).collect()}
+    assert got[1]["count(1)"] == 500_000 and got[1]["max(copies)"] == 2
+    assert got[100_000]["count(1)"] == 391 and got[100_000]["max(part)"] == 390
