@@ -81,7 +81,12 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     restart continues from the last finished batch.
     """
     spark = stream.sparkSession
-    out, progress = scratch_path(spark, f"{name}-rows"), scratch_path(spark, f"{name}-progress")
+    return run_again(stream, scratch_path(spark, f"{name}-rows"), scratch_path(spark, f"{name}-progress"))
+
+
+def run_again(stream: DataFrame, out: str, progress: str) -> DataFrame:
+    """Process what has come since the last run with the same `progress`; all that was written so far."""
+    spark = stream.sparkSession
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")

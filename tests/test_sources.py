@@ -11,6 +11,8 @@ from brackish.operators.reshape import hours_to_rows
 from brackish.sources import tables
 from brackish.sources.delimited import read_by_header, read_logger_folder, read_table
 from brackish.sources.text import polygon_vertices, read_columns, read_polygons, read_tides
+from brackish.streaming.feeds import open_feed, run_again
+from brackish.streaming.late import closed_windows, keyed_state, late_rows, windows_and_late_rows
 
 
 def test_logger_folder_with_a_header_only_file(spark, tmp_path):
@@ -120,3 +122,31 @@ def test_a_run_that_fails_leaves_the_result(spark, tmp_path):
     assert sum(found().values()) == 1_000
     with pytest.raises(ValueError):
         tables.replace_partitions(second, path, [])
+
+
+def test_late_readings_and_windows_add_up(spark, tmp_path):
+    at = lambda day, hour, minute=0: datetime(2024, 1, day, hour, minute)
+    uploads = [
+        [("a", at(1, 0), 1.0), ("a", at(1, 0, 30), 2.0), (None, at(1, 0, 59), 7.0), ("a", at(1, 5), 3.0), ("b", None, 4.0)],
+        # the mark is 04:00: a window that ended then is over, the one that ends at 05:00 is not
+        [("a", at(1, 0, 45), 9.0), ("a", at(1, 3, 59), 8.0), ("a", at(1, 4), None), ("a", at(1, 4), 6.0), ("b", at(1, 3), None)],
+        [],
+        [("a", at(2, 0), 5.0), ("a", at(1, 3), 1.5)],
+    ]
+    schema = "tag string, date timestamp_ntz, reading double, kind string"
+    with keyed_state(spark):
+        for rows in uploads:
+            frame = spark.createDataFrame([(*r, "k") for r in rows], schema)
+            frame.write.mode("append").parquet(str(tmp_path / "landing"))
+            feed = open_feed(spark, str(tmp_path / "landing"), frame.schema)
+            stream = windows_and_late_rows(feed.drop("kind"), ["tag"], "date", "reading", spread=3)
+            written = run_again(stream, str(tmp_path / "rows"), str(tmp_path / "progress"))
+    closed = {(r.tag, r.start): (r["mean"], r.n, r.n_rows) for r in closed_windows(written, ["tag"]).collect()}
+    assert closed == {
+        ("a", at(1, 0)): (1.5, 2, 2), (None, at(1, 0)): (7.0, 1, 1), ("a", at(1, 4)): (6.0, 1, 2), ("a", at(1, 5)): (3.0, 1, 1)
+    }
+    late = sorted((tuple(r) for r in late_rows(written, ["tag"]).collect()), key=str)
+    assert late == sorted([
+        ("a", at(1, 0), at(1, 1), at(1, 0, 45), 9.0), ("a", at(1, 3), at(1, 4), at(1, 3, 59), 8.0),
+        ("a", at(1, 3), at(1, 4), at(1, 3), 1.5), ("b", at(1, 3), at(1, 4), at(1, 3), None),
+    ], key=str)
