@@ -5,16 +5,20 @@ count is the sum of its pre-tokens' lengths.
 
 * Tier 1: a compact table of the most frequent pre-tokens with their lengths, broadcast to all
   workers. It has at most `TABLE` entries of at most `LONGEST` bytes. It is found in one pass over
-  all texts: each task keeps a bounded summary of frequent pre-tokens (counters that are halved
-  and thinned when full), and the summaries, not the pre-tokens, are merged in two rounds.
+  all texts: each task keeps a bounded summary of what stands between blanks (counters that are
+  halved and thinned when full) and splits only what is left in it into pre-tokens; the summaries,
+  not the pre-tokens, are merged in two rounds.
 * Tier 2: a pre-token that is not in the table is encoded with the tokenizers library, in batches,
-  and its length stays in the worker's own cache, which starts anew when it is full.
+  and its length stays in the worker's own cache, which starts anew when it is full and takes no
+  pre-token of more than `CACHED` characters.
 
 Which pre-tokens are in the table changes the speed only, never a count. No pre-token is shuffled.
 
 The pre-token pattern is run here with Python's regex module. Its character classes and the
-library's may follow different Unicode versions, so texts with characters outside of long-settled
-scripts, and texts with the tokenizer's own added tokens, are counted by the library as they are.
+library's may follow different Unicode versions. A text with characters outside of long-settled
+scripts, or with the tokenizer's own added tokens, is cut where every version has a boundary: before
+a blank that follows a settled character other than a space. A piece with such a character goes to
+the second tier as it is, the other pieces are split into pre-tokens.
 
 Defined results: NULL is empty, with 0 tokens. Rows that repeat a doc_id are documents of their
 own. Columns other than the key and the text are ignored.
@@ -38,8 +42,9 @@ from brackish.llm.text import documents, rows
 TABLE = 65_536
 LONGEST = 64
 COUNTERS = 16_384
-#: Pre-tokens in a worker's cache.
+#: Pre-tokens in a worker's cache, and characters of its longest one.
 CACHE = 400_000
+CACHED = 128
 #: Tokens up to which a document is not over the limit.
 LIMIT = 512
 
@@ -49,6 +54,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: points that were still free when Unicode 6 came out.
 _SETTLED = r"\x00-\x1b\x20-\x84\x86-ɏɐ-˿Α-ΡΣ-ϿЀ-ҁҊ-ԣ‐-‧‰-⁞₠-₸"
 _UNSETTLED = regex.compile(f"[^{_SETTLED}]")
+#: A pre-token ends at a blank after a settled character other than a space, whatever else stands there.
+_BOUNDARY = regex.compile(rf"(?<=[{_SETTLED}--\s])(?= )", regex.V1)
 
 
 class Lengths:
@@ -61,7 +68,9 @@ class Lengths:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
+        #: an added token with a blank could be cut, so texts with one stay whole
+        self.whole = any(" " in t for t in added)
         self.split = regex.compile(PATTERN).findall
         self.table = table
         self.cache: dict[str, int] = {}
@@ -71,26 +80,37 @@ class Lengths:
         return [len(x) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def plain(self, text: str) -> bool:
-        return _UNSETTLED.search(text) is None and (self.whole is None or self.whole.search(text) is None)
+        return _UNSETTLED.search(text) is None and (self.added is None or self.added.search(text) is None)
+
+    def pieces(self, text: str) -> list[str]:
+        """The text in pieces that are encoded independently of each other: pre-tokens where those are certain."""
+        if self.plain(text):
+            return self.split(text)
+        if self.whole and self.added.search(text):
+            return [text]
+        out: list[str] = []
+        for piece in _BOUNDARY.split(text):
+            if self.plain(piece):
+                out += self.split(piece)
+            else:
+                out.append(piece)
+        return out
 
     def count(self, texts: list[str]) -> list[int]:
-        split = [self.split(x) if self.plain(x) else None for x in texts]
-        missed = {t for tokens in split if tokens for t in tokens if t not in self.table and t not in self.cache}
+        split = [self.pieces(x) for x in texts]
+        missed = {t for tokens in split for t in tokens if t not in self.table and t not in self.cache}
         if len(self.cache) + len(missed) > self.most:
             self.cache = {}
-            missed = {t for tokens in split if tokens for t in tokens if t not in self.table}
+            missed = {t for tokens in split for t in tokens if t not in self.table}
         new = list(missed)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             self.cache.update(zip(part, self.encode(part)))
         table, cache = self.table.get, self.cache
-        counts = [
-            None if tokens is None else sum([n if (n := table(t)) is not None else cache[t] for t in tokens])
-            for tokens in split
-        ]
-        for at, text in enumerate(texts):
-            if counts[at] is None:
-                counts[at] = self.encode([text])[0]
+        counts = [sum([n if (n := table(t)) is not None else cache[t] for t in tokens]) for tokens in split]
+        for token in new:
+            if len(token) > CACHED:
+                del cache[token]
         return counts
 
 
@@ -103,15 +123,19 @@ def _summarise(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> It
     """One bounded summary of a task's frequent pre-tokens."""
     from pyspark import TaskContext
 
-    split = regex.compile(PATTERN).findall
-    counts: Counter = Counter()
+    units: Counter = Counter()
     for batch in rows(batches):
         for text in batch.column("text").to_pylist():
             if text:
-                counts.update(split(text.decode("utf-8", "replace")))
-            if len(counts) > 8 * size:
-                counts = _thin(counts, 2 * size)
-    if counts:
+                units.update([u for u in text.split(b" ") if len(u) < LONGEST])
+            if len(units) > 8 * size:
+                units = _thin(units, 2 * size)
+    if units:
+        split = regex.compile(PATTERN).findall
+        counts: Counter = Counter()
+        for unit, n in units.most_common(size):
+            for token in split(" " + unit.decode("utf-8", "replace")):
+                counts[token] += n
         top = [(t, n) for t, n in counts.most_common(size) if len(t.encode()) <= LONGEST]
         yield _packed(TaskContext.get().partitionId() % buckets, top)
 

@@ -49,9 +49,23 @@ def test_counts_do_not_depend_on_the_tiers(spark):
     assert [r.n_tokens for r in sorted(count_tokens(repeated, BPE, table=4).collect())] == [full[0], full[0], full[1], full[1]]
 
 
+def test_mixed_scripts_use_the_tiers():
+    """Only the pieces with unsettled characters or added tokens reach the library as they are."""
+    rng = random.Random(4)
+    parts = ["the", "cat", "it's", ",", "\n", " ", "  ", "\t", "🙂", "नमस्ते", "漢字", "\u3000", "\x85", "\x1c", "\u2028", "́", "‍", "͸", "\u180e",
+             "<|endoftext|>", "12", "½", "٣", "é", "...", "\xa0", "'ll", "𝔘", "\ue000"]
+    texts = ["good 🙂 text", "a <|endoftext|> b", " <|endoftext|>  x"]
+    texts += ["".join(rng.choice(parts) + rng.choice(["", " ", "", " ", "  "]) for _ in range(rng.randrange(1, 30))) for _ in range(3_000)]
+    library = Tokenizer.from_file(BPE)
+    lengths = Lengths(BPE, {" text": 1})
+    assert lengths.pieces("good 🙂 text, it's") == ["good", " 🙂 text,", " it", "'s"]
+    assert lengths.count(texts) == [len(x) for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert lengths.count(["x" * 100_000 + " y"]) and max(map(len, lengths.cache)) <= 128
+
+
 def test_table(spark):
-    docs = spark.createDataFrame([(b"the cat the dog",), (b"the end",)], "text binary")
-    assert "the" in frequent_pretokens(docs, 2) and len(frequent_pretokens(docs, 2)) == 2
+    docs = spark.createDataFrame([(b"the cat the dog",), (b"on the end",)], "text binary")
+    assert " the" in frequent_pretokens(docs, 2) and len(frequent_pretokens(docs, 2)) == 2
     table = {" the": 1, "é\n": 3, "x" * 60: 40}
     assert unpack_table(pack_table(table)) == table
 
