@@ -21,7 +21,7 @@ CHECKED = (
     "w2_centred_rolling_mean", "w8_regular_grid", "x2_variogram", "x3_values_at_points", "x4_group_status",
     "f18_carbonate_nutrients", "g2_regression_per_group", "g8_log_link_optimum", "g10_correlation_flags",
     "g16_path_model_optimum", "g21_density_curve", "j2_natural_full_chain", "s1_delimited_table", "s2_logger_folder",
-    "t2_sliding_mean",
+    "t2_sliding_mean", "t1_late_rows", "g5_anova_per_location",
 )
 
 
