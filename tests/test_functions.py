@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,11 @@ def test_tables_that_nothing_reads_are_removed(spark):
     assert session.remove_unread(spark, made, kept) == made[:1]
     assert os.path.isdir(made[0]) and not os.path.exists(made[1])
     assert kept.count() == 3
+
+
+def test_tails_of_a_batch_are_those_of_its_entries():
+    t, df = np.linspace(0.05, 6.0, 60), np.full(60, 601_000.0)
+    assert t_two_sided(t, df).tolist() == [t_two_sided(a, b)[0] for a, b in zip(t, df)]
+    assert f_upper(t * t, np.ones(60), df) == pytest.approx(t_two_sided(t, df), rel=1e-9)
+    # 1 - p keeps its digits where t * t is lost beside the degrees of freedom
+    assert 1 - t_two_sided(1e-4, 600_000.0)[0] == pytest.approx(math.erf(1e-4 / math.sqrt(2)), rel=2e-6)
