@@ -93,7 +93,7 @@ def e2_chemistry_to_paths(t: Tables) -> DataFrame:
         (2200 + c("l_extendedprice") / 500).alias("ta"),
         (7.8 + c("l_discount") * 3).alias("ph"),
         (1 + c("l_quantity") / 5).alias("silicate"),
-        (0.1 + c("l_extendedprice") / c("l_quantity") / 1000).alias("nitrate"),
+        (0.1 + F.try_divide("l_extendedprice", "l_quantity") / 1000).alias("nitrate"),
         (c("l_discount") + c("l_tax")).alias("humics"),
         (c("l_tax") * c("l_quantity")).alias("prot"),
     )

@@ -59,3 +59,23 @@ def test_surface_has_three_parameters_at_500_pixels(spark):
     assert all(groups[season, "sloped"] == "ok" for season in (0, 1))
     surface = entry.queries()["x3_kriging_surface"](spark, "/root/testdata/sf0.01")
     assert 400 < surface.agg(F.max("ix")).first()[0] < 500
+
+
+@pytest.fixture(scope="module")
+def idle_folder(duck, tmp_path_factory):
+    """Some rows have a quantity of zero."""
+    folder = tmp_path_factory.mktemp("idle")
+    rows = "SELECT * REPLACE (CASE WHEN l_orderkey % 97 = 0 THEN 0 ELSE l_quantity END AS l_quantity) FROM lineitem"
+    duck.execute(f"COPY ({rows}) TO '{folder}/lineitem.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ("e2_chemistry_to_paths", "g16_path_model", "g16_path_model_first_equation"))
+def test_division_by_zero_is_null(spark, idle_folder, name):
+    rows = entry.queries()[name](spark, idle_folder).collect()
+    assert len(rows) == (6 if name.endswith("equation") else 132)
+    assert all(r.estimate is not None for r in rows)
+
+
+def test_pull_is_over_the_rows_of_the_fit(spark, idle_folder):
+    assert {r.pull for r in entry.queries()["g16_path_model_optimum"](spark, idle_folder).collect()} == {0.0}
