@@ -246,6 +246,11 @@ def _judge(batches: Iterator[pa.RecordBatch], coverage: int, with_text: bool) ->
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
+def _find_and_judge(batches: Iterator[pa.RecordBatch], automaton: Broadcast, coverage: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Both steps in one worker: chained as two of Spark's, every task would hold two workers."""
+    return _judge(_find(batches, automaton, only_hits=False), coverage, with_text)
+
+
 def _automata(items: DataFrame, item: str, text: str, window: int, block_words: int) -> Iterator[Broadcast]:
     """One broadcast automaton per block of items."""
     context = items.sparkSession.sparkContext
@@ -276,28 +281,28 @@ def find_contamination(
     """
     texts = documents(docs, key, text)
     kind = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
+    schema += ", clean_text string" * with_text
     automata = list(_automata(items, item, item_text, window, block_words))
     if len(automata) == 1:
-        found = texts.mapInArrow(partial(_find, automaton=automata[0], only_hits=False), f"doc_id {kind}, text binary, {_FOUND}")
-    else:
-        hits = reduce(
-            DataFrame.unionAll,
-            [
-                texts.mapInArrow(partial(_find, automaton=a, only_hits=True), f"doc_id {kind}, whole binary, {_FOUND}")
-                for a in automata
-            ],
-        )
-        hits = hits.groupBy("doc_id", "whole").agg(
-            F.flatten(F.collect_set("spans")).alias("spans"),
-            F.flatten(F.collect_set("items")).alias("items"),
-            F.max("longest").alias("longest"),
-        )
-        marked = texts.mapInArrow(_count, f"doc_id {kind}, text binary, whole binary, n_words long")
-        found = join_on(marked, settle(hits, "hits"), ["doc_id", "whole"], "left")
+        return texts.mapInArrow(partial(_find_and_judge, automaton=automata[0], coverage=coverage, with_text=with_text), schema)
+    hits = reduce(
+        DataFrame.unionAll,
+        [
+            texts.mapInArrow(partial(_find, automaton=a, only_hits=True), f"doc_id {kind}, whole binary, {_FOUND}")
+            for a in automata
+        ],
+    )
+    hits = hits.groupBy("doc_id", "whole").agg(
+        F.flatten(F.collect_set("spans")).alias("spans"),
+        F.flatten(F.collect_set("items")).alias("items"),
+        F.max("longest").alias("longest"),
+    )
+    marked = texts.mapInArrow(_count, f"doc_id {kind}, text binary, whole binary, n_words long")
+    found = join_on(marked, settle(hits, "hits"), ["doc_id", "whole"], "left")
     if not with_text:
         found = found.drop("text")
-    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
-    return found.mapInArrow(partial(_judge, coverage=coverage, with_text=with_text), schema + ", clean_text string" * with_text)
+    return found.mapInArrow(partial(_judge, coverage=coverage, with_text=with_text), schema)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -156,14 +156,15 @@ class Features:
 
     def __init__(self, weights: int = WEIGHTS, cache: int = 400_000):
         self.mask, self.most = weights - 1, cache
-        self.cache: dict[bytes, tuple[int, int]] = {}
+        self.cache: dict[bytes, int] = {}
         self.repeat = zlib.crc32(b"\0repeat") & self.mask
 
-    def _token(self, token: bytes) -> tuple[int, int]:
+    def _token(self, token: bytes) -> int:
+        """Places of the token and of its shape, in one number: a worker keeps many of them."""
         if len(self.cache) >= self.most:
             self.cache = {}
         shape = _RUN.sub(rb"\1", token.translate(_SHAPE))
-        pair = self.cache[token] = (zlib.crc32(token) & self.mask, zlib.crc32(b"\0shape " + shape) & self.mask)
+        pair = self.cache[token] = (zlib.crc32(token) & self.mask) << 32 | zlib.crc32(b"\0shape " + shape) & self.mask
         return pair
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -172,15 +173,16 @@ class Features:
             return np.zeros(0, np.int32), np.zeros(0, np.float32)
         get = self.cache.get
         counts = Counter(tokens)
-        pairs = [get(t) or self._token(t) for t in counts]
+        pairs = [v if (v := get(t)) is not None else self._token(t) for t in counts]
         share = np.fromiter(counts.values(), np.float64, len(counts)) / len(tokens)
         same = sum(map(bytes.__eq__, tokens, tokens[1:])) / len(tokens)
-        both = np.array(pairs, np.int64)
+        both = np.array(pairs, np.uint64)
+        own, shape = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         # the root keeps a frequent token from drowning the others; shapes add up
-        index, place = np.unique(both[:, 1], return_inverse=True)
+        index, place = np.unique(shape, return_inverse=True)
         shapes = np.bincount(place, share)
         return (
-            np.concatenate([both[:, 0], index, [self.repeat]]).astype(np.int32),
+            np.concatenate([own.astype(np.int64), index, [self.repeat]]).astype(np.int32),
             np.concatenate([np.sqrt(share) * 0.3, np.sqrt(shapes), [same]]).astype(np.float32),
         )
 
